@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, sharding
+from . import language, mixing, packing, quality, repeats, sharding
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_packing, op5_quality_rules, op6_mixing, op9_language_id)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(table(spark, sf_dir, "documents"), 20, digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_packing, op5_quality_rules, op6_mixing, op9_language_id, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
