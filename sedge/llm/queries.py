@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, repeats, sharding
+from . import language, mixing, near_duplicates, packing, quality, repeats, sharding
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id"))
     model = language.learn(docs.filter("not held_out"))
@@ -46,6 +50,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeats(table(spark, sf_dir, "documents"), 20, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_packing, op5_quality_rules, op6_mixing, op9_language_id, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_packing, op5_quality_rules, op6_mixing, op7_ngram_jaccard_join, op9_language_id, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
