@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -25,7 +25,7 @@ from .components import components
 from .repeats import BLOCK_BYTES
 from .windows import ANSWERS, SENT, U, answers, in_chunks, mix, notes_of, packed, read_words, runs_of, scale_of, unpacked
 
-SETS = "doc_id long, node long, n long, keys binary, prefix array<long>"
+SETS = "doc_id long, text_hash long, node long, n long, keys binary, prefix array<long>"
 
 
 def shingle_sets(texts: pa.ChunkedArray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +116,8 @@ def find_prefixes(docs: pa.Table, replies: pa.Table, percent: int) -> pa.Table:
         order = np.lexsort((low[a:b], count[a:b]))[: n[i] - need[i] + 1]
         prefixes.append(keys[a:b][order][count[a:b][order] > 1].view(np.int64))
     return pa.table(
-        [docs.column("doc_id").combine_chunks(), pa.array(node), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-        names=["doc_id", "node", "n", "keys", "prefix"],
+        [docs.column("doc_id").combine_chunks(), docs.column("text_hash").combine_chunks(), pa.array(node), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+        names=["doc_id", "text_hash", "node", "n", "keys", "prefix"],
     )
 
 
@@ -193,7 +193,7 @@ def links(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest doc_id that links
-    reach (itself without links).
+    reach (itself without links); text_hash (xxhash64 of the text) tells rows of one id apart.
 
     Two documents link when 100 * intersection >= percent * union of their sets of five-word
     shingles. Equal sets link. Null and blank texts have no shingles and link with nothing, not even
@@ -201,15 +201,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     smallest id is then that of the others (null if there is none). An empty table gives no rows.
     """
     scale = scale_of(docs)
-    chunks = in_chunks(docs, scale)
+    chunks = in_chunks(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), scale, "text_hash")
     n = scale.buckets
     sent = chunks.groupBy("chunk").applyInArrow(lambda k, t: send_shingles(k[0].as_py(), t, n), SENT)
     counted = sent.groupBy("bucket").applyInArrow(count_shingles, ANSWERS)
     found = staged(chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda t, r: find_prefixes(t, r, percent), SETS))
     sets = staged(found.filter("keys is not null").groupBy("node", "n").agg(F.first("keys").alias("keys"), F.first("prefix").alias("prefix")))
     label = components(links(sets, percent))
-    docs_ = found.select("doc_id", "n", "node")
+    docs_ = found.select("doc_id", "text_hash", "n", "node")
     # nodes that links joined take their label; a set's node is its label otherwise
-    labelled = docs_.join(label, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    labelled = docs_.join(label, "node", "left").select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "text_hash")
+
+
+def keep_one_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """`docs` without all but one document of each group: the one with the smallest id.
+
+    Of rows that share this id and group, one stays. Documents without links all stay, null and
+    blank ones too. Columns stay as they are.
+    """
+    groups = near_duplicates(docs, percent).filter("doc_id <=> component_id")
+    first = groups.groupBy("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"), F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("_blank")).agg(F.min("text_hash").alias("_text"))
+    chosen = first.select(F.col("doc_id").alias("_id"), "_text").distinct()
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")
+    place = Window.partitionBy("doc_id", "_hash").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    return kept.withColumn("_nth", F.row_number().over(place)).filter("_nth = 1").select(*docs.columns)
