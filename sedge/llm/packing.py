@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -80,7 +81,7 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     ids = encode_words(words.dictionary.to_pylist(), path)
     ids.append((0,))
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
     # one more "word", the closing 0, after those of each text
     ends = np.asarray(split.offsets)[1:].astype(np.int64) - int(split.offsets[0].as_py())
     codes = np.insert(np.asarray(words.indices).astype(np.int64), ends, len(ids) - 1)
@@ -154,7 +155,7 @@ def fillings(gap: int, counts: dict[int, int], most: int = 4, steps: int = 3000)
     return [x for _, x in best]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 60_000) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 5_000) -> list[tuple[list[int], int]]:
     """[(lengths in a sequence, how often)], with as few sequences as the search finds.
 
     Depth first over the fillings around the largest length; a branch ends when its sequences
