@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .components import components
-from .repeats import BLOCK_BYTES
-from .windows import ANSWERS, SENT, U, answers, in_chunks, mix, notes_of, packed, read_words, runs_of, scale_of, unpacked
+from .windows import SENT, U, in_chunks, mix, read_words, runs_of, scale_of
 
+COUNTS = "chunk int, bucket int, counts binary"
 SETS = "doc_id long, text_hash long, node long, n long, keys binary, prefix array<long>"
 
 
@@ -66,22 +66,54 @@ def first_of_each(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each key and its place there in 32 bits; both keep the order of the keys."""
+    low = ((keys & U(2**32 - 1)) * U(buckets)) >> U(32)
+    x = (keys >> U(32)) * U(buckets) + low
+    return x >> U(32), (x & U(2**32 - 1)).astype("<u4")
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as all their first bytes, then all their second: small ones compress well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(np.frombuffer(memoryview(x.as_buffer()), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1) for x in column]
+
+
 def send_shingles(chunk: int, docs: pa.Table, buckets: int) -> pa.Table:
-    """Each shingle once with the number of different sets here that have it."""
+    """Each shingle once with the number of different sets here that have it, in order."""
     keys, first = shingle_sets(docs.column("text"))
     once = np.repeat(first_of_each(set_ids(keys, first)), np.diff(first))
     keys, counts = np.unique(keys[once], return_counts=True)
-    return packed(chunk, keys, counts.astype("<u4"), buckets, BLOCK_BYTES)
+    bucket, place = bucket_of(keys, buckets)
+    at = np.searchsorted(bucket, np.arange(buckets + 1).astype(U))
+    used = np.flatnonzero(np.diff(at))
+    return pa.table(
+        [
+            pa.array(used, pa.int32()),
+            pa.array(np.full(len(used), chunk), pa.int32()),
+            pa.array([planes(np.diff(place[at[b] : at[b + 1]], prepend=place.dtype.type(0))) for b in used], pa.binary()),
+            pa.array([planes(counts[at[b] : at[b + 1]]) for b in used], pa.binary()),
+        ],
+        names=["bucket", "chunk", "keys", "notes"],
+    )
 
 
 def count_shingles(rows: pa.Table) -> pa.Table:
-    """How many sets have a shingle, for every chunk that has it, if there are two or more."""
-    keys, row = unpacked(rows.column("keys"), BLOCK_BYTES)
-    counts = notes_of(rows.column("notes"), "<u4")
-    order, runs, run = runs_of(keys)
-    total = np.zeros(len(keys), "<u4")
+    """For every chunk, how many sets have each of the shingles it sent, in the order it sent them.
+
+    Shingles of a bucket that agree in 32 bits count as one: the number is too high for both,
+    in every chunk alike, so the order of shingles stays the same everywhere.
+    """
+    places = [np.cumsum(x, dtype="<u4") for x in unplaned(rows.column("keys"))]
+    counts = np.concatenate(unplaned(rows.column("notes")))
+    order, runs, run = runs_of(np.concatenate(places))
+    total = np.zeros(len(order), "<u4")
     total[order] = np.minimum(np.add.reduceat(counts[order].astype(np.int64), runs), 2**32 - 1)[run]
-    return answers(rows, total > 1, keys, row, total)
+    cuts = np.cumsum([len(x) for x in places])[:-1]
+    return pa.table([rows.column("chunk").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array([planes(x) for x in np.split(total, cuts)], pa.binary())], names=["chunk", "bucket", "counts"])
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -94,14 +126,12 @@ def find_prefixes(docs: pa.Table, replies: pa.Table, percent: int) -> pa.Table:
     and the part of its prefix that others have too."""
     keys, first = shingle_sets(docs.column("text"))
     node, n = set_ids(keys, first), np.diff(first)
-    low = keys & U((1 << 8 * BLOCK_BYTES) - 1)
-    count = np.ones(len(keys), np.int64)
-    if replies.num_rows:
-        known, _ = unpacked(replies.column("keys"))
-        order = np.argsort(known)
-        known, told = known[order], notes_of(replies.column("notes"), "<u4")[order]
-        at = np.minimum(np.searchsorted(known, low), len(known) - 1)
-        count = np.where(known[at] == low, told[at], 1).astype(np.int64)
+    sent, at = np.unique(keys, return_inverse=True)
+    told = unplaned(replies.sort_by("bucket").column("counts"))
+    counts = np.concatenate([np.zeros(0, "<u4"), *told]).astype(np.int64)
+    if len(counts) != len(sent):
+        raise ValueError("a chunk's shingles and their counts do not match")
+    count = counts[at]
     doc = np.repeat(np.arange(len(n)), n)
     shared = np.bincount(doc, weights=count > 1, minlength=len(n)).astype(np.int64)
     need = needed(n, percent)
@@ -113,7 +143,7 @@ def find_prefixes(docs: pa.Table, replies: pa.Table, percent: int) -> pa.Table:
             continue
         a, b = first[i], first[i + 1]
         raw.append(keys[a:b].astype("<u8").tobytes())
-        order = np.lexsort((low[a:b], count[a:b]))[: n[i] - need[i] + 1]
+        order = np.lexsort((keys[a:b], count[a:b]))[: n[i] - need[i] + 1]
         prefixes.append(keys[a:b][order][count[a:b][order] > 1].view(np.int64))
     return pa.table(
         [docs.column("doc_id").combine_chunks(), docs.column("text_hash").combine_chunks(), pa.array(node), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -204,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     chunks = in_chunks(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), scale, "text_hash")
     n = scale.buckets
     sent = chunks.groupBy("chunk").applyInArrow(lambda k, t: send_shingles(k[0].as_py(), t, n), SENT)
-    counted = sent.groupBy("bucket").applyInArrow(count_shingles, ANSWERS)
+    counted = sent.groupBy("bucket").applyInArrow(count_shingles, COUNTS)
     found = staged(chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda t, r: find_prefixes(t, r, percent), SETS))
     sets = staged(found.filter("keys is not null").groupBy("node", "n").agg(F.first("keys").alias("keys"), F.first("prefix").alias("prefix")))
     label = components(links(sets, percent))
