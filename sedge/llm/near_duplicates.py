@@ -230,6 +230,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     one another. Rows that share an id are documents of their own; a null id joins components, whose
     smallest id is then that of the others (null if there is none). An empty table gives no rows.
     """
+    return labelled(docs, percent).select("doc_id", "n_shingles", "component_id", "text_hash")
+
+
+def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of `near_duplicates` with `label`, which tells components apart where ids do not
+    (null without shingles)."""
     scale = scale_of(docs)
     chunks = in_chunks(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), scale, "text_hash")
     n = scale.buckets
@@ -240,19 +246,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     label = components(links(sets, percent))
     docs_ = found.select("doc_id", "text_hash", "n", "node")
     # nodes that links joined take their label; a set's node is its label otherwise
-    labelled = docs_.join(label, "node", "left").select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
-    least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "text_hash")
+    rows = docs_.join(label, "node", "left").select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "text_hash", "label")
 
 
 def keep_one_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """`docs` without all but one document of each group: the one with the smallest id.
 
-    Of rows that share this id and group, one stays. Documents without links all stay, null and
+    Of rows that share this id and are linked, or have equal texts, one stays. Documents without links all stay, null and
     blank ones too. Columns stay as they are.
     """
-    groups = near_duplicates(docs, percent).filter("doc_id <=> component_id")
-    first = groups.groupBy("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"), F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("_blank")).agg(F.min("text_hash").alias("_text"))
+    groups = labelled(docs, percent).filter("doc_id <=> component_id")
+    first = groups.groupBy("doc_id", F.col("label").alias("_group"), F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("_blank")).agg(F.min("text_hash").alias("_text"))
     chosen = first.select(F.col("doc_id").alias("_id"), "_text").distinct()
     rows = docs.withColumn("_hash", F.xxhash64("text"))
     kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")

@@ -73,6 +73,15 @@ def test_clusters(spark, monkeypatch):
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_unlinked_rows_of_one_id_all_stay(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a), (None, b), (1, c), (1, d), (1, d + " more"), (2, c), (3, d), (None, c), (4, None), (4, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in near_duplicates.keep_one_each(df).collect()]
+    got = [(i, d if t == d + " more" else t) for i, t in got]  # either of the linked two
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (1, c), (1, d), (4, None), (4, " ")], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 60), (7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
