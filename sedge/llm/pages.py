@@ -3,7 +3,7 @@
 Each page becomes a small tree of its structural elements; runs of text-level blocks are one node.
 Trees of one host are aligned by simple tree matching into a wrapper that remembers, per node, how
 many pages have it and which texts recur there. Recurring texts are template, the rest is content.
-The content region is the article or main element, or where the varying text is dense; what is
+The content region is the outermost article or main elements, or else the whole page; what is
 marked up as menu, advert, form, comments and the like is left out.
 
 Pages are aligned where they are read: a task sends one wrapper per host and batch. Wrappers are
@@ -361,7 +361,7 @@ def outermost(node: Node, found: list[Node]) -> list[Node]:
     for c in node.children:
         if c.chrome:
             continue
-        if c.content:
+        if c.content and c.label not in ("+html", "+body"):
             found.append(c)
         else:
             outermost(c, found)
@@ -369,27 +369,9 @@ def outermost(node: Node, found: list[Node]) -> list[Node]:
 
 
 def region_of(root: Node, template: set[int]) -> list[Node]:
-    """The nodes that hold the article."""
-    best = [root]
-    while True:
-        marked = [(good_text(c, template), c) for n in best for c in outermost(n, [])]
-        inner = [(s, c) for s, c in marked if s]
-        if not inner:
-            break
-        most = max(s for s, _ in inner)
-        if best != [root] and most < 0.5 * sum(good_text(n, template) for n in best):
-            break
-        best = [c for s, c in inner if s >= 0.6 * most]
-    if best == [root]:  # nothing is marked up as content: go down where nearly all varying text is
-        node = root
-        while True:
-            total = good_text(node, template)
-            heavy = [c for c in node.children if c.label != "t" and total and good_text(c, template) >= 0.7 * total]
-            if not heavy:
-                break
-            node = heavy[0]
-        best = [node]
-    return best
+    """The nodes that hold the article: all outermost ones marked up as content that hold varying
+    text, or the whole page. What is not chrome or template in them is the article."""
+    return [c for c in outermost(root, []) if good_text(c, template)] or [root]
 
 
 def blocks_of(node: Node, template: set[int], out: list[str]) -> None:

@@ -42,6 +42,16 @@ def test_marked_up_parts():
     assert pages.main_text(page, None) == "Head & line\n\nFirst paragraph text x.\n\nSecond link one more.\n\none\n\ntwo\n\nQuote line"
 
 
+def test_nothing_of_the_article_is_dropped():
+    long = "word " * 100
+    inner = f"<article><h1>Title</h1><p>lead</p><div class='entry-content'><p>{long}</p></div></article>"
+    assert pages.main_text(inner, None) == f"Title\n\nlead\n\n{long.strip()}"
+    sections = f"<body><section class='story'><p>Short one.</p></section><section class='story'><p>{long}</p></section><div class='menu'>A</div></body>"
+    assert pages.main_text(sections, None) == f"Short one.\n\n{long.strip()}"
+    bare = f"<body class='post'><div><h1>Title</h1></div><div><p>{long}</p></div><footer>f</footer></body>"
+    assert pages.main_text(bare, None) == f"Title\n\n{long.strip()}"
+
+
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, None, ""), (2, "x", "plain &lt;text&gt;"), (2, "x", "plain &lt;text&gt;"), (3, "http://h/", "<div>" * 5000 + "deep"), (4, "http://h/", "<p>a<!-- open"), (5, "http://h/", "<p class='x>broken"), (6, "http://h/", "<p>" + "w &amp; " * 200000)]
     df = spark.createDataFrame([(*r, 1, "h") for r in rows], "page_id long, url string, html string, host int, wrapper string")
