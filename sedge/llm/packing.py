@@ -11,6 +11,8 @@ ranks the pieces within each length and looks their places up in the plan.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -121,38 +123,63 @@ def fillings(gap: int, counts: dict[int, int], most: int = 4, steps: int = 3000)
 
     The first is best fit (the largest that fits, again and again), the incumbent; a branch goes
     on only if it can waste less than the incumbent, or as little. A filling is dominated if a
-    larger available piece could replace one of its pieces; such fillings waste more and are not
-    kept. `steps` bounds the work for one bin, not what is packed.
+    larger available piece could replace one of its pieces, or one more could be added; such
+    fillings waste more and are not kept. A step chooses how many pieces of one length are taken,
+    so the depth follows the lengths, not the pieces. `steps` (pieces put in, in all) bounds the work for one bin, not
+    what is packed.
     """
     have = sorted((k for k, v in counts.items() if v and k <= gap), reverse=True)
     if not have:
         return [[]]
-    smallest = have[-1]
-    best: list[tuple[int, list[int]]] = []
-    spent = 0
-
-    def go(i: int, left: int, taken: list[int]) -> bool:
-        nonlocal spent
-        spent += 1
-        extended = False
-        for j in range(i, len(have)):
-            k = have[j]
-            if k <= left and taken.count(k) < counts[k]:
-                extended = True
-                if go(j, left - k, [*taken, k]):
-                    return True
-                if spent > steps or best and best[0][0] == 0:
+    down = [-k for k in have]
+    supply = [0] * (len(have) + 1)  # tokens in the pieces from here on
+    for i in range(len(have) - 1, -1, -1):
+        supply[i] = supply[i + 1] + have[i] * counts[have[i]]
+
+    def dominated(left: int, taken: list[tuple[int, int]]) -> bool:
+        used = dict(taken)
+        for k in [0, *used]:
+            for j in range(bisect_left(down, -(k + left)), len(have)):
+                if have[j] <= k:
+                    break
+                if counts[have[j]] > used.get(have[j], 0):
                     return True
-            elif left < smallest:
-                break
-        if not extended:
-            best.append((left, taken))
-            best.sort(key=lambda x: (x[0], len(x[1])))
-            del best[most:]
-        return spent > steps
+        return False
 
-    go(0, gap, [])
-    return [x for _, x in best]
+    best: list[tuple[int, int, list[tuple[int, int]]]] = []
+    most_waste = gap
+    spent = 0
+    # a frame: [place in `have`, pieces of it taken, room before them]
+    path: list[list[int]] = []
+    i, left = 0, gap
+    while True:
+        while True:  # down: as many as fit of each next length
+            i = max(i, bisect_left(down, -left))
+            if i >= len(have) or not left or left - supply[i] > most_waste:
+                break
+            n = min(counts[have[i]], left // have[i])
+            spent += n
+            path.append([i, n, left])
+            left -= n * have[i]
+            i += 1
+        if left <= most_waste:
+            taken = [(have[j], n) for j, n, _ in path if n]
+            if not dominated(left, taken):
+                if not best:
+                    most_waste = left
+                best.append((left, sum(n for _, n in taken), taken))
+                best.sort(key=lambda x: x[:2])
+                del best[most:]
+        if spent > steps or best and best[0][0] == 0:
+            break
+        while path and not path[-1][1]:
+            path.pop()
+        if not path:
+            break
+        path[-1][1] -= 1  # one piece less of the last length taken
+        j, n, before = path[-1]
+        i, left = j + 1, before - n * have[j]
+    return [[k for k, n in taken for _ in range(n)] for _, _, taken in best]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 5_000) -> list[tuple[list[int], int]]:
@@ -161,43 +188,52 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 5_000
     Depth first over the fillings around the largest length; a branch ends when its sequences
     plus ceil(tokens left / capacity) reach the best so far. The first descent takes the least
     wasteful filling at each step; the search ends at the lower bound or after `nodes` steps, with
-    the best packing found. Every piece is always packed.
+    the best packing found. Every piece is always packed, and no branch is thrown away before.
     """
     total = sum(k * v for k, v in histogram.items())
     large = sum(v for k, v in histogram.items() if 2 * k > capacity)
     bound = max(-(-total // capacity), large)
     best: list[tuple[list[int], int]] | None = None
     best_n = float("inf")
-    stack = [(dict(histogram), [], 0, total, None)]
+    counts = {k: v for k, v in histogram.items() if v}  # what the path leaves; changed in place
+    path: list[tuple[list[int], int]] = []
+
+    def put(filling: tuple[list[int], int], sign: int) -> None:
+        for k in filling[0]:
+            counts[k] = counts.get(k, 0) - sign * filling[1]
+            if not counts[k]:
+                del counts[k]
+
+    stack = [(0, 0, total, None)]
     spent = 0
     while stack and best_n > bound and (spent < nodes or best is None):
-        counts, made, used, left, filling = stack.pop()
+        depth, used, left, filling = stack.pop()
+        while len(path) > depth:
+            put(path.pop(), -1)
         while True:
             if filling is not None:
-                made = [*made, filling]
+                path.append(filling)
+                put(filling, 1)
                 used += filling[1]
                 left -= sum(filling[0]) * filling[1]
-                counts = dict(counts)
-                for k in filling[0]:
-                    counts[k] -= filling[1]
-                    if not counts[k]:
-                        del counts[k]
             if used + -(-left // capacity) >= best_n:
                 break
             if not counts:
-                best, best_n = made, used
+                best, best_n = list(path), used
+                break
+            if spent >= nodes and best is not None:
                 break
             spent += 1
             top = max(counts)
-            rest = dict(counts)
-            rest[top] -= 1
+            counts[top] -= 1
+            found = fillings(capacity - top, counts)
+            counts[top] += 1
             options = []
-            for f in fillings(capacity - top, rest):
+            for f in found:
                 bin_ = [top, *f]
-                options.append((bin_, min(counts[k] // bin_.count(k) for k in set(bin_))))
+                options.append((bin_, min(counts[k] // n for k, n in Counter(bin_).items())))
             for o in reversed(options[1:]):
-                stack.append((counts, made, used, left, o))
-            del stack[: max(0, len(stack) - 500)]
+                stack.append((len(path), used, left, o))
             filling = options[0]
     return best or []
 

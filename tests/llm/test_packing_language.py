@@ -70,6 +70,32 @@ def test_plan_beats_best_fit():
     assert sum(n for _, n in packing.plan(dict(Counter(lengths)), 10)) == 3
 
 
+@pytest.mark.parametrize("histogram", [{1: 300_000}, {2: 300_000, 1: 5, 700: 3}, {2048: 2, 1: 1}, {1: 3000, 2: 3000, 1500: 10}])
+def test_plan_of_very_many_short_pieces(histogram):
+    bins = packing.plan(histogram)
+    got = Counter()
+    for b, n in bins:
+        for k, m in Counter(b).items():
+            got[k] += m * n
+    assert got == Counter(histogram)
+    assert all(sum(b) <= 2048 for b, _ in bins)
+    assert sum(n for _, n in bins) <= -(-sum(k * v for k, v in histogram.items()) // 2048) + 1
+
+
+def test_packing_many_empty_texts(spark):
+    texts = {i: None if i % 2 else "" for i in range(5000)} | {5000 + i: "the" for i in range(2500)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    used, bound = check_packing(texts, packing.pack(df, PATH).collect())
+    assert used <= bound + 1
+
+
+def test_fillings_are_undominated():
+    assert packing.fillings(10, {7: 1, 3: 1, 2: 3}) == [[7, 3]]
+    # 2, 2, 2 leaves room for the 5 in place of a 2
+    assert packing.fillings(9, {5: 1, 2: 3}) == [[5, 2, 2]]
+    assert packing.fillings(11, {9: 1, 5: 1, 4: 1}) == [[9], [5, 4]]
+
+
 def test_language(spark):
     rows = queries.op9_language_id(spark, SF).collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
