@@ -52,3 +52,36 @@ def test_groups_and_odd_vectors(spark):
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == brute([(i, [float(np.float32(c)) if c is not None else None for c in v] if v is not None else None) for i, v in rows])
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
     assert neighbours.near_vectors(df.limit(0)).count() == 0
+
+
+def test_block_keeps_links_beyond_the_nearest():
+    """Two tight groups with one pair across: none is among the 12 nearest of another group's."""
+    x = np.zeros((60, 3))
+    x[:, 0], x[:, 1] = 1, np.where(np.arange(60) < 30, 0.0, 0.45)
+    x[:, 2] = np.arange(60) * 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b, _, edge = neighbours.pairs_among(np.arange(60), x, 12, 0.9)
+    assert ((a < 30) != (b < 30))[edge].any() and edge.sum() == 59
+
+
+def test_audit_counts_nodes_alike(spark):
+    """A large group whose links are all known does not hide pairs whose links are all missed."""
+    rng = np.random.default_rng(4)
+    rows, known = [], []
+    for size in [300] + [2] * 50:
+        centre = rng.standard_normal(32)
+        for _ in range(size):
+            rows.append((len(rows), bytearray((centre + 0.05 * rng.standard_normal(32)).astype("<f8").tobytes())))
+    known = [(i, 0) for i in range(300)]
+    nodes = spark.createDataFrame(rows, "node long, raw binary")
+    share, missed, short = neighbours.audit(nodes, spark.createDataFrame(known, "node long, label long"), 0.9, 0, 12)
+    assert share < 0.5 and len(short) == 100
+    assert {frozenset((r["a"], r["b"])) for r in missed.collect()} == {frozenset((i, i + 1)) for i in range(300, 400, 2)}
+    label = spark.createDataFrame(known, "node long, label long")
+    edges = {frozenset((r["a"], r["b"])) for r in neighbours.all_links(nodes, label, short, 0.9, block=64).collect() if r["a"] != r["b"]}
+    assert edges == {frozenset((i, i + 1)) for i in range(300, 400, 2)}
+
+
+def test_tables_follow_bits():
+    assert neighbours.tables_for(0, 0.9, 0.99) == 1
+    assert [neighbours.tables_for(b, 0.9, 0.99) for b in (4, 9, 13)] == [6, 17, 33]
