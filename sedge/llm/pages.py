@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 Each page becomes a small tree of its structural elements; runs of text-level blocks are one node.
-Trees of one host are aligned by simple tree matching into a wrapper that remembers, per node, how
-many pages have it and which texts recur there. Recurring texts are template, the rest is content.
+Trees of one host are aligned by simple tree matching into a wrapper. Pages are then laid on the
+wrapper of their host to count how many of them have each node, and each text there. Recurring texts are template, the rest is content.
 The content region is the outermost article or main elements, or else the whole page; what is
 marked up as menu, advert, form, comments and the like is left out.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_stats
+from .common import join_stats, staged
 
 # HTML's element kinds, and words in class, id and role that mark what is not the article.
 STRUCTURE = set("html body div section article main header footer nav aside form fieldset dialog template center table tbody thead tfoot details figure".split())
@@ -49,9 +49,6 @@ WORD = re.compile(r"[a-z]+")
 #: Structural elements nested deeper than this belong to the node at that depth; no text is lost.
 DEEPEST = 150
 
-#: Texts remembered per wrapper node. Any text on more than 1 / (KEPT + 1) of a node's pages is among them.
-KEPT = 12
-
 
 class Node:
     __slots__ = ("label", "children", "chrome", "blocks", "content")
@@ -195,22 +192,27 @@ def key_of(text: str) -> int:
     return zlib.crc32(text.encode()) << 16 | len(text) & 0xFFFF
 
 
-# A wrapper node: [label, pages, {text key: pages}, children]
+# A wrapper node: [label, pages, {text key: pages}, children]. While wrappers are merged they have no
+# texts; texts and pages are counted when the wrapper of a host is done.
 
 
 def as_wrapper(node: Node) -> list:
     """A page's tree as a wrapper of one page; neighbours with one label become one node."""
-    texts = dict.fromkeys((key_of(b[0]) for c in [node] for b in c.blocks), 1)
     kids: list = []
     for c in node.children:
         w = as_wrapper(c)
         if kids and kids[-1][0] == w[0]:
             join_in(kids[-1], w)
-            kids[-1][1] = 1
-            kids[-1][2] = dict.fromkeys(kids[-1][2], 1)
+            on_one_page(kids[-1])
         else:
             kids.append(w)
-    return [node.label, 1, texts, kids]
+    return [node.label, 1, {}, kids]
+
+
+def on_one_page(w: list) -> None:
+    w[1] = 1
+    for c in w[3]:
+        on_one_page(c)
 
 
 def size(w: list) -> int:
@@ -255,15 +257,8 @@ def pairs_of(a: list[list], b: list[list]) -> list[tuple[int, int]]:
 
 
 def join_in(a: list, b: list) -> None:
-    """Merges wrapper b into a: matched nodes add up, others are inserted in order. Counts of texts
-    beyond KEPT are lowered together (frequent ones stay, by at most 1 / (KEPT + 1) of the pages too low)."""
+    """Merges wrapper b into a: matched nodes add up, others are inserted in order."""
     a[1] += b[1]
-    texts = a[2]
-    for k, n in b[2].items():
-        texts[k] = texts.get(k, 0) + n
-    if len(texts) > KEPT and a[1] > 1:
-        cut = sorted(texts.values(), reverse=True)[KEPT]
-        a[2] = {k: n - cut for k, n in texts.items() if n > cut}
     pairs = pairs_of(a[3], b[3])
     kids, i, j = [], 0, 0
     for x, y in [*pairs, (len(a[3]), len(b[3]))]:
@@ -322,19 +317,22 @@ def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([part % 64] * len(hosts), pa.int32()), pa.array([packed(w) for w in hosts.values()], pa.binary())], names=["host", "part", "wrapper"])
 
 
+def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        filled = []
+        for w, counts in zip(batch.column("wrapper").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            filled.append(packed(with_counts(unpacked(w), [(c["place"], c["text"], c["pages"]) for c in counts or ()])))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(filled, pa.binary())], names=["host", "wrapper"])
+
+
 def merge_group(rows: pd.DataFrame) -> pd.DataFrame:
     whole = merged([unpacked(bytes(x)) for x in rows["wrapper"]])
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "part": [rows["part"].iloc[0]], "wrapper": [packed(whole)]})
 
 
-def template_of(node: Node, w: list | None, least: int, share: float, out: set[int]) -> None:
-    """Collects ids of blocks of `node` whose text recurs on `share` of the pages that have the place."""
-    if w is not None and w[1] >= least:
-        for b in node.blocks:
-            if w[2].get(key_of(b[0]), 0) >= share * w[1]:
-                out.add(id(b))
-    if w is None:
-        return
+def aligned(node: Node, w: list, out: list[tuple[Node, list]]) -> list[tuple[Node, list]]:
+    """The nodes of a page and the wrapper nodes that they stand at."""
+    out.append((node, w))
     groups: list[list[Node]] = []
     for c in node.children:
         if groups and groups[-1][0].label == c.label:
@@ -347,7 +345,72 @@ def template_of(node: Node, w: list | None, least: int, share: float, out: set[i
         pairs = pairs_of(as_wrapper(node)[3], w[3])
     for i, j in pairs:
         for c in groups[i]:
-            template_of(c, w[3][j], least, share, out)
+            aligned(c, w[3][j], out)
+    return out
+
+
+def template_of(root: Node, wrapper: list, least: int, share: float) -> set[int]:
+    """Ids of blocks whose text recurs on more than `share` of the pages that have the place."""
+    return {id(b) for node, w in aligned(root, wrapper, []) if w[1] >= least for b in node.blocks if w[2].get(key_of(b[0]), 0) > share * w[1]}
+
+
+def in_order(w: list, out: list[list]) -> list[list]:
+    out.append(w)
+    for c in w[3]:
+        in_order(c, out)
+    return out
+
+
+def places_of(page: str, wrapper: list) -> set[tuple[int, int]]:
+    """(place, text key) of all blocks of a page, each once, and (place, -1) for each place it has;
+    a place is the number of a wrapper node."""
+    number = {id(w): i for i, w in enumerate(in_order(wrapper, []))}
+    out = set()
+    for node, w in aligned(parse(page), wrapper, []):
+        out.add((number[id(w)], -1))
+        out.update((number[id(w)], key_of(b[0])) for b in node.blocks)
+    return out
+
+
+def with_counts(wrapper: list, counts: list) -> list:
+    """The wrapper with the pages of its places and of the texts that recur there."""
+    nodes = in_order(wrapper, [])
+    for w in nodes:
+        w[1], w[2] = 0, {}
+    for place, text, pages in counts or ():
+        if text == -1:
+            nodes[place][1] = pages
+        else:
+            nodes[place][2][text] = pages
+    return wrapper
+
+
+def counted(rows: DataFrame, wrappers: DataFrame, least: int, share: float) -> DataFrame:
+    """(host, counts): how many different pages have each place, and each text that is on more
+    than `share` of them there, exactly. Pages of equal source count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list] = {}
+        for batch in batches:
+            items = []
+            for raw, w in zip(batch.column("html"), batch.column("wrapper"), strict=True):
+                w = w.as_py()
+                if w not in known:
+                    if len(known) > 2_000:
+                        known.clear()
+                    known[w] = unpacked(w)
+                items.append([{"place": p, "text": t} for p, t in places_of(raw.as_py(), known[w])])
+            kind = pa.list_(pa.struct([("place", pa.int32()), ("text", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(items, kind)], names=["host", "page", "items"])
+
+    joined = join_stats(rows.filter("html is not null").select("host", "html", F.xxhash64("html").alias("page")), wrappers, "host", "page", most=2_000)
+    items = joined.filter("wrapper is not null").select("host", "page", "html", "wrapper").mapInArrow(run, "host string, page long, items array<struct<place:int,text:long>>")
+    once = items.groupBy("host", "page").agg(F.first("items").alias("items")).select("host", F.inline("items"))
+    # no text on fewer pages than this can recur
+    counts = staged(once.groupBy("host", "place", "text").agg(F.count("*").alias("pages")).filter((F.col("text") == -1) | (F.col("pages") > share * least)))
+    whole = counts.filter("text = -1").select("host", "place", F.col("pages").alias("of"))
+    recurring = counts.join(whole, ["host", "place"]).filter((F.col("of") >= least) & ((F.col("text") == -1) | (F.col("pages") > share * F.col("of"))))
+    return recurring.groupBy("host").agg(F.collect_list(F.struct("place", "text", "pages")).alias("counts"))
 
 
 def good_text(node: Node, template: set[int]) -> int:
@@ -393,7 +456,7 @@ def main_text(page: str | None, wrapper: list | None, least: int = 4, share: flo
     root = parse(page)
     template: set[int] = set()
     if wrapper is not None:
-        template_of(root, wrapper, least, share, template)
+        template = template_of(root, wrapper, least, share)
     out: list[str] = []
     for node in region_of(root, template):
         blocks_of(node, template, out)
@@ -415,7 +478,8 @@ def extract(pages: DataFrame, least: int = 4, share: float = 0.5) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     sent = rows.select("host", "html").mapInArrow(induce, WRAPPERS)
     merged_ = sent.groupBy("host", "part").applyInPandas(merge_group, WRAPPERS)
-    wrappers = merged_.groupBy("host").applyInPandas(merge_group, WRAPPERS).select("host", "wrapper")
+    wrappers = staged(merged_.groupBy("host").applyInPandas(merge_group, WRAPPERS).select("host", "wrapper"))
+    wrappers = wrappers.join(counted(rows, wrappers, least, share), "host", "left").select("host", "wrapper", "counts").mapInArrow(fill, "host string, wrapper binary")
     # a wrapper takes some kilobytes: 2,000 of them may be broadcast
     joined = join_stats(rows, wrappers, "host", "page_id", most=2_000)
 

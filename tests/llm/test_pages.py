@@ -52,6 +52,19 @@ def test_nothing_of_the_article_is_dropped():
     assert pages.main_text(bare, None) == f"Title\n\n{long.strip()}"
 
 
+def test_recurring_text_among_many_unique_ones(spark):
+    """A notice on every page beside 15 paragraphs of its own, and one in repeated parts of a page."""
+    def page(i):
+        own = "".join(f"<p>Own text {i} {j}.</p>" for j in range(15))
+        return f"<body><div>{own}<p>All rights belong to us.</p></div><div><section><p>a{i}</p></section></div><div><section><p>b{i}</p><p>See you.</p></section></div></body>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)]
+    for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r["page_id"]
+        assert r["text"].split("\n\n") == [*(f"Own text {i} {j}." for j in range(15)), f"a{i}", f"b{i}"]
+    two = pages.as_wrapper(pages.parse(page(1)))
+    assert {w[1] for w in pages.in_order(two, [])} == {1}
+
+
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, None, ""), (2, "x", "plain &lt;text&gt;"), (2, "x", "plain &lt;text&gt;"), (3, "http://h/", "<div>" * 5000 + "deep"), (4, "http://h/", "<p>a<!-- open"), (5, "http://h/", "<p class='x>broken"), (6, "http://h/", "<p>" + "w &amp; " * 200000)]
     df = spark.createDataFrame([(*r, 1, "h") for r in rows], "page_id long, url string, html string, host int, wrapper string")
