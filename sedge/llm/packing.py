@@ -27,12 +27,8 @@ from .common import staged
 from .sharding import ranked
 
 CAPACITY = 2048
-#: The tokenizer's own rule for splitting lower-case text, as a fixed value.
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of these characters only are the same after NFC and lower-case to single characters.
-SIMPLE = r"[\x21-\x7e¡-įı-ſ]+"
-#: Words kept per Python worker; beyond that the memory starts anew.
-KEPT_WORDS = 600_000
+#: Parts of words kept per Python worker; beyond that the memory starts anew.
+KEPT_PARTS = 600_000
 #: Texts are handled in slices of about so many bytes (or one text, if it is longer).
 SLICE_BYTES = 4_000_000
 
@@ -40,56 +36,116 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _state: dict = {}
 
 
-def _encoder(path: str):
-    """word -> tuple of ids, remembered per worker. No token spans white space."""
+# Classes of bytes. The tokenizer splits lower-case text into runs of letters, single digits and runs
+# of other characters, and no token spans white space. ASCII and the two-byte letters named here stay
+# as they are under NFC and lower-case to single characters; words with anything else, with an
+# apostrophe (contractions) or a "<|" (special tokens) are given to the tokenizer whole.
+SPACE, LETTER, DIGIT, OTHER, WHOLE = range(5)
+LATIN = [c for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7, 0x130)]
+
+
+def _byte_classes() -> np.ndarray:
+    kinds = np.full(256, WHOLE, np.uint8)
+    kinds[0x21:0x7F] = OTHER
+    kinds[[0x20, *range(0x09, 0x0E)]] = SPACE
+    kinds[0x30:0x3A] = DIGIT
+    kinds[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+    kinds[0x27] = WHOLE
+    return kinds
+
+
+_CLASS = _byte_classes()
+#: For two bytes: the lower case of the letter of LATIN that they are, as two bytes; 0 for others.
+_PAIR = np.zeros((256, 256, 2), np.uint8)
+for _c in LATIN:
+    _PAIR[0xC0 | _c >> 6, 0x80 | _c & 0x3F] = list(chr(_c).lower().encode())
+
+
+def _encoder(path: str) -> dict:
     if _state.get("path") != path:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), split=regex.compile(PRETOKENS).findall, simple=regex.compile(SIMPLE).fullmatch, known={})
+        _state.update(path=path, tokenizer=Tokenizer.from_file(path), known={})
     return _state
 
 
-def encode_words(words: list[str], path: str) -> list[tuple[int, ...]]:
-    """Ids of each word (a string without white space), as the tokenizer gives them."""
+def encode_parts(parts: list[str], whole: np.ndarray, path: str) -> list[tuple[int, ...]]:
+    """Ids of each of these distinct strings, as the tokenizer gives them; remembered per worker.
+
+    Those that are not `whole` are one piece to the tokenizer's own splitting, so many go in one call.
+    """
     s = _encoder(path)
-    known, split, simple = s["known"], s["split"], s["simple"]
-    if len(known) > KEPT_WORDS:
+    known, tokenizer = s["known"], s["tokenizer"]
+    if len(known) > KEPT_PARTS:
         known.clear()
-    parts = [split(w.lower()) if simple(w) and "<|" not in w else None for w in words]  # "<|": special tokens
-    new = list({p for ps in parts if ps for p in ps if p not in known})
-    for at in range(0, len(new), 10_000):
-        some = new[at : at + 10_000]
-        for p, e in zip(some, s["tokenizer"].encode_batch(some, add_special_tokens=False), strict=True):
-            known[p] = tuple(e.ids)
-    out = []
-    for w, ps in zip(words, parts, strict=True):
-        if ps is None:
-            out.append(tuple(s["tokenizer"].encode(w, add_special_tokens=False).ids))
-        elif len(ps) == 1:
-            out.append(known[ps[0]])
-        else:
-            out.append(tuple(i for p in ps for i in known[p]))
-    return out
+    new = [(p, w) for p, w in zip(parts, whole.tolist(), strict=True) if p not in known]
+    for p in [p for p, w in new if w]:
+        known[p] = tuple(tokenizer.encode(p, add_special_tokens=False).ids)
+    plain = [p for p, w in new if not w]
+    for at in range(0, len(plain), 1000):
+        some = plain[at : at + 1000]
+        e = tokenizer.encode(" ".join(some), add_special_tokens=False)
+        ids, piece = e.ids, np.array(e.word_ids)
+        if piece[-1] != len(some) - 1:
+            raise ValueError("the tokenizer splits parts of words further")
+        cuts = np.searchsorted(piece, np.arange(len(some) + 1)).tolist()
+        known.update((p, tuple(ids[a:b])) for p, a, b in zip(some, cuts, cuts[1:], strict=False))
+    return [known[p] for p in parts]
+
+
+def split_parts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of each part of UTF-8 text that starts and ends with a space, and whether it
+    is a whole word. Letters of the other parts become lower case in place."""
+    kinds = _CLASS[raw]
+    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))
+    pair = _PAIR[raw[lead], raw[lead + 1]]
+    lead, pair = lead[pair[:, 0] > 0], pair[pair[:, 0] > 0]
+    kinds[lead] = kinds[lead + 1] = LETTER
+    kinds[np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))] = WHOLE
+    # words with a byte of class WHOLE are one part
+    space = kinds == SPACE
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
+    odd = np.flatnonzero(kinds == WHOLE)
+    if len(odd):
+        for w in np.unique(np.searchsorted(starts, odd, side="right") - 1):
+            kinds[starts[w] : ends[w]] = WHOLE
+    plain = kinds[lead] == LETTER
+    raw[lead[plain]], raw[lead[plain] + 1] = pair[plain, 0], pair[plain, 1]
+    raw += 32 * ((kinds == LETTER) & (raw >= 0x41) & (raw <= 0x5A)).astype(np.uint8)
+    new = np.concatenate([[False], (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)])
+    first = np.flatnonzero(new & (kinds != SPACE))
+    cut = np.flatnonzero(new)
+    return first, cut[np.searchsorted(cut, first) + 1], kinds[first] == WHOLE
 
 
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids as uint32, each text ended by id 0, and the offsets of the texts. Null: empty."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    words = split.flatten().dictionary_encode()
-    ids = encode_words(words.dictionary.to_pylist(), path)
+    texts = pc.fill_null(texts, "")
+    sizes = np.asarray(pc.binary_length(texts)).astype(np.int64)
+    raw = np.frombuffer(bytearray(b" " + b" ".join(x.as_buffer() for x in texts) + b" "), np.uint8)
+    first, end, whole = split_parts(raw)
+    # the parts end to end, as strings
+    size = end - first
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = raw[np.repeat(first - at[:-1], size) + np.arange(at[-1])]
+    named = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)).dictionary_encode()
+    codes = np.asarray(named.indices).astype(np.int64)
+    odd = np.zeros(len(named.dictionary), bool)
+    odd[codes[whole]] = True
+    ids = encode_parts(named.dictionary.to_pylist(), odd, path)
     ids.append((0,))
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-    # one more "word", the closing 0, after those of each text
-    ends = np.asarray(split.offsets)[1:].astype(np.int64) - int(split.offsets[0].as_py())
-    codes = np.insert(np.asarray(words.indices).astype(np.int64), ends, len(ids) - 1)
-    per_word = lengths[codes]
-    upto = np.concatenate([[0], np.cumsum(per_word)])
-    at = np.repeat((np.cumsum(lengths) - lengths)[codes] - upto[:-1], per_word) + np.arange(upto[-1])
+    # one more "part", the closing 0, after those of each text
+    ends = np.searchsorted(first, 1 + np.cumsum(sizes + 1))
+    codes = np.insert(codes, ends, len(ids) - 1)
+    per_part = lengths[codes]
+    upto = np.concatenate([[0], np.cumsum(per_part)])
+    at = np.repeat((np.cumsum(lengths) - lengths)[codes] - upto[:-1], per_part) + np.arange(upto[-1])
     return flat[at], np.concatenate([[0], upto[ends + np.arange(1, len(ends) + 1)]])
 
 
