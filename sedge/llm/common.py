@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset (one machine, as in tests), a fresh temporary folder kept for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a fresh
+    temporary folder kept for the session, on one machine only (as in tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="sedge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -58,8 +60,17 @@ def unit_hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def join_stats(rows: DataFrame, stats: DataFrame, key: str, salt_by: str, most: int = 100_000, salts: int = 64) -> DataFrame:
-    """Left join of `rows` to `stats` (one row per key; both keys non-null).
+def boxed(rows: DataFrame, *columns: str) -> DataFrame:
+    """Each row as one struct `_row`, beside `columns` of it, so that no helper's name can clash."""
+    return rows.select(F.struct(*[F.col(quoted(c)) for c in rows.columns]).alias("_row"), *[F.col(quoted(c)) for c in columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def join_stats(rows: DataFrame, stats: DataFrame, key: str | list[str], salt_by: str | list[str], most: int = 100_000, salts: int = 64) -> DataFrame:
+    """Left join of `rows` to `stats` (one row per key; null keys find nothing).
 
     `stats` is broadcast only when it is counted and has at most `most` rows; otherwise each key
     is spread over `salts` copies, so that a key with a third of all rows meets many tasks.
@@ -68,5 +79,6 @@ def join_stats(rows: DataFrame, stats: DataFrame, key: str, salt_by: str, most:
     if stats.count() <= most:
         return rows.join(F.broadcast(stats), key, "left")
     salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    return rows.join(salted, [key, "_salt"], "left").drop("_salt")
+    salt = F.xxhash64(*([salt_by] if isinstance(salt_by, str) else salt_by))
+    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    return rows.join(salted, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_stats, n_words_of, unit_hash
+from .common import boxed, join_stats, n_words_of, unit_hash
 
 WEIGHTS = (5, 2, 1)
 
@@ -43,11 +43,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
 
 
 def with_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Adds `size` (words), `source_size`, `target` and `copies` (0 to 3) to `docs`.
+    """Adds `size` (words), `source_size`, `target` and `copies` (0 to 3) to `docs`, which must not
+    have columns of these names or one that begins with an underscore, but `_row`.
 
     Null texts have size 0 and a null source is a source of its own. A source without words has
-    target 0 and its documents are taken as often as their weight-free limit: never. Repeated rows
-    share their document id's hash, so reruns and copies agree.
+    target 0 and none of its documents is taken. Repeated rows share their document id's hash, so
+    reruns and copies agree.
     """
     sized = docs.withColumns({"size": n_words_of(F.col("text")), "_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))})
     targets = source_targets(sized.select("_source", "source", "size"))
@@ -58,11 +59,8 @@ def with_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mixture itself: every document `copies` times, with the columns of `docs`."""
-    columns = [c for c in docs.columns]
-    return (
-        with_copies(docs, seed)
-        .filter("copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*columns)
-    )
+    """The mixture itself: every document `copies` times, with the columns of `docs`, whatever their
+    names. Of an empty table nothing is taken."""
+    own = boxed(docs, "doc_id", "source", "text")
+    taken = with_copies(own, seed).filter("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

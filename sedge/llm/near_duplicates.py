@@ -2,30 +2,33 @@
 
 Documents are sets of hashed word shingles. Two sets of at least 75 % Jaccard similarity share a
 shingle among the rarest quarter of either (its prefix, ordered by the number of documents that
-have the shingle). Documents with equal prefixes and sizes form a group; groups that share a prefix
-shingle are paired, filtered by size, expanded to members, and verified on whole sets.
-
-Classes of near duplicates hold thousands of documents, so pairs are made in rounds. First each
-document is verified against the one group that stands for most of its prefix shingles; what links is
-one component. Then only groups of different components that still share a shingle are
-paired, all of them, so no link that joins two components is lost.
+have the shingle). Documents with equal prefixes and sizes form a group; pairs of groups that share a prefix
+shingle are filtered by size, by the place of that shingle and by bitmaps of the sets, expanded to members,
+and verified on whole sets.
+
+Classes of near duplicates hold thousands of documents, so sets are first sorted by min-hashes, a few
+times with different ones, and verified against the next few in that order: most links of a class turn up there, at a cost in
+proportion to the sets. Then only groups of different components are paired, all of
+them, so no link that joins two components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from .common import staged
+from .common import boxed, join_stats, quoted, staged
 from .components import components
 from .windows import SENT, U, in_chunks, mix, read_words, runs_of, scale_of
 
 COUNTS = "chunk int, bucket int, counts binary"
-SETS = "doc_id long, text_hash long, node long, n long, keys binary, prefix array<long>"
+SETS = "doc_id long, text_hash long, node long, check long, n long, keys binary, prefix array<long>, bits array<long>"
 
 
 def shingle_sets(texts: pa.ChunkedArray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -53,16 +56,21 @@ def shingle_sets(texts: pa.ChunkedArray, size: int = 5) -> tuple[np.ndarray, np.
     return keys, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def set_ids(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+def set_ids(keys: np.ndarray, first: np.ndarray, seed: int = 0x5851F42D4C957F2D) -> np.ndarray:
     """A hash of each set; equal for equal sets."""
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(keys ^ U(0x5851F42D4C957F2D)), dtype=U)])
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(keys ^ U(seed)), dtype=U)])
     n = np.diff(first).astype(U)
     return mix(sums[first[1:]] - sums[first[:-1]] + n * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def first_of_each(ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), bool)
-    out[np.unique(ids, return_index=True)[1]] = True
+def second_ids(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """An independent hash of each set, which tells sets apart whose first hashes agree."""
+    return set_ids(keys, first, 0x2545F4914F6CDD1D)
+
+
+def first_of_each(*ids: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(ids[0]), bool)
+    out[np.unique(np.stack(ids), axis=1, return_index=True)[1] if len(ids) > 1 else np.unique(ids[0], return_index=True)[1]] = True
     return out
 
 
@@ -85,7 +93,7 @@ def unplaned(column: pa.ChunkedArray) -> list[np.ndarray]:
 def send_shingles(chunk: int, docs: pa.Table, buckets: int) -> pa.Table:
     """Each shingle once with the number of different sets here that have it, in order."""
     keys, first = shingle_sets(docs.column("text"))
-    once = np.repeat(first_of_each(set_ids(keys, first)), np.diff(first))
+    once = np.repeat(first_of_each(set_ids(keys, first), second_ids(keys, first)), np.diff(first))
     keys, counts = np.unique(keys[once], return_counts=True)
     bucket, place = bucket_of(keys, buckets)
     at = np.searchsorted(bucket, np.arange(buckets + 1).astype(U))
@@ -121,11 +129,18 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def find_prefixes(docs: pa.Table, replies: pa.Table, percent: int) -> pa.Table:
+def bitmap(keys: np.ndarray, words: int = 4) -> np.ndarray:
+    """Each key turns over one of 64 * `words` bits. Two sets differ in at least as many keys as their
+    bitmaps differ in bits."""
+    bits = np.bincount((mix(keys ^ U(0x632BE59BD9B4E019)) % U(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
+def find_prefixes(docs: pa.Table, replies: pa.Table, percent: int, node_bits: int = 64) -> pa.Table:
     """Every document's set id and size; for those that can link at all, once per set, its shingles
     and the part of its prefix that others have too."""
     keys, first = shingle_sets(docs.column("text"))
-    node, n = set_ids(keys, first), np.diff(first)
+    node, check, n = set_ids(keys, first) >> (64 - node_bits), second_ids(keys, first), np.diff(first)
     sent, at = np.unique(keys, return_inverse=True)
     told = unplaned(replies.sort_by("bucket").column("counts"))
     counts = np.concatenate([np.zeros(0, "<u4"), *told]).astype(np.int64)
@@ -135,22 +150,67 @@ def find_prefixes(docs: pa.Table, replies: pa.Table, percent: int) -> pa.Table:
     doc = np.repeat(np.arange(len(n)), n)
     shared = np.bincount(doc, weights=count > 1, minlength=len(n)).astype(np.int64)
     need = needed(n, percent)
-    carries = (n > 0) & (shared >= need) & first_of_each(node)
-    raw, prefixes = [], []
+    carries = (n > 0) & (shared >= need) & first_of_each(node, check)
+    raw, prefixes, bits = [], [], []
     for i in range(len(n)):
         if not carries[i]:
-            raw.append(None), prefixes.append(None)
+            raw.append(None), prefixes.append(None), bits.append(None)
             continue
         a, b = first[i], first[i + 1]
         raw.append(keys[a:b].astype("<u8").tobytes())
+        bits.append(bitmap(keys[a:b]))
         order = np.lexsort((keys[a:b], count[a:b]))[: n[i] - need[i] + 1]
         prefixes.append(keys[a:b][order][count[a:b][order] > 1].view(np.int64))
     return pa.table(
-        [docs.column("doc_id").combine_chunks(), docs.column("text_hash").combine_chunks(), pa.array(node), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-        names=["doc_id", "text_hash", "node", "n", "keys", "prefix"],
+        [docs.column("doc_id").combine_chunks(), docs.column("text_hash").combine_chunks(), pa.array(node), pa.array(check), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+        names=["doc_id", "text_hash", "node", "check", "n", "keys", "prefix", "bits"],
     )
 
 
+def same_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, as sorted distinct keys, link."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+def keys_in(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(memoryview(v.as_buffer()), "<u8") for v in column]
+
+
+def neighbours_in_order(sets: DataFrame, percent: int, seed: int, hashes: int = 12, width: int = 3) -> DataFrame:
+    """Linked pairs (a, b) among sets that stand next to each other, up to `width` places apart, when
+    sorted by their min-hashes. Ranges of the order are the tasks, so equal ones may be many."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = keys_in(batch.column("keys"))
+            signs = np.zeros((len(keys), hashes), ">u4")
+            if keys:
+                flat = np.concatenate(keys)
+                size = np.array([len(k) for k in keys])
+                for h in range(hashes):
+                    salt = mix(np.array([seed * 1000 + h + 1], U))[0]
+                    signs[:, h] = np.minimum.reduceat(mix(flat ^ salt), np.cumsum(size) - size) >> U(32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("keys"), pa.array([x.tobytes() for x in signs], pa.binary())], names=["node", "keys", "sign"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: list[tuple[int, np.ndarray]] = []
+        for batch in batches:
+            found = []
+            for node, keys in zip(batch.column("node").to_pylist(), keys_in(batch.column("keys")), strict=True):
+                found += [(node, other) for other, theirs in before if same_enough(keys, theirs, percent)]
+                before = [*before[1 - width :], (node, keys)] if width > 1 else [(node, keys)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    signed = sets.select("node", "keys").mapInArrow(sign, "node long, keys binary, sign binary")
+    ordered = signed.repartitionByRange("sign", "node").sortWithinPartitions("sign", "node")
+    return ordered.select("node", "keys").mapInArrow(compare, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link. One of the two sets of a pair is shuffled."""
     # a set that stands in very many pairs is spread: each pair takes one of as many copies as needed
@@ -166,59 +226,55 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("ka"), batch.column("kb"), strict=True):
-                x, y = (np.frombuffer(memoryview(v.as_buffer()), "<u8") for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(100 * same >= percent * (len(both) - same))
+            good = [same_enough(x, y, percent) for x, y in zip(keys_in(batch.column("ka")), keys_in(batch.column("kb")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return rows.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
-def similar_sizes(a: str, b: str, percent: int):
-    return (100 * F.least(a, b)) >= percent * F.greatest(a, b)
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes n and bitmaps (null: unknown) let two sets link."""
+    a, b = F.col(f"n{x}"), F.col(f"n{y}")
+    apart = reduce(lambda s, c: s + c, [F.bit_count(F.col(f"bits{x}")[i].bitwiseXOR(F.col(f"bits{y}")[i])) for i in range(4)])
+    # the sets differ in a + b - 2 * overlap keys
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.coalesce(apart, F.lit(0)) <= a + b - 2 * overlap(a, b, percent))
+
 
+def overlap(a: Column, b: Column, percent: int) -> Column:
+    """The least overlap with which sets of these sizes link."""
+    return F.ceil(percent * (a + b) / (100 + percent))
 
-def links(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+
+def open_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a prefix shingle and may link.
+
+    What the members of a group have in one component is a part; parts are paired first.
+    """
+    members = staged(sets.select("node", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("g")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    parts = members.groupBy("g", "label").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    # shingles that only one document has come first in a prefix and are not listed
+    at = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - F.size("prefix")
+    posts = staged(parts.select("g", "label", "n", "bits", (F.col("n") - at).alias("rest"), F.posexplode("prefix").alias("i", "token")).withColumn("rest", F.col("rest") - F.col("i")).drop("i"))
+    # a shingle with one component only has nothing to find; the parts of one are paired block by block, so
+    # that it meets many tasks
+    cut = posts.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / 1024).cast("int").alias("cuts")).filter("lo < hi").select("token", "cuts")
+    left = join_stats(posts, cut, "token", ["g", "label"]).filter("cuts is not null")
+    names = ("g", "label", "n", "bits", "rest")
+    mine, every = F.pmod(F.xxhash64("g", "label"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    x = left.select("token", mine.alias("p"), every.alias("q"), *[F.col(c).alias(f"{c}1") for c in names])
+    y = left.select("token", every.alias("p"), mine.alias("q"), *[F.col(c).alias(f"{c}2") for c in names])
+    # from the first shared shingle on, both sets must still hold the overlap
+    enough = F.least("rest1", "rest2") >= overlap(F.col("n1"), F.col("n2"), percent)
+    found = x.join(y, ["token", "p", "q"]).filter((F.col("label1") < F.col("label2")) & enough & may_link("1", "2", percent)).select("g1", "label1", "g2", "label2").distinct()
+    a, b = (members.select(F.col("g").alias(f"g{k}"), F.col("label").alias(f"label{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"), F.col("node").alias(c)) for k, c in ((1, "a"), (2, "b")))
+    return found.join(a, ["g1", "label1"]).join(b, ["g2", "label2"]).filter(may_link("1", "2", percent)).select("a", "b")
+
+
+def links(sets: DataFrame, percent: int, orders: int = 3) -> DataFrame:
     """Edges (a, b) between linked nodes that connect whatever the full join would connect."""
-    grouped = staged(sets.select("node", "n", "prefix", F.xxhash64("n", "prefix").alias("g")))
-    posts = staged(grouped.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("g", "n", F.explode("prefix").alias("token")))
-    members = grouped.select("g", "node", "n")
-    labels = members.withColumn("label", F.col("node"))
-    edges = None
-    for r in range(rounds + 1):
-        # the group's part in each component; a shingle with one component only has nothing to find
-        parts = staged(labels.groupBy("g", "label").agg(F.min("node").alias("stands"), F.max("n").alias("n")))
-        open_posts = posts.select("g", "token").join(parts, "g")
-        mixed = open_posts.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-        if r == 0:  # also within a group: its members against the one that stands for it
-            inner = members.join(members.groupBy("g").agg(F.min("node").alias("b")), "g").filter("node <> b").select(F.col("node").alias("a"), "b")
-        if r < rounds:
-            band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
-            voted = open_posts.join(mixed, "token").withColumn("band", band)
-            stand = voted.groupBy("token", "band").agg(F.min(F.struct("label", "stands")).alias("s"))
-            voted = voted.join(stand, ["token", "band"]).filter("s.label <> label").groupBy("g", "label", "s").agg(F.count("*").alias("votes"))
-            choice = voted.groupBy("g", "label").agg(F.max_by("s", F.struct("votes", F.col("s.stands"))).alias("s"))
-            pairs = labels.join(choice, ["g", "label"]).select(F.col("node").alias("a"), F.col("s.stands").alias("b"))
-            if r == 0:
-                pairs = pairs.unionByName(inner)
-        else:
-            left = open_posts.join(mixed, "token")
-            x = left.select("token", *[F.col(c).alias(f"{c}1") for c in ("g", "label", "n")])
-            y = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "label", "n")])
-            found = x.join(y, "token").filter((F.col("label1") < F.col("label2")) & similar_sizes("n1", "n2", percent)).select("g1", "label1", "g2", "label2").distinct()
-            a = labels.select(F.col("g").alias("g1"), F.col("label").alias("label1"), F.col("node").alias("a"))
-            b = labels.select(F.col("g").alias("g2"), F.col("label").alias("label2"), F.col("node").alias("b"))
-            pairs = found.join(a, ["g1", "label1"]).join(b, ["g2", "label2"]).select("a", "b")
-        new = staged(verify(staged(pairs.filter("a <> b").distinct()), sets.select("node", "keys"), percent))
-        edges = new if edges is None else staged(edges.unionByName(new))
-        if r < rounds:
-            label = components(edges)
-            labels = staged(members.join(label, "node", "left").select("g", "node", "n", F.coalesce("label", "node").alias("label")))
-    return edges
+    near = staged(reduce(DataFrame.unionByName, [staged(neighbours_in_order(sets, percent, r)) for r in range(orders)]).distinct())
+    pairs = staged(open_pairs(sets, components(near), percent))
+    return near.unionByName(verify(pairs, sets.select("node", "keys"), percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -229,38 +285,53 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shingles. Equal sets link. Null and blank texts have no shingles and link with nothing, not even
     one another. Rows that share an id are documents of their own; a null id joins components, whose
     smallest id is then that of the others (null if there is none). An empty table gives no rows.
+    Other columns are not read. Shingles are compared by 64-bit hashes, equal sets by 128 bits.
     """
     return labelled(docs, percent).select("doc_id", "n_shingles", "component_id", "text_hash")
 
 
-def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
+def told_apart(found: DataFrame) -> DataFrame:
+    """`found` where different sets have different nodes: those whose 64-bit hashes agree, which only
+    very large inputs hold, are named by both their hashes."""
+    clash = staged(found.filter("n > 0").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo < hi").select("node", F.lit(True).alias("clash")))
+    if clash.isEmpty():
+        return found
+    both = join_stats(found, clash, "node", ["doc_id", "text_hash"])
+    return staged(both.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("clash"))
+
+
+def labelled(docs: DataFrame, percent: int = 75, node_bits: int = 64) -> DataFrame:
     """The rows of `near_duplicates` with `label`, which tells components apart where ids do not
-    (null without shingles)."""
+    (null without shingles). `node_bits` is lowered by tests alone, to make hashes of sets collide."""
     scale = scale_of(docs)
     chunks = in_chunks(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), scale, "text_hash")
     n = scale.buckets
     sent = chunks.groupBy("chunk").applyInArrow(lambda k, t: send_shingles(k[0].as_py(), t, n), SENT)
-    counted = sent.groupBy("bucket").applyInArrow(count_shingles, COUNTS)
-    found = staged(chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda t, r: find_prefixes(t, r, percent), SETS))
-    sets = staged(found.filter("keys is not null").groupBy("node", "n").agg(F.first("keys").alias("keys"), F.first("prefix").alias("prefix")))
+    # written down, so that the shingles' exchange is gone before the texts are read again
+    counted = staged(sent.groupBy("bucket").applyInArrow(count_shingles, COUNTS))
+    found = told_apart(staged(chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda t, r: find_prefixes(t, r, percent, node_bits), SETS)))
+    sets = staged(found.filter("keys is not null").groupBy("node", "n").agg(F.first("keys").alias("keys"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     label = components(links(sets, percent))
     docs_ = found.select("doc_id", "text_hash", "n", "node")
     # nodes that links joined take their label; a set's node is its label otherwise
-    rows = docs_.join(label, "node", "left").select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "text_hash", "label")
+    rows = join_stats(docs_, label, "node", ["doc_id", "text_hash"]).select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    several = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).filter("m > 1").select("label", "least", F.lit(True).alias("grouped"))
+    out = join_stats(rows, several, "label", ["doc_id", "text_hash"])
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grouped"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "label")
 
 
 def keep_one_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """`docs` without all but one document of each group: the one with the smallest id.
 
-    Of rows that share this id and are linked, or have equal texts, one stays. Documents without links all stay, null and
-    blank ones too. Columns stay as they are.
+    Of rows that share this id and are linked, or have equal texts, one stays. Documents without links
+    all stay, null and blank ones too. Columns stay as they are, whatever their names.
     """
     groups = labelled(docs, percent).filter("doc_id <=> component_id")
-    first = groups.groupBy("doc_id", F.col("label").alias("_group"), F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("_blank")).agg(F.min("text_hash").alias("_text"))
-    chosen = first.select(F.col("doc_id").alias("_id"), "_text").distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")
-    place = Window.partitionBy("doc_id", "_hash").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
-    return kept.withColumn("_nth", F.row_number().over(place)).filter("_nth = 1").select(*docs.columns)
+    first = groups.groupBy("doc_id", "label", F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("blank")).agg(F.min("text_hash").alias("text_hash"))
+    chosen = first.select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    rows = boxed(docs).select("_row", F.col("_row.doc_id").alias("doc_id"), F.xxhash64("_row.text").alias("hash"))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("text_hash")), "left_semi")
+    # of equal ids and texts the first by the other columns that can be ordered
+    order = [F.col(f"_row.{quoted(f.name)}") for f in docs.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (MapType, VariantType))]
+    place = Window.partitionBy("doc_id", "hash").orderBy(*(order or [F.lit(0)]))
+    return kept.withColumn("nth", F.row_number().over(place)).filter("nth = 1").select("_row.*")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_stats, staged
+from .common import join_stats, quoted, staged
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -198,7 +198,12 @@ def find_personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), con
     columns named like the kinds or helpers if they are not in `keep`; those in `keep` come back as
     they are.
     """
-    own = docs.select(F.struct(*keep).alias("_own"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    return with_spans(docs, keep, confidence, support).select("_own.*", "base", "extra")
+
+
+def with_spans(docs: DataFrame, keep: tuple[str, ...], confidence: float = 0.8, support: int = 10) -> DataFrame:
+    """The rows of `find_personal_data`, with `keep` as one struct `_own`."""
+    own = docs.select(F.struct(*map(quoted, keep)).alias("_own"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     found = with_candidates(with_base(own, "_text"), "_text").drop("_text")
     found = staged(found.withColumn("_row", F.monotonically_increasing_id()))
     trusted = trusted_patterns(graph_of(found), confidence=confidence, support=support)
@@ -226,7 +231,7 @@ def find_personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), con
     extra = listed.select("_row", clear.alias("extra"))
     base = F.concat(*map(spans_of, KINDS))
     joined = join_stats(found.select("_row", "_own", base.alias("base")), extra, "_row", "_row")
-    return joined.select("_own.*", "base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")).alias("extra"))
+    return joined.select("_own", "base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")).alias("extra"))
 
 
 def digest(spans: Column) -> Column:
@@ -250,7 +255,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """`docs` with all personal data found in `text` masked; other columns and rows stay."""
-    found = find_personal_data(docs, tuple(docs.columns))
-    hidden = masked(F.col("text"), F.concat("base", "extra"))
-    return found.withColumn("text", hidden).select(*docs.columns)
+    """`docs` with all personal data found in `text` masked; other columns and rows stay, whatever
+    their names. An empty table stays empty."""
+    found = with_spans(docs, tuple(docs.columns))
+    hidden = masked(F.col("_own.text"), F.concat("base", "extra"))
+    return found.select(*[hidden.alias(c) if c == "text" else F.col(f"_own.{quoted(c)}") for c in docs.columns])

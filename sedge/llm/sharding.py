@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import boxed
+
 
 def ranked(rows: DataFrame, group: str, bucket: str, order: list[str], rank: str, total: str) -> DataFrame:
     """Adds the 0-based `rank` of each row by (bucket, order) inside `group`, and the group's `total`.
@@ -43,12 +45,15 @@ def interleave(rows: DataFrame, source: str, key: list[str], n_shards: int, seed
     columns that decide the shuffle; equal rows take neighbouring places in either order. An empty
     table stays empty. `hex_digits` sets the number of hash buckets, 16 to that power per source;
     the buckets are numbered one by one, so it is raised where a bucket would outgrow a task.
-    Columns named like the helper columns (`_source`, `_key`, ...) must not be in `rows`.
+    Columns of `rows` may have any names; a `shard` or `slot` of their own is replaced.
     """
+    rows = boxed(rows.drop("shard", "slot"), *dict.fromkeys([source, *key]))
+    rows = rows.select("_row", F.col(source).alias("_from"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)])
+    key = [f"_k{i}" for i in range(len(key))]
     buckets = 16**hex_digits
     text = F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in key])
     rows = (
-        rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
+        rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("_from")), F.lit("")))
         .withColumn("_key", F.md5(text))
         .withColumn("_bucket", F.substring("_key", 1, hex_digits))
     )
@@ -62,5 +67,5 @@ def interleave(rows: DataFrame, source: str, key: list[str], n_shards: int, seed
     return (
         rows.withColumn("shard", F.expr(f"(_place * {n_shards}) div _rows").cast("int"))
         .withColumn("slot", F.col("_place") - F.expr(f"(shard * _rows + {n_shards - 1}) div {n_shards}"))
-        .drop("_source", "_key", "_bucket", "_rank", "_total", "_at", "_all", "_place", "_rows")
+        .select("_row.*", "shard", "slot")
     )

@@ -1,6 +1,6 @@
 """Hashes of word windows, and an exchange that tells chunks of documents what others hold.
 
-Documents are dealt to chunks by a hash of their id. A chunk sends each of its distinct keys once,
+Documents are dealt to chunks by a hash of their id and text. A chunk sends each of its distinct keys once,
 packed per key bucket, so a passage that stands in a third of all documents costs each chunk one
 key. A bucket sees every chunk's keys, answers per chunk, and the answers meet the chunk's
 documents again. Both sides are bounded: chunks by bytes of text, buckets by keys.
@@ -9,11 +9,9 @@ documents again. Both sides are bounded: chunks by bytes of text, buckets by key
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +46,7 @@ class Words:
 
     hashes: np.ndarray  # per word
     first: np.ndarray  # per document, the place of its first word; one more at the end
+    checks: np.ndarray | None = None  # per word, a second and independent hash
 
     def left(self) -> np.ndarray:
         """Words from each word to the end of its document, itself included."""
@@ -58,9 +57,10 @@ class Words:
         """Places where a window of `size` words of one document starts."""
         return np.flatnonzero(self.left() >= size)
 
-    def windows(self, size: int) -> np.ndarray:
-        """The hash of the window of `size` words at every place; only those at `starts` are whole."""
-        h, width, done, at = self.hashes, 1, None, 0
+    def windows(self, size: int, second: bool = False) -> np.ndarray:
+        """The hash (or the second one) of the window of `size` words at every place; only those at
+        `starts` are whole."""
+        h, width, done, at = self.checks if second else self.hashes, 1, None, 0
         rest = size
         while rest:
             if rest & 1:
@@ -77,24 +77,51 @@ class Words:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def read_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """Words (runs without the bytes 20, 09-0D) of whole texts; null and blank texts have none."""
+_BYTES = np.arange(1, 257, dtype=U)  # what a byte counts in the first hash
+_CHECKS = mix(np.arange(1, 257, dtype=U) * _MULT[3])  # and in the second
+_FOLD = np.arange(256)
+_FOLD[65:91] += 32
+#: Texts are hashed in slices of about so many bytes, cut between words, which bounds the arrays of 8 bytes a byte.
+SLICE = 1_000_000
+
+
+def _slice_end(joined: np.ndarray, at: int) -> int:
+    """The first place at or after `at` that holds white space."""
+    step = 4096
+    while at < len(joined):
+        space = _SPACE[joined[at : at + step]]
+        if space.any():
+            return at + int(space.argmax())
+        at, step = at + step, step * 2
+    return len(joined)
+
+
+def read_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False, check: bool = False) -> Words:
+    """Words (runs without the bytes 20, 09-0D) of whole texts; null and blank texts have none.
+
+    `check` adds the second hash. Beyond the texts themselves, memory follows the words (8 bytes
+    each per hash) and one slice.
+    """
     raw = [t.as_buffer() if t.is_valid else b"" for t in texts.cast(pa.large_string())] if len(texts) else []
     sizes = np.array([len(memoryview(r)) if r else 0 for r in raw], dtype=np.int64)
-    joined = np.frombuffer(b" ".join([*map(bytes, raw), b""]) or b" ", np.uint8)
-    space = _SPACE[joined]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _power_tables(len(joined) + 1)
-    value = (_LOWER[joined] if lower else joined).astype(U) + U(1)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(value * up[: len(joined)], dtype=U)])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * _MULT[2])
+    joined = np.frombuffer(b" ".join([*raw, b""]) or b" ", np.uint8)
+    values = [_BYTES[_FOLD] if lower else _BYTES] + ([_CHECKS[_FOLD] if lower else _CHECKS] if check else [])
+    places, hashes, lo = [np.zeros(0, np.int64)], [[np.zeros(0, U)] for _ in values], 0
+    while lo < len(joined):
+        hi = _slice_end(joined, lo + SLICE)
+        some = joined[lo:hi]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[some], [True]]).view(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        up, down = _power_tables(len(some) + 1)
+        for value, out in zip(values, hashes, strict=True):
+            sums = np.zeros(len(some) + 1, U)
+            np.cumsum(value[some] * up[: len(some)], out=sums[1:])
+            out.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * _MULT[2]))
+        places.append(starts + lo)
+        lo = hi
     at = np.concatenate([[0], np.cumsum(sizes + 1)])
-    return Words(hashes, np.searchsorted(starts, at))
+    hashes = [np.concatenate(x) for x in hashes]
+    return Words(hashes[0], np.searchsorted(np.concatenate(places), at), hashes[1] if check else None)
 
 
 @dataclass
@@ -103,17 +130,18 @@ class Scale:
     buckets: int
 
 
-def scale_of(docs: DataFrame, chunk_mb: tuple[float, float] = (4, 16), keys_per_bucket: int = 2_000_000) -> Scale:
-    """How many chunks and buckets the texts need. Chunks grow with the root of the input, so that
-    packed keys stay many per chunk and bucket, between the two sizes."""
+def scale_of(docs: DataFrame, chunk_bytes: int = 4_000_000, keys_per_bucket: int = 2_000_000) -> Scale:
+    """How many chunks and buckets the texts need. Chunks have one size at any input, so a task's
+    memory does not grow; beyond about a terabyte a packed row holds few keys, and the exchange
+    costs what a shuffle of one row per key does."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    each = min(max(math.sqrt(size * 32_000), chunk_mb[0] * 1e6), chunk_mb[1] * 1e6)
-    return Scale(max(1, math.ceil(size / each)), max(64, math.ceil(size / 6 / keys_per_bucket)))
+    return Scale(max(1, math.ceil(size / chunk_bytes)), max(64, math.ceil(size / 6 / keys_per_bucket)))
 
 
 def in_chunks(docs: DataFrame, scale: Scale, *columns: str) -> DataFrame:
-    """(chunk, doc_id, text, columns), equal ids in one chunk."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(scale.chunks)).cast("int").alias("chunk"), "doc_id", "text", *columns).repartition("chunk")
+    """(chunk, doc_id, text, columns). Equal rows fall into one chunk; rows that only share an id,
+    or have none, are spread."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale.chunks)).cast("int").alias("chunk"), "doc_id", "text", *columns).repartition("chunk")
 
 
 SENT = "bucket int, chunk int, keys binary, notes binary"
@@ -151,11 +179,16 @@ def notes_of(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(memoryview(x.as_buffer()) for x in column), kind)
 
 
-def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that sorts keys, the start of each run of equal keys in it, and each key's run."""
-    order = np.argsort(keys, kind="stable")
+def runs_of(keys: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order that sorts keys (and checks among equal keys), the start of each run of equal
+    ones in it, and each place's run."""
+    order = np.argsort(keys, kind="stable") if checks is None else np.lexsort((checks, keys))
     ordered = keys[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, bool)
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if checks is not None:
+        ordered = checks[order]
+        new[1:] |= ordered[1:] != ordered[:-1]
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 

@@ -56,6 +56,10 @@ def test_sharding_odd(spark, odd):
     got = sharding.interleave(slim, "source", ["doc_id", "t"], 4).collect()
     assert Counter(r["shard"] for r in got) == {0: 2, 1: 1, 2: 2, 3: 1} or sorted(Counter(r["shard"] for r in got).values()) == [1, 1, 2, 2]
     assert sharding.interleave(slim.limit(0), "source", ["doc_id"], 4).count() == 0
+    names = ["_row", "_source", "_key", "_bucket", "_rank", "_total", "_at", "_all", "_place", "_rows", "_k0", "_from", "_n", "_before", "_inside"]
+    clash = slim.select("*", *[F.lit(f"own {n}").alias(n) for n in names], F.lit("own").alias("shard"))
+    want = sorted(((*r[:3], *[f"own {n}" for n in names], *r[3:]) for r in got), key=str)
+    assert sorted(map(tuple, sharding.interleave(clash, "source", ["doc_id", "t"], 4).collect()), key=str) == want
 
 
 def targets(sizes):
@@ -96,7 +100,25 @@ def test_mixing_odd(spark, odd):
     got = mixing.with_copies(odd.drop("size")).collect()
     assert len(got) == len(ODD) and all(0 <= r["copies"] <= 3 for r in got)
     assert mixing.mix(odd.limit(0)).count() == 0
-    assert mixing.mix(odd).columns == odd.columns
+    # any name of a helper may be a column; values stay
+    names = ["size", "source_size", "target", "copies", "_source", "_copy", "_row", "_weight", "_salt", "col"]
+    clash = odd.select("doc_id", "text", "source", *[F.lit(f"own {n}").alias(n) for n in names])
+    plain = mixing.mix(odd.select("doc_id", "text", "source")).collect()
+    assert sorted(map(tuple, mixing.mix(clash).collect()), key=str) == sorted(((*r, *[f"own {n}" for n in names]) for r in plain), key=str)
+
+
+def test_mixing_per_source(spark):
+    """Each source's taken words come near its target: within five standard deviations of the draw."""
+    rows = [(i, "w " * (1 + i % 40), f"s{i % 7}") for i in range(21_000)]
+    got = mixing.with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, noise, target = Counter(), Counter(), {}
+    for r in got:
+        rate = r["target"] / r["source_size"]
+        assert r["copies"] in (int(rate), int(rate) + 1)
+        taken[r["source"]] += r["copies"] * r["size"]
+        noise[r["source"]] += r["size"] ** 2 * (rate % 1) * (1 - rate % 1)
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 5 * noise[s] ** 0.5 for s, t in target.items())
 
 
 def base(t):

@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from sedge.llm import components, near_duplicates, queries, windows
 
 SF = "/root/testdata/sf0.001"
@@ -82,6 +84,24 @@ def test_unlinked_rows_of_one_id_all_stay(spark):
     assert sorted(got, key=str) == sorted([(None, a), (None, b), (1, c), (1, d), (4, None), (4, " ")], key=str)
 
 
+def test_sets_with_colliding_hashes(spark, monkeypatch):
+    random.seed(3)
+    rows = [(i, " ".join(random.choices("abcd", k=random.randrange(1, 12)))) for i in range(80)]
+    rows += [(100 + i, rows[i][1]) for i in range(30)]
+    monkeypatch.setattr(near_duplicates, "scale_of", lambda d: windows.Scale(3, 64))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (1, 4):
+        assert sorted((tuple(r[:3]) for r in near_duplicates.labelled(df, node_bits=bits).collect()), key=str) == brute(rows)
+
+
+def test_keep_one_each_keeps_values_of_clashing_columns(spark):
+    names = ["_row", "_id", "_hash", "_nth", "hash", "nth", "label", "node", "text_hash", "n", "least", "grouped", "_salt"]
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (None, None), (4, "x"), (4, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    got = sorted(map(tuple, near_duplicates.keep_one_each(df).collect()), key=str)
+    assert got == sorted(((*r, *[f"own {n}" for n in names]) for r in [(1, "a b c d e f"), (3, "x"), (None, None)]), key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 60), (7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

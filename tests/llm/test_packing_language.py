@@ -116,9 +116,74 @@ def test_language_odd(spark):
     assert {r["lang_pred"] for r in language.identify(odd, empty, ["doc_id"]).collect()} == {"und"}
 
 
+def plain_scores(word, n, words, grams):
+    """Word-first backoff over plain dictionaries of counts per language."""
+    from math import log
+
+    total = [sum(c[j] for c in words.values()) for j in range(n)]
+    if word in words:
+        return [log((words[word][j] + 0.1) / (total[j] + 0.1 * len(words) + 1)) for j in range(n)]
+    kinds = sum(len(g) == 1 for g in grams)
+    letters = [sum(c[j] for g, c in grams.items() if len(g) == 1) for j in range(n)]
+    out, marked = [0.0] * n, f"<{word}>"
+    for end in range(2, len(marked) + 1):
+        found = next((marked[end - k : end] for k in range(min(4, end), 0, -1) if marked[end - k : end] in grams), None)
+        for j in range(n):
+            if found is None:
+                out[j] += log(0.4) * 5
+            else:
+                before = letters[j] + kinds if len(found) == 1 else grams[found[:-1]][j] + 1
+                out[j] += log((grams[found][j] + 0.05) / (before + 0.05 * kinds)) + log(0.4) * (4 - len(found))
+    return out
+
+
+def test_language_against_plain_backoff(spark):
+    import re
+    from math import exp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    train = docs.filter(~language.held_out("doc_id"))
+    model = language.learn(train, per_language=10**9)
+    words, grams, langs = Counter(), Counter(), model.langs
+    counts = {x: Counter() for x in langs}
+    for r in train.filter("lang is not null and text is not null").collect():
+        counts[r["lang"]].update(re.findall(r"[^\W\d_]+", r["text"].lower()))
+    every = {w for c in counts.values() for w in c}
+    words = {w: [c[w] if c[w] >= 3 else 0 for c in counts.values()] for w in every if any(c[w] >= 3 for c in counts.values())}
+    grams = defaultdict(lambda: [0] * len(langs))
+    for j, c in enumerate(counts.values()):
+        for w, n in c.items():
+            m = f"<{w}>"
+            for k in range(1, 5):
+                for i in range(len(m) - k + 1):
+                    grams[m[i : i + k]][j] += n
+    some = [*sorted(every)[:300], "zzqy", "日本", "a", "éé", "the"]
+    got = language.scores_of(pa.array(some), model)
+    for w, row in zip(some, got, strict=True):
+        assert row.tolist() == pytest.approx(plain_scores(w, len(langs), words, grams), rel=1e-4)
+    # the prediction and its score, from the same sums
+    memory = {}
+    for r in language.identify(docs, model, ["doc_id", "text"]).collect():
+        found = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        if not found:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        sums = [sum(x) for x in zip(*[memory.setdefault(w, plain_scores(w, len(langs), words, grams)) for w in found], strict=True)]
+        odds = [exp((x - max(sums)) / len(found) * min(10, len(found))) for x in sums]
+        assert r["lang_pred"] == langs[sums.index(max(sums))]
+        assert r["score"] == pytest.approx(max(odds) / sum(odds), rel=1e-3)
+
+
+def test_rare_letters_count_as_unknown(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LETTERS", 3)
+    model = language.learn(spark.createDataFrame([(i, "abab abba baz", "x") for i in range(5)], "doc_id long, text string, lang string"))
+    assert len(model.letters) == 3 and chr(model.letters[-1]) == "b"
+    assert language.scores_of(pa.array(["zz", "ab"]), model).shape == (2, 1)
+
+
 def test_words_as_the_tokenizer_gives_them():
     tok = Tokenizer.from_file(PATH)
-    texts = ["Hello, WORLD's a1b2", "İstanbul ΣΣ éÉ ''s", None, ""]
+    texts = ["Hello, WORLD's a1b2", "İstanbul ΣΣ éÉ ''s", None, "", "x<|endoftext|>y <| 'sun I'LL", "Åa A\u030a ½²ªº×÷µſŉẞŸŒ 日本\x00\x1f\x7f\x85\xa0z", " \n\t ", "12 3a4,,b--C"]
     ids, at = packing.encode_texts(pa.array(texts), PATH)
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0]

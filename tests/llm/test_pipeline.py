@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -46,5 +47,13 @@ def test_odd_tables(spark):
             if name != "packing":
                 assert out.columns == df.columns
                 now = spark.createDataFrame(out.collect(), df.schema)
+    # extra columns named like the operators' helpers come back as they were
+    names = ["_row", "_text", "score", "lang_pred", "_own", "base", "extra", "_hash", "size", "copies", "target", "n", "node"]
+    full = [(i, f"the of and {w} the of and the {w}", "en", "s", 9) for i, w in enumerate(["to", "in", "that"])]
+    plain = spark.createDataFrame(full, SCHEMA)
+    clash = plain.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = sorted((*r, *[f"own {n}" for n in names]) for r in stage(spark, plain, SF).collect())
+        assert sorted(map(tuple, stage(spark, clash, SF).collect())) == want, name
     one = corpus_pipeline.one_of_each(spark, df, SF).collect()
     assert sorted((r["doc_id"] for r in one), key=str) == [1, 2, None]

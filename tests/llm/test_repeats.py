@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sedge.llm import queries, repeats, windows
 
@@ -16,10 +17,10 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
-def brute(rows, size):
-    """rows of (doc_id, text), in the order in which they count."""
+def brute(rows, size, hashes=None):
+    """rows of (doc_id, text); rows of one id count in the order of their texts' hashes."""
     seen, out = set(), []
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]] if hashes else 0)):
         w = words(t)
         gone = set()
         for i in range(len(w) - size + 1):
@@ -45,8 +46,9 @@ def test_odd(spark):
     rows += [(None, "a b " * 30), (None, None), (7, "again and again " * 10), (7, None), (8, rows[8][1]), (-5, rows[9][1]), (99, ""), (100, "z " * 50000), (101, "z " * 50000)]
     df = spark.createDataFrame([(d, t, 3, "c") for d, t in rows], "doc_id long, text string, chunk int, bucket string")
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    hashes = {r[0]: r[1] for r in df.select("text", F.xxhash64("text")).collect()}
     for size in (4, 7, 20):
-        assert sorted(map(tuple, repeats.drop_repeats(df, size).collect()), key=key) == sorted(brute(rows, size), key=key)
+        assert sorted(map(tuple, repeats.drop_repeats(df, size).collect()), key=key) == sorted(brute(rows, size, hashes), key=key)
     assert repeats.drop_repeats(df.limit(0)).count() == 0
 
 
@@ -57,6 +59,27 @@ def test_many_chunks(spark, monkeypatch):
     assert sorted(map(tuple, repeats.drop_repeats(df, 12).collect())) == sorted(brute(rows, 12))
 
 
+def test_null_and_shared_ids_over_chunks_with_colliding_hashes(spark, monkeypatch):
+    random.seed(6)
+    rows = [(random.choice([None, None, 1, 2, 3, i]), " ".join(random.choices("ab", k=random.randrange(30)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r[0]: r[1] for r in df.select("text", F.xxhash64("text")).collect()}
+    monkeypatch.setattr(repeats, "scale_of", lambda d: windows.Scale(7, 3))
+    want = sorted(brute(rows, 6, hashes), key=str)
+    for bits in (1, 4, 64):
+        assert sorted(map(tuple, repeats.drop_repeats(df, 6, key_bits=bits).collect()), key=str) == want
+
+
+def test_slices_do_not_change_words(monkeypatch):
+    texts = pa.array(["aB c  dé" * 9, None, "x" * 300, " ", "q w e " * 50])
+    whole = windows.read_words(texts, True, True)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(windows, "SLICE", size)
+        some = windows.read_words(texts, True, True)
+        assert all((a == b).all() for a, b in ((whole.hashes, some.hashes), (whole.first, some.first), (whole.checks, some.checks)))
+    assert len(set(whole.hashes.tolist())) == len(set(whole.checks.tolist())) == len({w for t in texts.to_pylist() for w in words((t or "").lower())})
+
+
 def test_window_hashes():
     texts = ["a b c d e f g", None, "  c d  e\tf ", "x"]
     w = windows.read_words(pa.array(texts))
