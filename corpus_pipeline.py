@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm import language, mixing, near_duplicates, packing, pii
-from sedge.llm.common import staged, table
+from sedge.llm.common import boxed, staged, table
 
 ORACLE_SQL = None
 
@@ -19,9 +19,8 @@ ORACLE_SQL = None
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter go, and so do those whose best language stays below even odds."""
     model = language.learn(docs.filter(~language.held_out("doc_id")))
-    columns = docs.columns
-    judged = language.identify(docs, model, columns)
-    return judged.filter("lang_pred <> 'und' and score >= 0.5").select(*columns)
+    judged = language.identify(boxed(docs), model, ["_row"], "_row.text")
+    return judged.filter("lang_pred <> 'und' and score >= 0.5").select("_row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
