@@ -122,6 +122,7 @@ def endless_loops(nodes: DataFrame, imports: DataFrame, params: dict) -> DataFra
 #: The registry: rules by id; others may be added with register().
 REGISTRY: dict[str, Rule] = {"J006": long_method, "J008": empty_catch, "J009": endless_loops, "J011": string_utils, "J012": fastjson_uses, "J013": map_parameters, "J015": other_json_uses}
 SPAN_POLICIES = {"J009": "intersect"}
+SEVERITY = {"J006": "minor", "J011": "minor"}  # of those that are not major
 
 
 def register(rule_id: str, rule: Rule, span_policy: str = "anchor") -> None:

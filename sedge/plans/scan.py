@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import patterns, rules, violations
 from ..operators.patterns import PatternRule
+from ..operators.shipped import SHIPPED
+from ..schemas import SEVERITIES, parse_severity
 from ..sources import config, diffs, files, reports
 
 
@@ -43,13 +45,14 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("scan")
     s.add_argument("path")
-    for name in ("rules-file", "rules-dir", "config", "diff", "baseline", "baseline-out", "gate", "output", "cache"):
+    for name in ("rules-file", "rules-dir", "config", "diff", "baseline", "baseline-out", "gate-config", "output", "cache"):
         s.add_argument(f"--{name}")
     s.add_argument("-x", "--exclude", action="append")
     s.add_argument("--include", action="append", default=[])
     s.add_argument("--encoding", default="auto")
     s.add_argument("--format", default="console", choices=list(reports.FORMATS))
-    s.add_argument("--min-severity", default="info")
+    s.add_argument("--gate", action="store_true")
+    s.add_argument("--min-severity")
     s.add_argument("--disable", action="append", default=[])
     s.add_argument("--enable", action="append", default=[])
     s.add_argument("--tolerance", type=int, default=5)
@@ -62,11 +65,18 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 
 
 def rules_of(a: argparse.Namespace, project: config.Project) -> tuple[list[PatternRule], list[config.Entry]]:
-    path = getattr(a, "rules_file", None) or project.rules.get("file")
+    """The rules of the catalog named on the command line or in the settings; else the shipped ones and
+    those of a folder."""
+    path = getattr(a, "rules_file", None) or project.rules.get("rules_file")
     if path:
-        return config.loaded(config.rule_catalog(path), str(Path(path).parent))
+        found, entries = config.loaded(config.rule_catalog(path), str(Path(path).parent))
+        # the catalog's severity is laid over functions that have no fixed one
+        for e in entries:
+            e.params = {"severity": e.severity if e.severity in SEVERITIES else "minor"} | e.params
+        return found, entries
     found = config.rule_directory(a.rules_dir) if getattr(a, "rules_dir", None) else []
-    return found, [config.Entry(i, script_path=f"builtin:{i}", severity="major") for i in rules.REGISTRY]
+    own = {r.id for r in found}
+    return [*(r for r in SHIPPED if r.id not in own), *found], [config.Entry(i, script_path=f"builtin:{i}", severity=rules.SEVERITY.get(i, "major")) for i in rules.REGISTRY if i not in own]
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
@@ -94,7 +104,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
 def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project, found: list[PatternRule], entries: list[config.Entry], table: DataFrame, out) -> int:
     if a.semantic_diff and not a.diff:
         raise ValueError("--semantic-diff needs --diff")
-    kept = {r["id"] for r in violations.select_rules(table, tuple(a.disable), tuple(a.enable), a.min_severity).collect()}
+    settings = project.rules
+    least = parse_severity(a.min_severity or settings.get("min_severity", "info"))
+    kept = {r["id"] for r in violations.select_rules(table, (*a.disable, *settings.get("disable", [])), tuple(a.enable or settings.get("enable", [])), least).collect()}
     found, functions = [r for r in found if r.id in kept], [e.id for e in entries if e.id in kept]
     params = {e.id: e.params for e in entries}
     root = os.path.realpath(a.path)
@@ -125,14 +137,12 @@ def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project
             reports.report(a.format, rows, stats, f)
     else:
         reports.report(a.format, rows, stats, out)
-    limits = project.gate
-    if a.gate:
-        limits = config.read_yaml(Path(a.gate).read_text(encoding="utf-8"))
-    if limits is None:
+    if not a.gate and not a.gate_config:
         return 0
+    limits = config.read_yaml(Path(a.gate_config).read_text(encoding="utf-8")) if a.gate_config else project.gate
     result = violations.gate(violations.count_by_severity(rows), limits).first()
     for text in result["failures"]:
-        out.write(f"gate: {text}\n")
+        sys.stderr.write(f"gate: {text}\n")
     return result["exit_code"]
 
 

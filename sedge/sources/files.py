@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import sys
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from ..schemas import NODE, PARSED
 DEFAULT_EXCLUDES = ("target", "build", ".git", "node_modules")
 CHARSETS = {"utf-8": "utf-8", "utf8": "utf-8", "gbk": "gb18030", "gb2312": "gb18030", "gb18030": "gb18030", "shift-jis": "cp932", "shift_jis": "cp932", "latin1": "cp1252", "big5": "big5hkscs", "euc-kr": "cp949"}
 PARSER_VERSION = "1"
+#: Bytes that Windows-1252 leaves open read as the control characters of the same number.
+codecs.register_error("windows-1252", lambda e: (e.object[e.start : e.end].decode("latin1"), e.end))
 
 
 def decode_source(raw: bytes, encoding: str = "auto") -> str:
@@ -33,7 +36,7 @@ def decode_source(raw: bytes, encoding: str = "auto") -> str:
             return raw.decode(name)
         except UnicodeDecodeError:
             continue
-    return raw.decode("cp1252", "replace")
+    return raw.decode("cp1252", "windows-1252")
 
 
 def effective_encoding(option: str = "auto", configured: str | None = None) -> str:
@@ -57,9 +60,14 @@ def java_files(spark: SparkSession, root: str, excludes: tuple[str, ...] = DEFAU
     itself included, has an excluded name; the path contains one of `includes` if there are any."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java").load(root)
     found = found.select(relative(F.col("path"), root).alias("file"), F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    top = root.rstrip("/").rpartition("/")[2]
+    return kept_paths(found, root.rstrip("/").rpartition("/")[2], excludes, includes)
+
+
+def kept_paths(found: DataFrame, top: str, excludes: tuple[str, ...], includes: tuple[str, ...]) -> DataFrame:
+    """Rows of `found` (with file, a path below the folder `top`, and path) in no excluded folder,
+    whose path contains one of `includes` if there are any."""
     folders = F.slice(F.split(F.concat(F.lit(top + "/"), "file"), "/"), F.lit(1), F.size(F.split("file", "/")))
-    kept = found.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, excludes or ("",)))))
+    kept = found.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, excludes or ("",))))) if excludes else found
     return kept.filter(contains_any(F.col("path"), includes)) if includes else kept
 
 
@@ -96,14 +104,14 @@ def parse_cached(files: DataFrame, cache: str, encoding: str = "auto") -> DataFr
     keyed by content and parser version; contents that are not there yet are parsed and appended."""
     spark = files.sparkSession
     keyed = files.withColumn("key", F.concat_ws("-", F.sha2("content", 256), F.lit(PARSER_VERSION), F.lit(encoding)))
-    try:
-        known = spark.read.parquet(cache)
-    except Exception:  # no table yet
-        known = None
+    # other failures to read than a missing table are errors
+    there = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    known = spark.read.parquet(cache) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else None
     fresh = keyed.dropDuplicates(["key"]).select(F.col("key").alias("file"), "content")
     missing = fresh.join(known.select(F.col("key").alias("file")), "file", "left_anti") if known is not None else fresh
     parse_files(missing, encoding).withColumnRenamed("file", "key").write.mode("append").parquet(cache)
-    return keyed.select("file", "key").join(spark.read.parquet(cache), "key").drop("key")
+    # two scans may both have appended a content
+    return keyed.select("file", "key").join(spark.read.parquet(cache).dropDuplicates(["key"]), "key").drop("key")
 
 
 def nodes_of(parsed: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def test_command_line(spark, tmp_path):
     assert doc["stats"]["by_rule"] == {"J008": 1, "J009": 7} and doc["scan_info"]["files_scanned"] == 1 and doc["violations"][0]["line"] == 13
     (tmp_path / "gate.yml").write_text("max_critical: 0\nmax_major: 2\n")
     base, sarif = str(tmp_path / "base.json"), str(tmp_path / "out.sarif")
-    args = ["scan", f"{HERE}/java", "--enable", "J009", "--gate", str(tmp_path / "gate.yml")]
+    args = ["scan", f"{HERE}/java", "--enable", "J009", "--gate-config", str(tmp_path / "gate.yml")]
     assert scan.main([*args, "--baseline-out", base, "--format", "sarif", "--output", sarif], spark, io.StringIO()) == 1
     results = json.load(open(sarif))["runs"][0]
     assert len(results["results"]) == 7 and results["tool"]["driver"]["rules"][0]["defaultConfiguration"]["level"] == "error"
