@@ -81,7 +81,8 @@ def java_scan(spark: SparkSession, d: str) -> DataFrame:
     """All shipped rules in one scan, with messages."""
     from .plans.scan import run_all
 
-    return run_all(parsed(spark, d), SHIPPED, list(rules.REGISTRY)).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+    # kept while the rules read it several times, as a scan does
+    return run_all(parsed(spark, d).cache(), SHIPPED, list(rules.REGISTRY)).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
 def decoded(spark: SparkSession, d: str) -> DataFrame:

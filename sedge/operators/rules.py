@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..functions.text import has_annotation, is_loose_map
 from ..schemas import VIOLATIONS
 from .patterns import CATCH_BLOCKED, LOOP_BLOCKED, USE_BLOCKED, reachable, union
 
+FOUND = pa.schema([("rule_id", pa.string()), ("severity", pa.string()), ("file", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("message", pa.string())])
 Rule = Callable[[DataFrame, DataFrame, dict], DataFrame]
 
 # Package prefixes, and the messages of the shipped rules.
@@ -104,19 +106,29 @@ def map_parameters(nodes: DataFrame, imports: DataFrame, params: dict) -> DataFr
 
 
 def endless_loops(nodes: DataFrame, imports: DataFrame, params: dict) -> DataFrame:
-    """J009: loops that may never end. Files without a loop are left out before the grouping;
-    deciding a loop is a walk over the nodes of its file."""
+    """J009: loops that may never end. Files without a loop are left out first; deciding a loop is a
+    walk over the nodes of its file, which arrive sorted, so a task holds one file at a time."""
     from .loops import loop_violations
 
     loops = nodes.filter(F.col("kind").isin("ForStmt", "WhileStmt", "DoStmt") & reachable(LOOP_BLOCKED)).select("file").distinct()
     wanted = nodes.join(loops, "file", "left_semi").select("file", "nid", "end_nid", "parent_nid", "slot", "slot_ord", "kind", "line", "end_line", "name", "op", "value", "label", "modifiers", "edge_path")
 
-    def per_file(f: pd.DataFrame) -> pd.DataFrame:
-        found = loop_violations(f.sort_values("nid").to_dict("records"), LOOP_BLOCKED)
-        made = [("J009", "major", f["file"].iloc[0], line, end, text) for line, end, text in found]
-        return pd.DataFrame(made, columns=["rule_id", "severity", "file", "line", "end_line", "message"]).astype({"line": "Int32", "end_line": "Int32"})
-
-    return wanted.groupBy("file").applyInPandas(per_file, VIOLATIONS)
+    def of_file(rows: list[dict]) -> list[dict]:
+        return [{"rule_id": "J009", "severity": "major", "file": rows[0]["file"], "line": line, "end_line": end, "message": text} for line, end, text in loop_violations(rows, LOOP_BLOCKED)]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                if held and row["file"] != held[0]["file"]:
+                    found += of_file(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(found, FOUND)
+        yield pa.RecordBatch.from_pylist(of_file(held) if held else [], FOUND)
+
+    return wanted.repartition("file").sortWithinPartitions("file", "nid").mapInArrow(decide, VIOLATIONS)
 
 
 #: The registry: rules by id; others may be added with register().

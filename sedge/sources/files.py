@@ -7,11 +7,13 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
-from ..schemas import NODE, PARSED
+from ..schemas import PARSED
 
 # Directories never scanned unless other ones are given, and names of charsets.
 DEFAULT_EXCLUDES = ("target", "build", ".git", "node_modules")
@@ -78,25 +80,31 @@ def contains_any(path: Column, parts: tuple[str, ...]) -> Column:
     return out
 
 
-def parse_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parse_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Parsed files; equal texts of a batch are parsed once."""
     from .java import parse_source
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
-    fields = [f.split()[0] for f in NODE.split(", ")]
-    for f in frames:
+    fields = [f.name for f in schema.field("nodes").type.value_type]
+    for batch in batches:
+        known: dict[str, dict] = {}
         out = []
-        for file, text in zip(f["file"], f["text"], strict=True):
-            p = parse_source(text or "")
-            nodes = [dict(zip(fields, n, strict=True)) for n in p["nodes"]]
-            out.append((file, p["package"], p["parse_error"], (text or "").count("\n") + bool(text and not text.endswith("\n")), p["imports"], nodes))
-        yield pd.DataFrame(out, columns=["file", "package", "parse_error", "n_lines", "imports", "nodes"])
+        for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            text = text or ""
+            if text not in known:
+                p = parse_source(text)
+                nodes = [dict(zip(fields, n, strict=True)) for n in p["nodes"]]
+                known[text] = {"package": p["package"], "parse_error": p["parse_error"], "n_lines": text.count("\n") + bool(text and not text.endswith("\n")), "imports": p["imports"], "nodes": nodes}
+            out.append({"file": file, **known[text]})
+        yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def parse_files(files: DataFrame, encoding: str = "auto", partitions: int | None = None) -> DataFrame:
     """One row per file: package, parse_error, n_lines, imports and nodes. Files are dealt out by name, as sizes vary."""
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
     spread = files.repartition(partitions, "file") if partitions else files
     text = decode_udf(F.col("content"), F.lit(encoding)) if "content" in files.columns else F.col("text")
-    return spread.select("file", text.alias("text")).mapInPandas(parse_frames, PARSED)
+    return spread.select("file", text.alias("text")).mapInArrow(lambda batches: parse_batches(batches, schema), PARSED)
 
 
 def parse_cached(files: DataFrame, cache: str, encoding: str = "auto") -> DataFrame:
