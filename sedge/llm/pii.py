@@ -1,6 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
-Emails, IP addresses, cards and phone numbers that regular expressions find are the seeds. The
+Emails, IP addresses, cards and phone numbers that regular expressions find are the seeds, and so are
+digests of 40 hexadecimal digits, as seeds of secrets (which are found only where a context tells). The
 words around them are lexical patterns; so are those around other identifier-like strings, the
 candidates. Patterns and instances form a graph that Spark scores in rounds: a pattern is as good as
 the share of its instances that are seeds or well-scored candidates of one kind, a candidate as
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import join_stats, quoted, staged
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
+#: Values of secrets to start from.
+SECRET_SEED = "^[0-9a-f]{40}$"
 
 # The patterns of the contract. Runs are possessive, and a match starts at a run's start or where
 # the last match ended, which finds the same matches without reading a long run again and again.
@@ -37,6 +41,7 @@ GATE = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 CANDIDATES = {
     "number": (r"(?<![0-9A-Za-z+._-])[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9A-Za-z])", ("card", "phone")),
     "address": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[\x20]?(?:\(at\)|\[at\]|@)[\x20]?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+", ("email",)),
+    "mixed": (r"(?<![0-9A-Za-z_+/-])(?=[A-Za-z_+/-]{0,127}+[0-9])[0-9A-Za-z_+/-]{16,128}+(?![0-9A-Za-z_+/-])", ("secret",)),
     "hextets": (r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}+(?![0-9A-Fa-f:])", ("ip",)),
 }
 
@@ -152,27 +157,29 @@ def patterns_around(before: Column, after: Column) -> Column:
 
 
 def graph_of(found: DataFrame) -> DataFrame:
-    """Distinct (pattern, value, kind, seed): kind of a seed, or each kind a candidate may be."""
+    """(pattern, value, kind, seed), each once: kind of a seed, or each kind a candidate may be."""
     rows = []
     for kind in KINDS:
         one = found.filter(F.size(kind) > 0).select(F.explode(kind).alias("o"))
         rows.append(one.select("o.value", "o.before", "o.after", F.lit(kind).alias("kind"), F.lit(True).alias("seed")))
     one = found.filter(F.size("candidates") > 0).select(F.explode("candidates").alias("o"))
-    rows.append(one.select("o.value", "o.before", "o.after", F.explode("o.kinds").alias("kind"), F.lit(False).alias("seed")))
+    rows.append(one.select("o.value", "o.before", "o.after", F.explode("o.kinds").alias("kind")).withColumn("seed", (F.col("kind") == "secret") & F.col("value").rlike(SECRET_SEED)))
     all_ = reduce(DataFrame.unionByName, rows)
-    return all_.select(F.explode(patterns_around(F.col("before"), F.col("after"))).alias("pattern"), F.lower("value").alias("value"), "kind", "seed").distinct()
+    return all_.select(F.explode(patterns_around(F.col("before"), F.col("after"))).alias("pattern"), F.lower("value").alias("value"), "kind", "seed").groupBy("pattern", "value", "kind").agg(F.max("seed").alias("seed"))
 
 
 def trusted_patterns(graph: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 10) -> DataFrame:
     """(pattern, kind, conf) of the patterns to extract by.
 
     conf is the score of the pattern's instances of the kind over the number of all its instances
-    plus one; a trusted one has `support` different seeds at least. Scores travel from patterns to
-    candidates and back `rounds` times.
+    plus one; a trusted one has `support` different seeds at least, or, of a kind with few seeds, one in
+    twenty of them (4 at least). Scores travel from patterns to candidates and back `rounds` times.
     """
     graph = staged(graph)
     totals = graph.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
-    seeds = graph.filter("seed").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
+    known = graph.filter("seed").groupBy("kind").agg(F.count_distinct("value").alias("all"))  # a row per kind
+    least = F.least(F.lit(support), F.greatest(F.lit(4), F.ceil(F.col("all") / 20)))
+    seeds = graph.filter("seed").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).join(F.broadcast(known), "kind").filter(F.col("seeds") >= least).drop("all")
     base = staged(seeds.join(totals, "pattern"))
     # only candidates that stand in a supported pattern can gain a score
     open_ = staged(graph.filter("not seed").select("pattern", "kind", "value").join(base.select("pattern", "kind"), ["pattern", "kind"], "left_semi"))
@@ -215,7 +222,7 @@ def with_spans(docs: DataFrame, keep: tuple[str, ...], confidence: float = 0.8,
         .drop("kinds", "pattern")
     )
     judged = join_stats(places, trusted.select(F.concat_ws(" ", "kind", "pattern").alias("key"), "conf"), "key", "_row").filter("conf is not null")
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    rank = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind"))
     best = judged.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("conf", -rank)).alias("kind"))
     # spans of one document that overlap (two readings of one place): the first, longest one stays
     listed = best.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "kind"))).alias("s"))
@@ -235,8 +242,8 @@ def with_spans(docs: DataFrame, keep: tuple[str, ...], confidence: float = 0.8,
 
 
 def digest(spans: Column) -> Column:
-    """kind:start:end, comma-joined, by kind as listed, then start."""
-    kinds = F.array(*map(F.lit, KINDS))
+    """kind:start:end, comma-joined, by kind as listed (secrets last), then start."""
+    kinds = F.array(*map(F.lit, ALL_KINDS))
     order = F.array_sort(F.transform(spans, lambda s: F.struct(F.array_position(kinds, s["kind"]).alias("k"), s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("kind"))))
     return F.array_join(F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["s"].cast("string"), s["e"].cast("string"))), ",")
 
