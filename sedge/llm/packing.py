@@ -11,7 +11,7 @@ ranks the pieces within each length and looks their places up in the plan.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -238,19 +238,49 @@ def fillings(gap: int, counts: dict[int, int], most: int = 4, steps: int = 3000)
     return [[k for k, n in taken for _ in range(n)] for _, _, taken in best]
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing on the histogram, equal bins together: [(lengths in a sequence, how often)]."""
+    open_: dict[int, list[tuple[list[int], int]]] = {}  # by what is left in a bin
+    gaps: list[int] = []  # its keys, in order
+
+    def add(gap: int, lengths: list[int], times: int) -> None:
+        if gap not in open_:
+            open_[gap] = []
+            insort(gaps, gap)
+        open_[gap].append((lengths, times))
+
+    for k in sorted((k for k, v in histogram.items() if v), reverse=True):
+        left = histogram[k]
+        while left:
+            at = bisect_left(gaps, k)
+            gap = gaps[at] if at < len(gaps) else capacity
+            lengths, times = open_[gap].pop() if at < len(gaps) else ([], left)
+            if at < len(gaps) and not open_[gap]:
+                del open_[gap], gaps[at]
+            # a bin is filled up before the next one, as its gap only gets smaller
+            each = min(gap // k, left)
+            filled = min(times, left // each)
+            add(gap - each * k, lengths + [k] * each, filled)
+            if lengths and times > filled:
+                add(gap, lengths, times - filled)
+            left -= each * filled
+    return [(x, n) for gap in gaps for x, n in open_[gap]]
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 5_000) -> list[tuple[list[int], int]]:
     """[(lengths in a sequence, how often)], with as few sequences as the search finds.
 
     Depth first over the fillings around the largest length; a branch ends when its sequences
-    plus ceil(tokens left / capacity) reach the best so far. The first descent takes the least
-    wasteful filling at each step; the search ends at the lower bound or after `nodes` steps, with
-    the best packing found. Every piece is always packed, and no branch is thrown away before.
+    plus ceil(tokens left / capacity) reach the best so far, which is best-fit decreasing's at first.
+    A descent takes the least wasteful filling at each step; the search ends at the lower bound or
+    after `nodes` steps, with the best packing found. Every piece is always packed, and no branch is
+    thrown away before.
     """
     total = sum(k * v for k, v in histogram.items())
     large = sum(v for k, v in histogram.items() if 2 * k > capacity)
     bound = max(-(-total // capacity), large)
-    best: list[tuple[list[int], int]] | None = None
-    best_n = float("inf")
+    best = best_fit(histogram, capacity)
+    best_n = sum(n for _, n in best)
     counts = {k: v for k, v in histogram.items() if v}  # what the path leaves; changed in place
     path: list[tuple[list[int], int]] = []
 
@@ -262,7 +292,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 5_000
 
     stack = [(0, 0, total, None)]
     spent = 0
-    while stack and best_n > bound and (spent < nodes or best is None):
+    while stack and best_n > bound and spent < nodes:
         depth, used, left, filling = stack.pop()
         while len(path) > depth:
             put(path.pop(), -1)
@@ -277,7 +307,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 5_000
             if not counts:
                 best, best_n = list(path), used
                 break
-            if spent >= nodes and best is not None:
+            if spent >= nodes:
                 break
             spent += 1
             top = max(counts)
@@ -291,7 +321,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 5_000
             for o in reversed(options[1:]):
                 stack.append((len(path), used, left, o))
             filling = options[0]
-    return best or []
+    return best
 
 
 def places(bins: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

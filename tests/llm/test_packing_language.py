@@ -1,5 +1,6 @@
 """Packing against the tokenizer itself and the lower bound; language ID by held-out accuracy."""
 
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -82,6 +83,34 @@ def test_plan_of_very_many_short_pieces(histogram):
     assert sum(n for _, n in bins) <= -(-sum(k * v for k, v in histogram.items()) // 2048) + 1
 
 
+def smallest(lengths, capacity):
+    """The least number of bins, by trying every place of each piece."""
+    best = [len(lengths)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + lengths[i] <= capacity and bins[j] not in bins[:j]:
+                go(i + 1, [*bins[:j], bins[j] + lengths[i], *bins[j + 1 :]])
+        go(i + 1, [*bins, lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plan_against_every_packing():
+    random.seed(8)
+    for _ in range(12):
+        lengths = sorted((random.randint(1, 20) for _ in range(random.randint(1, 9))), reverse=True)
+        for bins in (packing.plan(dict(Counter(lengths)), 20), packing.best_fit(dict(Counter(lengths)), 20)):
+            assert Counter(k for b, n in bins for k in b * n) == Counter(lengths) and all(sum(b) <= 20 for b, _ in bins)
+        assert sum(n for _, n in packing.plan(dict(Counter(lengths)), 20)) == smallest(lengths, 20)
+
+
 def test_packing_many_empty_texts(spark):
     texts = {i: None if i % 2 else "" for i in range(5000)} | {5000 + i: "the" for i in range(2500)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
