@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import language, mixing, near_duplicates, neighbours, packing, pages, pii, quality, repeats, sharding
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,3 @@ QUERIES = {
         op10_substring_dedup,
     )
 }
-
-#: Fixed by methods that SQL cannot express, these are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
