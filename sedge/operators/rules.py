@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -152,7 +153,8 @@ def function_rule(rule_id: str, severity: str, check: Callable[[dict], list[dict
             try:
                 found = check({"file": key[0], "nodes": n.to_dict("records"), "imports": i.to_dict("records"), "config": params})
                 made = [(rule_id, severity, key[0], int(v.get("line", 0)), v.get("end_line"), str(v.get("message", "violation"))) for v in found]
-            except Exception:  # one bad file must not end the scan
+            except Exception as e:  # one bad file must not end the scan
+                sys.stderr.write(f"warning: {rule_id} failed on {key[0]}: {e!r}\n")
                 made = []
             return pd.DataFrame(made, columns=["rule_id", "severity", "file", "line", "end_line", "message"]).astype({"line": "Int32", "end_line": "Int32"})
 

@@ -27,19 +27,22 @@ def run_all(parsed: DataFrame, pattern_rules: list[PatternRule], functions: list
     return both.withColumn("emit_ord", order * 10_000_000 + F.col("line"))
 
 
-def scan(spark: SparkSession, root: str, pattern_rules: list[PatternRule], functions: list[str], *, params: dict | None = None, excludes: tuple[str, ...] = files.DEFAULT_EXCLUDES, includes: tuple[str, ...] = (), encoding: str = "auto", cache: str | None = None, diff: DataFrame | None = None, only_changed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(parsed files, violations). With a diff only changed files are read and changed lines kept."""
-    found = files.java_files(spark, root, excludes, includes)
-    if diff is not None and only_changed:
-        found = violations.changed_files(found, diff)
+def scan(spark: SparkSession, root: str, pattern_rules: list[PatternRule], functions: list[str], *, params: dict | None = None, excludes: tuple[str, ...] = files.DEFAULT_EXCLUDES, includes: tuple[str, ...] = (), encoding: str = "auto", cache: str | None = None, diff: DataFrame | None = None, by_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(parsed files, violations). With a diff only changed files are read and, `by_line`, changed lines kept."""
+    found = files.java_files(spark, root, excludes, includes, names_in(diff) if diff is not None else None)
     parsed = (files.parse_cached(found, cache, encoding) if cache else files.parse_files(found, encoding)).cache()
     rows = run_all(parsed, pattern_rules, functions, params)
-    if diff is not None:
+    if diff is not None and by_line:
         policies = {r.id: r.span_policy for r in pattern_rules if r.span_policy != "anchor"} | rules.SPAN_POLICIES
         rows = violations.filter_by_diff(rows, diff, policies)
     return parsed, rows
 
 
+def names_in(diff: DataFrame) -> list[str]:
+    """The Java files of a diff, whose text the driver has read."""
+    return sorted(r["file"] for r in diff.filter(F.endswith("file", F.lit(".java"))).select("file").distinct().collect())
+
+
 def arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog=reports.NAME)
     sub = p.add_subparsers(dest="command", required=True)
@@ -117,10 +120,8 @@ def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project
         top = diffs.git(root, "rev-parse", "--show-toplevel").strip()
         diff = diffs.diff_table(spark, diffs.get_diff(root, a.diff), top, root)
     if a.semantic_diff:
-        parsed, rows = scan(spark, root, found, functions, **{**options, "includes": options["includes"]}, diff=None)
-        rows = rows.join(diff.select("file"), "file", "left_semi").select(rows.columns)
-        names = [r["file"] for r in diff.select("file").distinct().collect()]
-        old = files.parse_files(diffs.old_sources(spark, root, diffs.old_ref(root, a.diff), names))
+        parsed, rows = scan(spark, root, found, functions, **options, diff=diff, by_line=False)
+        old = files.parse_files(diffs.old_sources(spark, root, diffs.old_ref(root, a.diff), names_in(diff)), options["encoding"])
         rows = violations.semantic_difference(rows, run_all(old, found, functions, params), diff)
     else:
         parsed, rows = scan(spark, root, found, functions, **options, diff=diff)
@@ -131,6 +132,9 @@ def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project
     if a.baseline_out:
         reports.write_baseline(rows, a.baseline_out)
     n = violations.scan_stats(parsed).first()
+    if n["parse_errors"]:
+        for r in parsed.filter("parse_error is not null").select("file", "parse_error").toLocalIterator():
+            sys.stderr.write(f"warning: {r['file']}: {r['parse_error']}\n")
     stats = reports.stats_of(rows, n["files_scanned"], n["parse_errors"])
     if a.output:
         with open(a.output, "w", encoding="utf-8") as f:

@@ -89,8 +89,10 @@ def script_header(text: str) -> dict:
 
 
 def rule_directory(path: str) -> list[PatternRule]:
-    """The valid .yml and .yaml rules of a folder; others are warned of and left out."""
+    """The valid .yml and .yaml rules of a folder; others, and rule scripts, are warned of and left out."""
     out = []
+    for f in sorted(Path(path).glob("*.rhai")):
+        warnings.warn(f"{f}: rule scripts are not run", stacklevel=2)
     for f in sorted(Path(path).glob("*.y*ml")):
         try:
             doc = read_yaml(f.read_text(encoding="utf-8"))

@@ -75,13 +75,20 @@ def diff_table(spark: SparkSession, text: str, git_root: str = "", scan_root: st
 
 
 def old_sources(spark: SparkSession, repo: str, ref: str, files: list[str]) -> DataFrame:
-    """(file, text) of an old version; files that it did not have are absent."""
-    rows = []
-    for f in files:
-        shown = subprocess.run(["git", "-C", repo, "show", f"{ref}:{f}"], capture_output=True)
-        if shown.returncode == 0:
-            rows.append((f, shown.stdout.decode("utf-8", "replace")))
-    return spark.createDataFrame(rows, "file string, text string")
+    """(file, content) of an old version; files that it did not have are absent. Paths count from
+    `repo`, which may be a folder inside the repository. As many files as a diff names are read."""
+    asked = [f for f in files if "\n" not in f]
+    shown = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="".join(f"{ref}:./{f}\n" for f in asked).encode(), check=True, capture_output=True).stdout
+    rows, at = [], 0
+    for f in asked:
+        end = shown.index(b"\n", at)
+        head, at = shown[at:end].rsplit(b" ", 2), end + 1
+        if head[-1].isdigit():
+            size = int(head[-1])
+            if head[-2] == b"blob":
+                rows.append((f, bytearray(shown[at : at + size])))
+            at += size + 1
+    return spark.createDataFrame(rows, "file string, content binary")
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import codecs
+import os
+import re
 import sys
 from collections.abc import Iterator
 
@@ -57,10 +59,18 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(clean, "^" + "".join("\\" + c if not c.isalnum() else c for c in root.rstrip("/") + "/"), "")
 
 
-def java_files(spark: SparkSession, root: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, includes: tuple[str, ...] = ()) -> DataFrame:
+def java_files(spark: SparkSession, root: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, includes: tuple[str, ...] = (), only: list[str] | None = None) -> DataFrame:
     """(file, path, content) of the .java files below `root`: no directory on the way, `root`
-    itself included, has an excluded name; the path contains one of `includes` if there are any."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java").load(root)
+    itself included, has an excluded name; the path contains one of `includes` if there are any.
+    With `only`, paths below a local `root`, no other file is opened or listed."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java")
+    if only is not None:
+        there = [f"{root.rstrip('/')}/{f}" for f in only if f.endswith(".java") and os.path.isfile(os.path.join(root, f))]
+        if not there:
+            return spark.createDataFrame([], "file string, path string, content binary")
+        found = reader.load([re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in there])
+    else:
+        found = reader.load(root)
     found = found.select(relative(F.col("path"), root).alias("file"), F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
     return kept_paths(found, root.rstrip("/").rpartition("/")[2], excludes, includes)
 

@@ -2,6 +2,7 @@
 
 import io
 import json
+import subprocess
 
 import pytest
 
@@ -132,3 +133,33 @@ def test_command_line(spark, tmp_path):
     assert scan.main(["scan", f"{HERE}/java", "--semantic-diff"], spark, io.StringIO()) == 2
     out = io.StringIO()
     assert scan.main(["rules"], spark, out) == 0 and "J009\tmajor\ton" in out.getvalue()
+
+
+def test_changed_files_of_a_subfolder(spark, tmp_path, capsys):
+    def git(*a):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+
+    git("init", "-q")
+    folder = tmp_path / "app/src"
+    folder.mkdir(parents=True)
+    body = "class A {\n  // %s\n  void m() { try { go(); } catch (Exception e) { } }\n\n%s}\n"
+    for name in ("A.java", "b [1] c.java", "Same.java"):
+        (folder / name).write_bytes((body % ("\u6ce8", "")).encode("gb18030"))
+    (tmp_path / "notes.txt").write_text("x\n")
+    git("add", ".")
+    git("commit", "-qm", "1")
+    more = "  void n() { try { go(); } catch (Exception e) { } }\n"
+    for name in ("A.java", "b [1] c.java"):
+        (folder / name).write_bytes((body % ("\u6ce8", more)).encode("gb18030"))
+    (folder / "New.java").write_text("class N {")
+    (tmp_path / "notes.txt").write_text("y\n")
+    git("add", ".")
+    git("commit", "-qm", "2")
+    for extra in ((), ("--semantic-diff",)):
+        out = io.StringIO()
+        assert scan.main(["scan", str(folder), "--diff", "HEAD~1..HEAD", "--encoding", "gbk", "--format", "json", "--enable", "J008", *extra], spark, out) == 0
+        doc = json.loads(out.getvalue())
+        assert [(v["file"], v["line"]) for v in doc["violations"]] == [("A.java", 5), ("b [1] c.java", 5)]
+        assert doc["scan_info"]["files_scanned"] == 3 and doc["scan_info"]["parse_errors"] == 1  # Same.java is not read
+        assert "warning: New.java: " in capsys.readouterr().err
+    assert files.java_files(spark, str(folder), only=["Gone.java", "A.txt"]).count() == 0

@@ -83,7 +83,9 @@ def test_real_diff(spark, tmp_path):
     lines = spark.createDataFrame([("A", "info", "a.txt", i, None, "m") for i in range(1, 21)], VIOLATIONS)
     got = {r["message"]: r["line"] for r in V.translated(lines.withColumn("message", F.col("line").cast("string")), table, strict=True).collect()}
     assert all(got[str(i + 1)] == (new.index(t) + 1 if t in new else 16 if i == 15 else None) for i, t in enumerate(old))
-    assert diffs.old_ref(str(tmp_path), "HEAD~1..HEAD") == "HEAD~1" and diffs.old_sources(spark, str(tmp_path), "HEAD~1", ["a.txt", "b.txt"]).count() == 1
+    assert diffs.old_ref(str(tmp_path), "HEAD~1..HEAD") == "HEAD~1"
+    old_rows = diffs.old_sources(spark, str(tmp_path), "HEAD~1", ["b.txt", "no such file", "a.txt"]).collect()
+    assert [(r["file"], bytes(r["content"]).decode()) for r in old_rows] == [("a.txt", "\n".join(old) + "\n")]
     kept = V.semantic_difference(lines, lines.filter("line > 10"), table, strict=True).collect()
     moved = {got[str(i)] for i in range(11, 21)}
     assert {r["line"] for r in kept} == set(range(1, 21)) - moved
