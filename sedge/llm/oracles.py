@@ -39,6 +39,105 @@ FROM vectors LEFT JOIN counts USING (n) LEFT JOIN least USING (n)
 """
 
 #: The checksum is the usual reflected one, a byte at a time over a table of 256 remainders.
+CRC_TABLE = """
+crc_table AS (
+    SELECT list(r ORDER BY b) AS t FROM (
+        SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r
+        FROM (SELECT unnest(range(256)) AS b)
+    )
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The checksum of a text's bytes; `crc_table` is in scope."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Words of letters, digits and what is no ASCII.
+PLAIN_WORDS = rf"coalesce(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+CONTAMINATION = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS n, doc_id, {PLAIN_WORDS} AS w FROM documents
+), items AS (
+    SELECT item_id, {PLAIN_WORDS} AS w FROM benchmark
+), item_windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[p:p + 9], ' ') AS content
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM items WHERE len(w) > 0)
+), sizes AS (
+    SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+    SELECT n, size, p, array_to_string(w[p:p + size - 1], ' ') AS content
+    FROM (SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM docs, sizes WHERE len(w) >= size)
+), met AS (
+    SELECT n, size, p, item_id FROM doc_windows JOIN item_windows USING (size, content)
+), hit AS (
+    SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT n, unnest(range(p, p + size)) AS p FROM met) GROUP BY n
+), named AS (
+    SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT n, item_id::VARCHAR AS item FROM met) GROUP BY n
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (n) LEFT JOIN named USING (n)
+"""
+
+#: Near words have a deletion in common: both of one place, or one of the longer word alone.
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+    SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+), hashed AS (
+    SELECT run, c, {crc32_sql("doc_id || ':' || run")} AS h FROM runs, crc_table
+), words AS (
+    SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), shortened AS (
+    SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)
+), near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS m FROM shortened a JOIN shortened b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+    UNION SELECT s.word, s.n, w.word, w.n FROM shortened s JOIN words w ON w.word = s.rest
+    UNION SELECT w.word, w.n, s.word, s.n FROM shortened s JOIN words w ON w.word = s.rest
+), counted AS (
+    SELECT word, count(*) AS n_near FROM near GROUP BY word
+), formed AS (
+    SELECT word, other AS form, m AS form_n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM near) WHERE place = 1 AND m >= 10 * n
+), way AS (
+    SELECT word, form AS root FROM formed
+    UNION ALL
+    SELECT w.word, f.form FROM way w JOIN formed f ON f.word = w.root
+), ends AS (
+    SELECT word, root FROM way WHERE root NOT IN (SELECT word FROM formed)
+)
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN counted USING (word) LEFT JOIN formed USING (word) LEFT JOIN ends USING (word)
+"""
+
+RESAMPLING = f"""
+WITH {CRC_TABLE}, docs AS (
+    SELECT row_number() OVER () AS n, doc_id, {PLAIN_WORDS} AS w FROM documents
+), found AS (
+    SELECT n, word, count(*) AS c FROM (SELECT n, unnest(w) AS word FROM docs) GROUP BY ALL
+), aimed AS (
+    SELECT word, count(*) AS c FROM (SELECT unnest({PLAIN_WORDS}) AS word FROM benchmark) GROUP BY word
+), bucketed AS (
+    SELECT word, {crc32_sql("word")} % 10000 AS bucket FROM (SELECT word FROM found UNION SELECT word FROM aimed), crc_table
+), counts AS (
+    SELECT bucket, sum(s) AS s, sum(t) AS t FROM (SELECT word, c AS s, 0 AS t FROM found UNION ALL SELECT word, 0, c FROM aimed) JOIN bucketed USING (word) GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), sums AS (
+    SELECT n, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS gain FROM found JOIN bucketed USING (word) JOIN gains USING (bucket) GROUP BY n
+), weighed AS (
+    SELECT doc_id, n_features, CASE WHEN n_features > 0 THEN (gain - ((gain % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight
+    FROM (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(gain, 0) AS gain FROM docs LEFT JOIN sums USING (n))
+), scored AS (
+    SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM weighed
+), ranked AS (
+    SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS docs FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN place <= 10 * docs // 100 THEN place END AS rank
+FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id
+"""
+
 SHARDS = """
 WITH crc_table AS (
     SELECT list(r ORDER BY b) AS t FROM (
@@ -196,4 +295,7 @@ ORACLES = {
     "op6_mixing": MIX,
     "op7_ngram_jaccard_join": NEAR_TEXTS,
     "op10_substring_dedup": WITHOUT_REPEATS,
+    "op11_decontamination": CONTAMINATION,
+    "op12_spelling_variants": SPELLING,
+    "op13_importance_resampling": RESAMPLING,
 }
