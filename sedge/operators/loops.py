@@ -1,11 +1,22 @@
-"""Whether a loop may never end, from the nodes of its file.
+"""Whether a loop may never end.
 
-Constants are evaluated over literals and names known to be constant; anything else is unknown.
+What a loop's body, method and type do to the names of its condition, and whether its body can be left,
+are counts of events between two places of the nested-set table: differences of ranks, for
+all loops of all files at once. Only the constants in a loop's head are then evaluated row by row,
+over literals and names known to be constant; anything else is unknown.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..schemas import VISITED
+from .structure import LOOP_WALK, around, counts_between, parent_at, visit_key
 
 # The messages, and how comparisons turn when their sides change places.
 DEFINITE = "循环条件在编译期即可确定为 true（字面量或常量传播），且条件所用变量在循环体内不被修改，且无 break/return/throw 退出：该循环将永不终止（死循环）"
@@ -16,29 +27,32 @@ ONE_NAME = "while/do-while 的循环条件仅依赖变量 `{name}`，该变量
 FLIPPED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
 COMPARE = {"<": int.__lt__, ">": int.__gt__, "<=": int.__le__, ">=": int.__ge__, "==": int.__eq__, "!=": int.__ne__}
 LOOPS = ("ForStmt", "WhileStmt", "DoStmt", "ForEachStmt")
+HEADS = ("ForStmt.init", "ForStmt.condition", "ForStmt.update", "WhileStmt.condition", "DoStmt.condition")
+METHODS = ("MethodDeclaration", "ConstructorDeclaration", "InitializerDeclaration")
 TYPES = ("ClassDeclaration", "InterfaceDeclaration", "EnumDeclaration", "AnnotationDeclaration")
 
 
-class File:
-    def __init__(self, nodes: list[dict], blocked: tuple[str, ...]):
+class Head:
+    """The nodes of a loop's initialization, condition and updates."""
+
+    def __init__(self, nodes: list[dict], loop: int):
         self.nodes = nodes
+        self.loop = loop
         self.kids: dict[int, list[dict]] = {}
         for n in nodes:
             self.kids.setdefault(n["parent_nid"], []).append(n)
-        self.blocked = set(blocked)
+
+    def children(self, nid: int, slot: str) -> list[dict]:
+        return [c for c in self.kids.get(nid, ()) if c["slot"] == slot]
 
     def child(self, n: dict, slot: str) -> dict | None:
-        return next((c for c in self.kids.get(n["nid"], ()) if c["slot"] == slot), None)
+        return next(iter(self.children(n["nid"], slot)), None)
 
-    def children(self, n: dict, slot: str) -> list[dict]:
-        return [c for c in self.kids.get(n["nid"], ()) if c["slot"] == slot]
+    def part(self, slot: str) -> list[dict]:
+        return self.children(self.loop, slot)
 
     def below(self, n: dict | None) -> list[dict]:
-        """The node and all below it, but for edges that walkers never follow."""
-        if n is None:
-            return []
-        depth = len(n["edge_path"])
-        return [x for x in self.nodes[n["nid"] : n["end_nid"] + 1] if not self.blocked & set(x["edge_path"][depth:])]
+        return [x for x in self.nodes if n["nid"] <= x["nid"] <= n["end_nid"]] if n else []
 
     def bare(self, n: dict | None) -> dict | None:
         while n is not None and n["kind"] == "EnclosedExpr":
@@ -54,9 +68,6 @@ class File:
             return n["name"]
         return self.target(self.child(n, "array")) if n["kind"] == "ArrayAccessExpr" else None
 
-    def names(self, n: dict | None) -> set[str]:
-        return {x["name"] for x in self.below(n) if x["kind"] in ("NameExpr", "FieldAccessExpr")}
-
     def changed(self, nodes: list[dict]) -> set[str]:
         out = set()
         for x in nodes:
@@ -112,46 +123,8 @@ class File:
                     return (a == b) == (n["op"] == "==")
         return None
 
-    def exits(self, body: dict) -> bool:
-        """A labelled break, a throw, a return outside lambdas, or a break that no inner loop takes."""
-        for x in self.below(body):
-            if x["kind"] not in ("BreakStmt", "ReturnStmt", "ThrowStmt"):
-                continue
-            at, inner, lambdas = x, 0, 0
-            while at["nid"] != body["nid"]:
-                at = self.nodes[at["parent_nid"]]
-                inner += at["kind"] in LOOPS
-                lambdas += at["kind"] == "LambdaExpr"
-            if x["kind"] == "ThrowStmt" or x["kind"] == "ReturnStmt" and not lambdas or x["kind"] == "BreakStmt" and (x["label"] or not inner):
-                return True
-        return False
 
-    def scope(self, loop: dict) -> tuple[dict, set[str]]:
-        """Constants known at a loop, and the names that its method assigns anywhere."""
-        at, owner, method, in_lambda = loop, None, None, False
-        while at["parent_nid"] >= 0:
-            at = self.nodes[at["parent_nid"]]
-            in_lambda |= at["kind"] == "LambdaExpr" and method is None
-            if at["kind"] in ("MethodDeclaration", "ConstructorDeclaration", "InitializerDeclaration") and method is None:
-                method = at
-            if at["kind"] in TYPES:
-                owner = at
-                break
-        env: dict = {}
-        for f in self.children(owner, "members") if owner and not in_lambda else ():
-            if f["kind"] == "FieldDeclaration" and "final" in f["modifiers"] and (v := self.child(f, "initializer")) and v["kind"] == "LiteralExpr" and v["value"] in ("true", "false"):
-                env[f["name"]] = v["value"] == "true"
-        whole = self.below(method) if method else []
-        assigned = self.changed(whole)
-        for v in whole if not in_lambda else ():
-            if v["kind"] == "Variable":
-                init = self.child(v, "initializer")
-                if init and init["kind"] == "LiteralExpr" and init["value"] in ("true", "false") and v["name"] not in assigned:
-                    env[v["name"]] = init["value"] == "true"
-        return env, assigned
-
-
-def step(f: File, u: dict, name: str, env: dict) -> int | None:
+def step(f: Head, u: dict, name: str, env: dict) -> int | None:
     """By how much an update moves a variable, if that is known."""
     u = f.bare(u)
     if u["kind"] == "UnaryExpr" and u["op"] in ("++", "--") and f.target(f.child(u, "expression")) == name:
@@ -169,7 +142,7 @@ def step(f: File, u: dict, name: str, env: dict) -> int | None:
     return None
 
 
-def idle(f: File, u: dict, start: dict) -> bool:
+def idle(f: Head, u: dict, start: dict) -> bool:
     """Whether an update leaves its variable as it is, or always as it began."""
     u = f.bare(u)
     if u["kind"] != "AssignExpr":
@@ -181,7 +154,7 @@ def idle(f: File, u: dict, start: dict) -> bool:
     return u["op"] in ("+=", "-=") and n == 0 or u["op"] in ("*=", "/=") and n == 1
 
 
-def away(f: File, cond: dict, start: dict, updates: list[dict]) -> str | None:
+def away(f: Head, cond: dict, start: dict, updates: list[dict]) -> str | None:
     """The message, if the condition compares a variable with a number and an update moves it the wrong way."""
     cond = f.bare(cond)
     if cond is None or cond["kind"] != "BinaryExpr" or cond["op"] not in FLIPPED:
@@ -199,54 +172,123 @@ def away(f: File, cond: dict, start: dict, updates: list[dict]) -> str | None:
     return None
 
 
-def check_loop(f: File, loop: dict) -> str | None:
-    body, cond = f.child(loop, "body"), f.child(loop, "condition")
-    env, assigned = f.scope(loop)
+def judge(loop: dict) -> str | None:
+    """The message, if a loop may never end. `loop` has kind, leaves (whether the body can be left),
+    head (nodes) and names: of the condition's names, whether body or updates change them (mutated), whether
+    the method assigns them anywhere (assigned), and the constant value known (or null)."""
+    f = Head(loop["head"] or [], loop["nid"])
+    is_for = loop["kind"] == "ForStmt"
+    cond = next(iter(f.part("condition")), None)
+    facts = {x["name"]: x for x in loop["names"] or []}
+    env = {n: x["value"] for n, x in facts.items() if x["value"] is not None}
+    mutated = any(x["mutated"] for x in facts.values())
     start: dict[str, int] = {}
     variables: list[str] = []
-    updates = f.children(loop, "update") if loop["kind"] == "ForStmt" else []
-    init = f.child(loop, "init") if loop["kind"] == "ForStmt" else None
-    if init and init["kind"] == "VariableDeclarationExpr":
-        for v in f.children(init, "variables"):
+    updates = f.part("update") if is_for else []
+    for init in f.part("init") if is_for else ():
+        for v in f.children(init["nid"], "variables") if init["kind"] == "VariableDeclarationExpr" else ():
             variables.append(v["name"])
             n = f.integer(f.child(v, "initializer"), {})
             if n is not None:
                 start[v["name"]] = n
-    names = f.names(cond)
-    changed = f.changed(f.below(body)) | f.changed([x for u in updates for x in f.below(u)])
-    true = cond is None and loop["kind"] == "ForStmt" or f.truth(cond, {**start, **env}) is True
-    leaves = f.exits(body)
-    if true and not names & changed and not leaves:
-        return DEFINITE
-    if leaves:
+    true = cond is None and is_for or f.truth(cond, {**start, **env}) is True
+    if loop["leaves"]:
         return None
-    if loop["kind"] == "ForStmt":
-        used = [v for v in variables if v in names]
+    if true and not mutated:
+        return DEFINITE
+    if is_for:
+        used = [v for v in variables if v in facts]
         if not updates:
-            return NO_UPDATE.format(vars=", ".join(used)) if used and not names & changed else None
+            return NO_UPDATE.format(vars=", ".join(used)) if used and not mutated else None
         if f.truth(cond, {**start, **env}) is not False:
-            moved = [u for u in updates if f.changed(f.below(u)) & names]
+            moved = [u for u in updates if f.changed(f.below(u)) & facts.keys()]
             if moved and all(idle(f, u, start) for u in moved):
-                return IDLE_UPDATE.format(vars=", ".join(sorted({x for u in moved for x in f.changed(f.below(u)) & names})))
+                return IDLE_UPDATE.format(vars=", ".join(sorted({x for u in moved for x in f.changed(f.below(u)) & facts.keys()})))
         return away(f, cond, start, updates)
-    c = cond
-    if c is not None and c["kind"] == "NameExpr" and c["name"] not in env and c["name"] not in assigned and c["name"] not in changed:
-        return ONE_NAME.format(name=c["name"])
+    if cond is not None and cond["kind"] == "NameExpr" and not (fact := facts[cond["name"]])["mutated"] and not fact["assigned"] and fact["value"] is None:
+        return ONE_NAME.format(name=cond["name"])
     return None
 
 
-def loop_violations(nodes: list[dict], blocked: tuple[str, ...]) -> list[tuple[int, int | None, str]]:
-    """(line, end line of a block body, message) of the loops of a file that may never end."""
-    for n in nodes:
-        n["edge_path"] = list(n["edge_path"])
-        n["modifiers"] = list(n["modifiers"])
-    f = File(nodes, blocked)
-    out = []
-    for n in nodes:
-        if n["kind"] in LOOPS[:3] and not f.blocked & set(n["edge_path"]):
-            text = check_loop(f, n)
-            if text:
-                body = f.child(n, "body")
-                end = body["end_line"] if body["kind"] == "BlockStmt" else None
-                out.append((n["line"], None if end is None or end != end else int(end), text))
-    return out
+def changes(n: DataFrame) -> DataFrame:
+    """(file, name, nid) of every place that assigns a name: targets of assignments, ++ and --, through
+    parentheses and array indexes."""
+    inside = ("EnclosedExpr.expression", "ArrayAccessExpr.array")
+    places = n.filter(F.col("kind").isin("NameExpr", "FieldAccessExpr") & F.col("name").isNotNull())
+    places = places.withColumn("at", F.array_max(F.transform("edge_path", lambda e, i: F.when(~e.isin(*inside), i)))).withColumn("edge", F.get("edge_path", F.col("at")))
+    places = places.select("file", "name", "nid", "edge", parent_at(F.col("at")).alias("by"))
+    counting = n.filter((F.col("kind") == "UnaryExpr") & F.col("op").isin("++", "--")).select("file", F.col("nid").alias("by"))
+    assigned = places.filter(F.col("edge") == "AssignExpr.target")
+    counted = places.filter(F.col("edge") == "UnaryExpr.expression").join(counting, ["file", "by"], "left_semi")
+    return assigned.unionByName(counted.select(assigned.columns)).select("file", "name", "nid")
+
+
+def exits(n: DataFrame, loops: DataFrame) -> DataFrame:
+    """(file, nid) of the loops whose body can be left: by a throw or a labelled break, by a return that no lambda of
+    the body holds, or by a break that no inner loop takes."""
+    leaving = n.filter(F.col("kind").isin("ThrowStmt", "ReturnStmt", "BreakStmt"))
+    # what an event can leave: everything around it, what stands in the same lambda, or the innermost loop
+    lambda_, loop_ = F.concat(F.lit("lambda "), F.coalesce(around("LambdaExpr").cast("string"), F.lit(""))), F.concat(F.lit("loop "), around(*LOOPS).cast("string"))
+    reach = F.when(F.col("kind") == "ReturnStmt", lambda_).when((F.col("kind") == "BreakStmt") & F.col("label").isNull(), loop_).otherwise("all")
+    events = leaving.select("file", reach.alias("reach"), "nid").filter("reach is not null")
+    own = F.concat(F.lit("lambda "), F.coalesce(F.col("lambda").cast("string"), F.lit("")))
+    asked = loops.select("file", F.col("nid").alias("loop"), F.explode(F.array(F.lit("all"), own, F.concat(F.lit("loop "), F.col("nid").cast("string")))).alias("reach"), F.col("body").alias("lo"), F.col("body_end").alias("hi"))
+    return counts_between(asked, events, ["file", "reach"]).filter("n > 0").select("file", F.col("loop").alias("nid")).distinct()
+
+
+def constants(n: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names that hold true or false: (file, owner, name, value) of final fields, and (file, method, name,
+    value) of local variables, of several with one name the last."""
+    literal = n.filter((F.col("kind") == "LiteralExpr") & F.col("value").isin("true", "false") & (F.col("slot") == "initializer")).select("file", F.col("parent_nid").alias("nid"), (F.col("value") == "true").alias("value"))
+    fields = n.filter((F.col("kind") == "FieldDeclaration") & (F.col("slot") == "members") & F.array_contains("modifiers", "final")).select("file", "nid", F.col("parent_nid").alias("owner"), "name")
+    held = F.array_compact(F.transform("edge_path", lambda e, i: F.when(F.substring_index(e, ".", 1).isin(*METHODS), parent_at(i))))
+    variables = n.filter(F.col("kind") == "Variable").select("file", "nid", "name", held.alias("held")).join(literal, ["file", "nid"])
+    variables = variables.select("file", "name", "nid", "value", F.explode("held").alias("method")).groupBy("file", "method", "name").agg(F.max_by("value", "nid").alias("value"))
+    return fields.join(literal, ["file", "nid"]).select("file", "owner", "name", "value"), variables
+
+
+def loop_facts(nodes: DataFrame, reachable: Column) -> DataFrame:
+    """One row per loop that walkers reach, as `judge` takes it, with its place."""
+    n = nodes.filter(reachable)
+    found = n.filter(F.col("kind").isin(*LOOPS[:3])).select("file", "nid", "kind", "line", visit_key(LOOP_WALK).alias("visit"), around("LambdaExpr").alias("lambda"), around(*METHODS).alias("method"), around(*TYPES).alias("owner"))
+    # a method counts if it stands inside the innermost type
+    found = found.withColumn("method", F.when(F.col("method") > F.coalesce("owner", F.lit(-1)), F.col("method")))
+    found = found.withColumn("in_lambda", F.coalesce(F.col("lambda") > F.coalesce("method", "owner", F.lit(-1)), F.lit(False)))
+    is_body = F.col("slot") == "body"
+    part = lambda c: F.max(F.when(is_body, F.col(c)))
+    parts = n.filter(F.col("slot").isin("body", "update") & F.substring_index(F.element_at("edge_path", -1), ".", 1).isin(*LOOPS[:3])).groupBy("file", F.col("parent_nid").alias("nid"))
+    parts = parts.agg(part("nid").alias("body"), part("end_nid").alias("body_end"), F.max(F.when(is_body & (F.col("kind") == "BlockStmt"), F.col("end_line"))).alias("end_line"), F.min("nid").alias("lo"))
+    methods = n.filter(F.col("kind").isin(*METHODS)).select("file", F.col("nid").alias("method"), F.col("end_nid").alias("method_end"))
+    loops = found.join(parts, ["file", "nid"]).join(methods, ["file", "method"], "left")
+    # the heads: a node may stand in those of several loops
+    heads = F.explode(F.array_compact(F.transform("edge_path", lambda e, i: F.when(e.isin(*HEADS), F.struct(e.alias("edge"), parent_at(i).alias("loop")))))).alias("h")
+    held = n.filter(F.exists("edge_path", lambda e: e.isin(*HEADS))).select("file", "nid", "end_nid", "parent_nid", "slot", "kind", "name", "op", "value", heads)
+    columns = ("nid", "end_nid", "parent_nid", "slot", "kind", "name", "op", "value")
+    head = held.groupBy("file", F.col("h.loop").alias("nid")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("head"))
+    used = held.filter(F.endswith("h.edge", F.lit(".condition")) & F.col("kind").isin("NameExpr", "FieldAccessExpr") & F.col("name").isNotNull()).select("file", F.col("h.loop").alias("nid"), "name").distinct()
+    names = loops.select("file", "nid", "lo", "body_end", "method", "method_end", "owner", "in_lambda").join(used, ["file", "nid"])
+    # changes of a name in body and updates, and in the whole method, in one pass
+    changed = changes(n)
+    asked = names.select("file", "name", F.col("nid").alias("loop"), F.explode(F.array(F.struct(F.lit(True).alias("inner"), F.col("lo"), F.col("body_end").alias("hi")), F.struct(F.lit(False).alias("inner"), F.col("method").alias("lo"), F.col("method_end").alias("hi")))).alias("q"))
+    counts = counts_between(asked.select("file", "name", "loop", "q.*").filter("lo is not null"), changed, ["file", "name"])
+    counts = counts.groupBy("file", "name", F.col("loop").alias("nid")).agg(F.max(F.col("inner") & (F.col("n") > 0)).alias("mutated"), F.max(~F.col("inner") & (F.col("n") > 0)).alias("assigned"))
+    fields, locals_ = constants(n)
+    facts = names.join(counts, ["file", "name", "nid"], "left").join(fields.withColumnRenamed("value", "field"), ["file", "owner", "name"], "left").join(locals_.withColumnRenamed("value", "local"), ["file", "method", "name"], "left")
+    value = F.when(F.col("in_lambda"), F.lit(None)).otherwise(F.coalesce(F.when(F.col("assigned"), F.lit(None)).otherwise(F.col("local")), "field"))
+    facts = facts.groupBy("file", "nid").agg(F.collect_list(F.struct("name", F.coalesce("mutated", F.lit(False)).alias("mutated"), F.coalesce("assigned", F.lit(False)).alias("assigned"), value.alias("value"))).alias("names"))
+    left = exits(n, loops).withColumn("leaves", F.lit(True))
+    rows = loops.join(head, ["file", "nid"], "left").join(facts, ["file", "nid"], "left").join(left, ["file", "nid"], "left")
+    return rows.select("file", "nid", "kind", "line", "end_line", "visit", F.coalesce("leaves", F.lit(False)).alias("leaves"), "head", "names")
+
+
+def loop_violations(nodes: DataFrame, reachable: Column) -> DataFrame:
+    """Loops that may never end, with the line on which a block body ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [judge(r) for r in batch.select(["nid", "kind", "leaves", "head", "names"]).to_pylist()]
+            kept = batch.append_column("message", pa.array(texts, pa.string())).filter(pa.array([t is not None for t in texts], pa.bool_()))
+            fixed = [pa.array([x] * kept.num_rows, pa.string()) for x in ("J009", "major")]
+            yield pa.RecordBatch.from_arrays([*fixed, *(kept.column(c) for c in ("file", "line", "end_line", "message", "visit"))], names=["rule_id", "severity", "file", "line", "end_line", "message", "visit"])
+
+    return loop_facts(nodes, reachable).mapInArrow(run, VISITED)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import all_of, flag_match, message, modifier_match, value_match
 from ..schemas import SEVERITIES
+from .structure import visit_key
 
 # Edges that walkers do not follow, and edges on the way to declarations.
 ALWAYS_BLOCKED = ("EnumDeclaration.constants", "SwitchStmt.labels", "TryStmt.resources")
@@ -85,14 +86,14 @@ def condition(rule: PatternRule, columns: dict[str, Column], flags: tuple[str, .
     return all_of(tests)
 
 
-def fused(rows: DataFrame, rules: list[tuple[PatternRule, Column, dict[str, Column]]], line: Column) -> DataFrame:
-    """Violations of several rules from one pass over `rows`."""
+def fused(rows: DataFrame, rules: list[tuple[PatternRule, Column, dict[str, Column]]], line: Column, visit: Column | None = None) -> DataFrame:
+    """Violations of several rules from one pass over `rows`, in the order of `visit` (else of lines)."""
     hits = [
         F.when(test, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), message(r.message, {**captured, "line": line}).alias("message")))
         for r, test, captured in rules
     ]
-    found = rows.select("file", line.alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("v"))
-    return found.select("v.rule_id", "v.severity", "file", "line", F.lit(None).cast("int").alias("end_line"), "v.message")
+    found = rows.select("file", line.alias("line"), (F.array(line) if visit is None else visit).alias("visit"), F.explode(F.array_compact(F.array(*hits))).alias("v"))
+    return found.select("v.rule_id", "v.severity", "file", "line", F.lit(None).cast("int").alias("end_line"), "v.message", "visit")
 
 
 def match_patterns(nodes: DataFrame, imports: DataFrame, rules: list[PatternRule]) -> DataFrame | None:
@@ -105,17 +106,19 @@ def match_patterns(nodes: DataFrame, imports: DataFrame, rules: list[PatternRule
     out = []
     modifiers = F.array_join("modifiers", ", ")
     for kind, some in by.items():
+        visit = visit_key()
         if kind == "MethodCall":
             rows = nodes.filter((c("kind") == "MethodCallExpr") & reachable(CALL_BLOCKED))
             fields = {"callee": c("callee"), "method": c("name"), "method_name": c("name")}
             made = [(r, condition(r, fields), {k: fields[k] for k in sorted(r.fields) if k in fields}) for r in some]
         elif kind == "Import":
-            rows = imports
+            rows, visit = imports, F.array("ord")
             fields = {"package": c("package"), "is_wildcard": c("is_wildcard"), "is_static": c("is_static")}
             made = [(r, condition(r, fields, ("is_wildcard", "is_static")), {k: fields[k] for k in sorted(r.fields) if k in fields}) for r in some]
         elif kind == "Annotation":
             owners = nodes.filter(c("kind").endswith("Declaration") & reachable((*NESTED_OTHER, "ClassDeclaration.x")) & ~F.exists("edge_path", lambda e: e.contains(".body") | e.contains(".initializer")))
-            rows = owners.select("file", F.explode("annotations").alias("a")).select("file", c("a.line").alias("line"), c("a.name").alias("name"))
+            rows = owners.select("file", visit.alias("owner"), F.posexplode("annotations").alias("at", "a")).select("file", c("a.line").alias("line"), c("a.name").alias("name"), F.concat("owner", F.array(F.lit(-1), "at")).alias("visit"))
+            visit = c("visit")
             fields = {"name": c("name"), "type": c("name")}
             made = [(r, condition(r, fields), {"name": c("name"), "type": c("name")}) for r in some]
         else:
@@ -129,7 +132,7 @@ def match_patterns(nodes: DataFrame, imports: DataFrame, rules: list[PatternRule
             shown = {"name": c("name"), "modifier": modifiers, "modifiers": modifiers}
             shown |= {"return_type": c("type_name")} if kind == "MethodDeclaration" else {"field_type": c("type_name"), "type": c("type_name")} if kind == "FieldDeclaration" else {}
             made = [(r, condition(r, fields), shown) for r in some]
-        out.append(fused(rows, made, c("line")))
+        out.append(fused(rows, made, c("line"), visit))
     return union(out)
 
 

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_annotation, is_loose_map
-from ..schemas import VIOLATIONS
+from ..schemas import VISITED
+from .loops import loop_violations
 from .patterns import CATCH_BLOCKED, LOOP_BLOCKED, USE_BLOCKED, reachable, union
+from .structure import USE_WALK, contained, visit_key
 
-FOUND = pa.schema([("rule_id", pa.string()), ("severity", pa.string()), ("file", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("message", pa.string())])
 Rule = Callable[[DataFrame, DataFrame, dict], DataFrame]
 
 # Package prefixes, and the messages of the shipped rules.
@@ -31,10 +31,10 @@ EMPTY_CATCH = "empty catch block: exception is silently swallowed"
 ENDPOINTS = ("GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping", "RequestMapping")
 
 
-def rows(df: DataFrame, rule_id: str, severity: str, message: Column, line: Column | None = None, end_line: Column | None = None) -> DataFrame:
-    line = F.col("line") if line is None else line
-    end = F.lit(None) if end_line is None else end_line
-    return df.select(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), "file", line.alias("line"), end.cast("int").alias("end_line"), message.alias("message"))
+def rows(df: DataFrame, rule_id: str, severity: str, message: Column, visit: Column | None = None) -> DataFrame:
+    """Violations at the rows of `df`, which are nodes unless they are given their own `visit`."""
+    visit = visit_key() if visit is None else visit
+    return df.select(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), "file", "line", F.lit(None).cast("int").alias("end_line"), message.alias("message"), visit.alias("visit"))
 
 
 def long_method(nodes: DataFrame, imports: DataFrame, params: dict) -> DataFrame:
@@ -56,7 +56,7 @@ def string_utils(nodes: DataFrame, imports: DataFrame, params: dict) -> DataFram
     """J011: StringUtils from elsewhere than commons-lang3."""
     p = F.col("package")
     found = imports.filter((p.endswith(".StringUtils") | p.endswith(".StringUtil")) & ~p.startswith("org.apache.commons.lang3."))
-    return rows(found, "J011", params.get("severity", "minor"), F.concat(F.lit(STRING_UTILS[0]), p, F.lit(STRING_UTILS[1])))
+    return rows(found, "J011", params.get("severity", "minor"), F.concat(F.lit(STRING_UTILS[0]), p, F.lit(STRING_UTILS[1])), F.array("ord"))
 
 
 def uses_of(nodes: DataFrame, imports: DataFrame, prefixes: tuple[str, ...], bare: tuple[str, ...], rule_id: str, severity: str, by_path: tuple[str, str], by_name: tuple[str, str]) -> DataFrame:
@@ -69,10 +69,10 @@ def uses_of(nodes: DataFrame, imports: DataFrame, prefixes: tuple[str, ...], bar
     typed = ("CastExpr", "InstanceOfExpr", "MethodReferenceExpr")
     kinds = nodes.filter(F.col("kind").isin(*named, *typed) & reachable(USE_BLOCKED))
     target = F.when(F.col("kind") == "MethodCallExpr", F.col("callee")).when(F.col("kind") == "ObjectCreationExpr", F.col("class_name")).otherwise(F.col("type_name"))
-    places = kinds.select("file", "line", "kind", target.alias("used")).filter("used is not null")
-    path = rows(places.filter(has(F.col("used"))), rule_id, severity, F.concat(F.lit(by_path[0]), "used", F.lit(by_path[1])))
+    places = kinds.select("file", "line", "kind", target.alias("used"), visit_key(USE_WALK).alias("visit")).filter("used is not null")
+    path = rows(places.filter(has(F.col("used"))), rule_id, severity, F.concat(F.lit(by_path[0]), "used", F.lit(by_path[1])), F.col("visit"))
     name = places.filter(F.col("kind").isin(*named) & ~has(F.col("used"))).join(known, ["file", "used"], "left_semi")
-    return path.unionByName(rows(name, rule_id, severity, F.concat(F.lit(by_name[0]), "used", F.lit(by_name[1]))))
+    return path.unionByName(rows(name, rule_id, severity, F.concat(F.lit(by_name[0]), "used", F.lit(by_name[1])), F.col("visit")))
 
 
 def sum_or(tests: list[Column]) -> Column:
@@ -96,40 +96,19 @@ def map_parameters(nodes: DataFrame, imports: DataFrame, params: dict) -> DataFr
     """J013: endpoint methods of controllers that take a loose map; a row per parameter. A nested
     type counts only beneath controllers, so all types around a method are controllers."""
     types = nodes.filter(F.col("kind").isin("ClassDeclaration", "InterfaceDeclaration") & F.coalesce(has_annotation(F.col("annotations"), "Controller"), F.lit(False)))
-    around = types.select("file", F.col("nid").alias("t_nid"), F.col("end_nid").alias("t_end"))
     methods = nodes.filter((F.col("kind") == "MethodDeclaration") & has_annotation(F.col("annotations"), *ENDPOINTS) & (F.size(F.filter("parameters", lambda p: is_loose_map(p["param_type"]))) > 0))
     methods = methods.filter(~F.exists("edge_path", lambda e: e.contains(".body") | e.rlike("nested_(enum|annotation)$")))
-    held = methods.join(around, "file").filter((F.col("nid") > F.col("t_nid")) & (F.col("nid") <= F.col("t_end")))
-    counted = held.groupBy("file", "nid", "line", "name", "depth", "parameters").agg(F.count("*").alias("around")).filter(F.col("around") == F.col("depth") - 1)
-    each = counted.select("file", "line", "name", F.explode(F.filter("parameters", lambda p: is_loose_map(p["param_type"]))).alias("p"))
+    shown = methods.select("file", "nid", "end_nid", "line", "name", "depth", "parameters", visit_key().alias("visit"))
+    held = contained(types.select("file", "nid", "end_nid"), shown).groupBy("descendant").agg(F.count("*").alias("around")).filter(F.col("around") == F.col("descendant.depth") - 1)
+    each = held.select("descendant.*").select("file", "line", "name", "visit", F.posexplode("parameters").alias("at", "p")).filter(is_loose_map(F.col("p.param_type")))
     a, b, c = MAP_PARAMETER
-    return rows(each, "J013", params.get("severity", "major"), F.concat(F.lit(a), "name", F.lit(b), "p.param_type", F.lit(c)))
+    text = F.concat(F.lit(a), "name", F.lit(b), "p.param_type", F.lit(c))
+    return rows(each, "J013", params.get("severity", "major"), text, F.concat("visit", F.array(F.lit(-1), "at")))
 
 
 def endless_loops(nodes: DataFrame, imports: DataFrame, params: dict) -> DataFrame:
-    """J009: loops that may never end. Files without a loop are left out first; deciding a loop is a
-    walk over the nodes of its file, which arrive sorted, so a task holds one file at a time."""
-    from .loops import loop_violations
-
-    loops = nodes.filter(F.col("kind").isin("ForStmt", "WhileStmt", "DoStmt") & reachable(LOOP_BLOCKED)).select("file").distinct()
-    wanted = nodes.join(loops, "file", "left_semi").select("file", "nid", "end_nid", "parent_nid", "slot", "slot_ord", "kind", "line", "end_line", "name", "op", "value", "label", "modifiers", "edge_path")
-
-    def of_file(rows: list[dict]) -> list[dict]:
-        return [{"rule_id": "J009", "severity": "major", "file": rows[0]["file"], "line": line, "end_line": end, "message": text} for line, end, text in loop_violations(rows, LOOP_BLOCKED)]
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                if held and row["file"] != held[0]["file"]:
-                    found += of_file(held)
-                    held = []
-                held.append(row)
-            yield pa.RecordBatch.from_pylist(found, FOUND)
-        yield pa.RecordBatch.from_pylist(of_file(held) if held else [], FOUND)
-
-    return wanted.repartition("file").sortWithinPartitions("file", "nid").mapInArrow(decide, VIOLATIONS)
+    """J009: loops that may never end."""
+    return loop_violations(nodes, reachable(LOOP_BLOCKED))
 
 
 #: The registry: rules by id; others may be added with register().
@@ -139,7 +118,7 @@ SEVERITY = {"J006": "minor", "J011": "minor"}  # of those that are not major
 
 
 def register(rule_id: str, rule: Rule, span_policy: str = "anchor") -> None:
-    """Adds a rule: a function of (nodes, imports, params) to rows of the violations schema."""
+    """Adds a rule: a function of (nodes, imports, params) to rows of the schema VISITED."""
     REGISTRY[rule_id] = rule
     SPAN_POLICIES[rule_id] = span_policy
 
@@ -152,13 +131,13 @@ def function_rule(rule_id: str, severity: str, check: Callable[[dict], list[dict
         def per_file(key: tuple, n: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
             try:
                 found = check({"file": key[0], "nodes": n.to_dict("records"), "imports": i.to_dict("records"), "config": params})
-                made = [(rule_id, severity, key[0], int(v.get("line", 0)), v.get("end_line"), str(v.get("message", "violation"))) for v in found]
+                made = [(rule_id, severity, key[0], int(v.get("line", 0)), v.get("end_line"), str(v.get("message", "violation")), [i]) for i, v in enumerate(found)]
             except Exception as e:  # one bad file must not end the scan
                 sys.stderr.write(f"warning: {rule_id} failed on {key[0]}: {e!r}\n")
                 made = []
-            return pd.DataFrame(made, columns=["rule_id", "severity", "file", "line", "end_line", "message"]).astype({"line": "Int32", "end_line": "Int32"})
+            return pd.DataFrame(made, columns=["rule_id", "severity", "file", "line", "end_line", "message", "visit"]).astype({"line": "Int32", "end_line": "Int32"})
 
-        return nodes.groupBy("file").cogroup(imports.groupBy("file")).applyInPandas(per_file, VIOLATIONS)
+        return nodes.groupBy("file").cogroup(imports.groupBy("file")).applyInPandas(per_file, VISITED)
 
     return run
 

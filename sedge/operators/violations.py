@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from ..functions.text import sarif_level
 from ..schemas import SEVERITIES, sev_rank
+from .matching import baseline_tolerant  # noqa: F401
 
 def select_rules(rules: DataFrame, disabled: tuple[str, ...] = (), enabled: tuple[str, ...] = (), min_severity: str = "info") -> DataFrame:
     """Rules that run: not disabled by themselves or by id, in the list of enabled ones if there is
@@ -71,34 +71,6 @@ def baseline_exact(violations: DataFrame, baseline: DataFrame) -> DataFrame:
 def baseline_mapped(violations: DataFrame, baseline: DataFrame, diffs: DataFrame, strict: bool = False) -> DataFrame:
     return baseline_exact(violations, translated(baseline, diffs, strict))
 
-def baseline_tolerant(violations: DataFrame, baseline: DataFrame, tolerance: int = 5, order: str = "emit_ord") -> DataFrame:
-    """Violations without a baseline entry of their own: in order of emission each takes the nearest unused
-    entry of its file and rule within `tolerance` lines (the first listed of two). `baseline` has ord.
-
-    Only lines of one cluster (no gap of more than `tolerance` between neighbours) can meet, so each cluster is
-    decided on its own, by a fold over its violations.
-    """
-    v = violations.select("file", "rule_id", "line", F.struct(*violations.columns).alias("row"), F.lit(None).cast("long").alias("ord"))
-    b = baseline.select("file", "rule_id", "line", F.lit(None).cast(v.schema["row"].dataType).alias("row"), F.col("ord").cast("long").alias("ord"))
-    along = Window.partitionBy("file", "rule_id").orderBy("line")
-    gap = F.coalesce((F.col("line") - F.lag("line").over(along) > tolerance).cast("int"), F.lit(0))
-    both = v.unionByName(b).withColumn("gap", gap).withColumn("cluster", F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    mine = F.when(F.col("row").isNotNull(), F.struct(F.col(f"row.{order}").alias("o"), F.col("line").alias("line"), F.col("row").alias("row")))
-    theirs = F.when(F.col("row").isNull(), F.struct("ord", "line"))
-    groups = both.groupBy("file", "rule_id", "cluster").agg(F.array_sort(F.collect_list(mine)).alias("v"), F.array_sort(F.collect_list(theirs)).alias("b")).filter(F.size("v") > 0)
-    rows = F.array().cast(ArrayType(v.schema["row"].dataType))
-    lines = F.transform("b", lambda x: x["line"].cast("int"))
-
-    def take(s: Column, x: Column) -> Column:
-        near = F.transform(s["free"], lambda y, i: F.struct(F.abs(y - x["line"]).alias("d"), i.alias("i")))
-        best = F.array_min(F.filter(near, lambda n: n["d"] <= tolerance))
-        free = F.transform(s["free"], lambda y, i: F.when(i == best["i"], F.lit(None)).otherwise(y))
-        return F.struct(F.when(best.isNull(), s["free"]).otherwise(free).alias("free"), F.when(best.isNull(), F.concat(s["kept"], F.array(x["row"]))).otherwise(s["kept"]).alias("kept"))
-
-    kept = F.aggregate("v", F.struct(lines.alias("free"), rows.alias("kept")), take, lambda s: s["kept"])
-    alone = F.transform("v", lambda x: x["row"])
-    return groups.select(F.inline(F.when(F.size("b") == 0, alone).otherwise(kept)))
-
 def ordered(violations: DataFrame) -> DataFrame:
     tail = ["emit_ord"] if "emit_ord" in violations.columns else []
     return violations.orderBy("file", "line", "rule_id", *tail)

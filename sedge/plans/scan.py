@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,18 +14,19 @@ from pyspark.sql import functions as F
 from ..operators import patterns, rules, violations
 from ..operators.patterns import PatternRule
 from ..operators.shipped import SHIPPED
-from ..schemas import SEVERITIES, parse_severity
+from ..schemas import SEVERITIES, VISITED, parse_severity
 from ..sources import config, diffs, files, reports
 
 
 def run_all(parsed: DataFrame, pattern_rules: list[PatternRule], functions: list[str], params: dict[str, dict] | None = None) -> DataFrame:
-    """Violations of all rules over parsed files, with emit_ord (order of rules, then place)."""
+    """Violations of all rules over parsed files, with emit_ord: in a file, rules come in their order, and
+    what one rule finds in the order in which its walker visits."""
     nodes, imports = files.nodes_of(parsed), files.imports_of(parsed)
     both = patterns.union([x for x in (patterns.match_patterns(nodes, imports, pattern_rules), rules.run_rules(nodes, imports, functions, params)) if x is not None])
     if both is None:
-        both = parsed.sparkSession.createDataFrame([], "rule_id string, severity string, file string, line int, end_line int, message string")
+        both = parsed.sparkSession.createDataFrame([], VISITED)
     order = F.array_position(F.array(*[F.lit(x) for x in [*(r.id for r in pattern_rules), *functions]] or [F.lit("")]), F.col("rule_id"))
-    return both.withColumn("emit_ord", order * 10_000_000 + F.col("line"))
+    return both.withColumn("emit_ord", F.struct(order.alias("rule"), "visit")).drop("visit")
 
 
 def scan(spark: SparkSession, root: str, pattern_rules: list[PatternRule], functions: list[str], *, params: dict | None = None, excludes: tuple[str, ...] = files.DEFAULT_EXCLUDES, includes: tuple[str, ...] = (), encoding: str = "auto", cache: str | None = None, diff: DataFrame | None = None, by_line: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +41,7 @@ def scan(spark: SparkSession, root: str, pattern_rules: list[PatternRule], funct
 
 
 def names_in(diff: DataFrame) -> list[str]:
-    """The Java files of a diff, whose text the driver has read."""
+    """The names of a diff's Java files."""
     return sorted(r["file"] for r in diff.filter(F.endswith("file", F.lit(".java"))).select("file").distinct().collect())
 
 
@@ -54,6 +56,9 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     s.add_argument("--include", action="append", default=[])
     s.add_argument("--encoding", default="auto")
     s.add_argument("--format", default="console", choices=list(reports.FORMATS))
+    s.add_argument("--diff-file", help="a diff without context lines, instead of asking git")
+    s.add_argument("--diff-root", default="", help="the folder of PATH in the names of --diff-file")
+    s.add_argument("--parts", action="store_true", help="the output is a folder of parts, which tasks write; their names give the order")
     s.add_argument("--gate", action="store_true")
     s.add_argument("--min-severity")
     s.add_argument("--disable", action="append", default=[])
@@ -105,6 +110,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
 
 
 def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project, found: list[PatternRule], entries: list[config.Entry], table: DataFrame, out) -> int:
+    began = time.monotonic()
     if a.semantic_diff and not a.diff:
         raise ValueError("--semantic-diff needs --diff")
     settings = project.rules
@@ -112,16 +118,18 @@ def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project
     kept = {r["id"] for r in violations.select_rules(table, (*a.disable, *settings.get("disable", [])), tuple(a.enable or settings.get("enable", [])), least).collect()}
     found, functions = [r for r in found if r.id in kept], [e.id for e in entries if e.id in kept]
     params = {e.id: e.params for e in entries}
-    root = os.path.realpath(a.path)
+    root = a.path if "://" in a.path else os.path.realpath(a.path)
     excludes = tuple(a.exclude or files.DEFAULT_EXCLUDES) + tuple(project.scan.get("exclude", []))
     options = {"params": params, "excludes": excludes, "includes": tuple(a.include or project.scan.get("include", [])), "encoding": files.effective_encoding(a.encoding, project.scan.get("encoding")), "cache": a.cache}
     diff = None
-    if a.diff:
+    if a.diff_file:
+        diff = diffs.rebased(diffs.diff_files(diffs.diff_lines(spark, a.diff_file)), a.diff_root).cache()
+    elif a.diff:
         top = diffs.git(root, "rev-parse", "--show-toplevel").strip()
         diff = diffs.diff_table(spark, diffs.get_diff(root, a.diff), top, root)
     if a.semantic_diff:
         parsed, rows = scan(spark, root, found, functions, **options, diff=diff, by_line=False)
-        old = files.parse_files(diffs.old_sources(spark, root, diffs.old_ref(root, a.diff), names_in(diff)), options["encoding"])
+        old = files.parse_files(diffs.old_sources(root, diffs.old_ref(root, a.diff), diff.filter(F.endswith("file", F.lit(".java"))).select("file").distinct()), options["encoding"])
         rows = violations.semantic_difference(rows, run_all(old, found, functions, params), diff)
     else:
         parsed, rows = scan(spark, root, found, functions, **options, diff=diff)
@@ -136,11 +144,12 @@ def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project
         for r in parsed.filter("parse_error is not null").select("file", "parse_error").toLocalIterator():
             sys.stderr.write(f"warning: {r['file']}: {r['parse_error']}\n")
     stats = reports.stats_of(rows, n["files_scanned"], n["parse_errors"])
+    stats["duration_ms"] = int((time.monotonic() - began) * 1000)
+    made = reports.report(a.format, rows, stats)
     if a.output:
-        with open(a.output, "w", encoding="utf-8") as f:
-            reports.report(a.format, rows, stats, f)
+        made.save(a.output, single=not a.parts)
     else:
-        reports.report(a.format, rows, stats, out)
+        made.stream(out)
     if not a.gate and not a.gate_config:
         return 0
     limits = config.read_yaml(Path(a.gate_config).read_text(encoding="utf-8")) if a.gate_config else project.gate

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import java_queries
+from . import java_cases, java_queries
 from .functions import text as T
 from .operators import violations as V
 from .operators.patterns import PatternRule, condition, fused, union
@@ -156,5 +156,5 @@ ORACLES = {
     "location_text": f"SELECT file, ':' || line || CASE WHEN span > 0 THEN '-' || (line + span) ELSE '' END AS place, l_partkey FROM ({VIOLATIONS_SQL})",
 }
 
-QUERIES |= java_queries.QUERIES
-ORACLES |= java_queries.ORACLES
+QUERIES |= java_queries.QUERIES | java_cases.QUERIES
+ORACLES |= java_queries.ORACLES | java_cases.ORACLES

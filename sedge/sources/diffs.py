@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import subprocess
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BASELINE, DIFFS
@@ -44,7 +46,7 @@ def parse_diff(text: str) -> list[tuple]:
             out[-1].update(kind="Added", new=True)
         elif line.startswith("deleted file mode"):
             out[-1].update(kind="Deleted")
-        elif line.startswith("+++ "):
+        elif line.startswith("+++ ") and not out[-1]["hunks"]:  # later ones are added lines
             path = line[4:].split("\t")[0].strip('"')
             if path != "/dev/null":
                 out[-1]["file"] = path.removeprefix("b/")
@@ -74,21 +76,89 @@ def diff_table(spark: SparkSession, text: str, git_root: str = "", scan_root: st
     return spark.createDataFrame(rows, DIFFS)
 
 
-def old_sources(spark: SparkSession, repo: str, ref: str, files: list[str]) -> DataFrame:
-    """(file, content) of an old version; files that it did not have are absent. Paths count from
-    `repo`, which may be a folder inside the repository. As many files as a diff names are read."""
-    asked = [f for f in files if "\n" not in f]
-    shown = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="".join(f"{ref}:./{f}\n" for f in asked).encode(), check=True, capture_output=True).stdout
-    rows, at = [], 0
-    for f in asked:
-        end = shown.index(b"\n", at)
-        head, at = shown[at:end].rsplit(b" ", 2), end + 1
-        if head[-1].isdigit():
-            size = int(head[-1])
-            if head[-2] == b"blob":
-                rows.append((f, bytearray(shown[at : at + size])))
-            at += size + 1
-    return spark.createDataFrame(rows, "file string, content binary")
+def diff_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(block, at, value): the lines of a diff's file, split over tasks; block and at give their order."""
+    rows = spark.read.text(path)
+    return rows.select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def numbered(lines: DataFrame, head: str) -> DataFrame:
+    """`lines` (block, at, value) with segment: how many lines that begin with `head` stand up to here.
+
+    A prefix scan in two passes: each block counts its heads, the few sums are added up along the
+    blocks, and each block numbers its own lines from there. No block waits for another, and no
+    line leaves its block.
+    """
+    is_head = F.startswith("value", F.lit(head))
+    sums = lines.groupBy("block").agg(F.count_if(is_head).alias("heads"))
+    before = F.sum("heads").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("block", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum(is_head.cast("int")).over(Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumn("inside", inside).join(sums, "block").withColumn("segment", F.col("before") + F.col("inside")).drop("inside", "before")
+
+
+def diff_files(lines: DataFrame) -> DataFrame:
+    """What `parse_diff` finds in the lines (block, at, value) of a unified diff without context, a row per
+    file; a file's head may stand in another block than its hunks."""
+    v = F.col("value")
+    marks = ("diff --git ", "new file mode", "deleted file mode", "+++ ", "--- ", "@@ ")
+    kept = numbered(lines.filter(v.rlike("^(" + "|".join(re.escape(m) for m in marks) + ")")), marks[0]).filter("segment > 0")
+    named = F.btrim(F.substring_index(F.substring("value", 5, 2**31 - 1), "\t", 1), F.lit('"'))
+    path = lambda mark, side: F.when(F.startswith("value", F.lit(mark)), F.struct(F.when(named != "/dev/null", F.regexp_replace(named, f"^{side}/", "")).alias("path")))
+    number = lambda i, default: F.coalesce(F.nullif(F.regexp_extract("value", HUNK.pattern, i), F.lit("")).cast("int"), F.lit(default))
+    hunk = F.struct("block", "at", number(1, 0).alias("os"), number(2, 1).alias("ol"), number(3, 0).alias("ns"), number(4, 1).alias("nl"))
+    order = F.struct("block", "at")
+    kind = F.when(F.startswith("value", F.lit(marks[1])), "Added").when(F.startswith("value", F.lit(marks[2])), "Deleted")
+    plus, minus = path("+++ ", "b"), path("--- ", "a")
+    # the first line of each kind is the file's head; later ones are added or removed lines
+    files = kept.groupBy("segment").agg(
+        F.min_by(plus, F.when(plus.isNotNull(), order)).alias("plus"),
+        F.min_by(minus["path"], F.when(minus["path"].isNotNull(), order)).alias("minus"),
+        F.coalesce(F.max_by(kind, F.when(kind.isNotNull(), order)), F.lit("Modified")).alias("kind"),
+        F.coalesce(F.max(kind == "Added"), F.lit(False)).alias("is_new"),
+        F.array_sort(F.collect_list(F.when(v.rlike(HUNK.pattern), hunk))).alias("found"),
+    )
+    hunks = F.transform("found", lambda h: F.struct(h["os"].alias("os"), h["ol"].alias("ol"), h["ns"].alias("ns"), h["nl"].alias("nl")))
+    ranges = F.transform(F.filter("found", lambda h: h["nl"] > 0), lambda h: F.struct(h["ns"].alias("start"), (h["ns"] + h["nl"] - 1).alias("end")))
+    return files.select(F.coalesce("plus.path", "minus").alias("file"), "kind", "is_new", ranges.alias("ranges"), hunks.alias("hunks")).filter("file <> ''")
+
+
+def rebased(diff: DataFrame, folder: str) -> DataFrame:
+    """The files of a diff below `folder`, named from there."""
+    folder = folder.strip("/")
+    if not folder:
+        return diff
+    return diff.filter(F.startswith("file", F.lit(folder + "/"))).withColumn("file", F.substring("file", len(folder) + 2, 2**31 - 1))
+
+
+def old_sources(repo: str, ref: str, names: DataFrame) -> DataFrame:
+    """(file, content) of an old version, for the files that `names` (file) lists; files that it did not have are absent.
+
+    Paths count from `repo`, which may be a folder inside the repository and which tasks reach. Each
+    task asks a `git` process of its own, one file at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        git_ = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        try:
+            for batch in batches:
+                for name in batch.column("file").to_pylist():
+                    if name is None or "\n" in name:
+                        continue
+                    git_.stdin.write(f"{ref}:./{name}\n".encode())
+                    git_.stdin.flush()
+                    head = git_.stdout.readline().rsplit(b" ", 2)
+                    if not head[-1].strip().isdigit():  # missing, or no such reference
+                        continue
+                    content = git_.stdout.read(int(head[-1]) + 1)[:-1]
+                    if head[-2] == b"blob":
+                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([content], pa.binary())], names=["file", "content"])
+        finally:
+            git_.stdin.close()
+            git_.stdout.close()
+            git_.wait()
+
+    return names.select("file").mapInArrow(run, "file string, content binary")
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
-import os
-import re
 import sys
 from collections.abc import Iterator
 
@@ -16,36 +13,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructType
 
 from ..schemas import PARSED
+from .charsets import decode_source, effective_encoding  # noqa: F401
+from .listing import source_files
 
-# Directories never scanned unless other ones are given, and names of charsets.
+# Directories never scanned unless other ones are given.
 DEFAULT_EXCLUDES = ("target", "build", ".git", "node_modules")
-CHARSETS = {"utf-8": "utf-8", "utf8": "utf-8", "gbk": "gb18030", "gb2312": "gb18030", "gb18030": "gb18030", "shift-jis": "cp932", "shift_jis": "cp932", "latin1": "cp1252", "big5": "big5hkscs", "euc-kr": "cp949"}
 PARSER_VERSION = "1"
-#: Bytes that Windows-1252 leaves open read as the control characters of the same number.
-codecs.register_error("windows-1252", lambda e: (e.object[e.start : e.end].decode("latin1"), e.end))
-
-
-def decode_source(raw: bytes, encoding: str = "auto") -> str:
-    """Text of a source; never fails. `auto`: a UTF-8 mark, valid UTF-8, GBK, Shift-JIS, else Windows-1252."""
-    if encoding.lower() != "auto":
-        name = CHARSETS.get(encoding.lower(), encoding)
-        try:
-            return raw.removeprefix(b"\xef\xbb\xbf" if name == "utf-8" else b"").decode(name, "replace")
-        except LookupError:
-            return raw.decode("utf-8", "replace")
-    if raw.startswith(b"\xef\xbb\xbf"):
-        return raw[3:].decode("utf-8", "replace")
-    for name in ("utf-8", "gb18030", "cp932"):
-        try:
-            return raw.decode(name)
-        except UnicodeDecodeError:
-            continue
-    return raw.decode("cp1252", "windows-1252")
-
-
-def effective_encoding(option: str = "auto", configured: str | None = None) -> str:
-    """The command line's encoding unless it is auto, then the configuration's."""
-    return option if option != "auto" else configured or "auto"
 
 
 @F.pandas_udf(StringType())
@@ -53,26 +26,11 @@ def decode_udf(raw: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else decode_source(bytes(r), e) for r, e in zip(raw, encoding, strict=True)], dtype=object)
 
 
-def relative(path: Column, root: str) -> Column:
-    """A path below `root`, from the listing's URI."""
-    clean = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    return F.regexp_replace(clean, "^" + "".join("\\" + c if not c.isalnum() else c for c in root.rstrip("/") + "/"), "")
-
-
 def java_files(spark: SparkSession, root: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, includes: tuple[str, ...] = (), only: list[str] | None = None) -> DataFrame:
-    """(file, path, content) of the .java files below `root`: no directory on the way, `root`
-    itself included, has an excluded name; the path contains one of `includes` if there are any.
-    With `only`, paths below a local `root`, no other file is opened or listed."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java")
-    if only is not None:
-        there = [f"{root.rstrip('/')}/{f}" for f in only if f.endswith(".java") and os.path.isfile(os.path.join(root, f))]
-        if not there:
-            return spark.createDataFrame([], "file string, path string, content binary")
-        found = reader.load([re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in there])
-    else:
-        found = reader.load(root)
-    found = found.select(relative(F.col("path"), root).alias("file"), F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    return kept_paths(found, root.rstrip("/").rpartition("/")[2], excludes, includes)
+    """(file, path, content) of the .java files below `root`, a path or a URI: no directory on the way, `root`
+    itself included, has an excluded name, and such directories are not opened; the path contains
+    one of `includes` if there are any. With `only`, names below the root, no directory is listed."""
+    return source_files(spark, root.rstrip("/") or "/", excludes, includes, only)
 
 
 def kept_paths(found: DataFrame, top: str, excludes: tuple[str, ...], includes: tuple[str, ...]) -> DataFrame:

@@ -799,22 +799,23 @@ class Parser:
 def flat(root: dict) -> list[tuple]:
     """The nodes below `root` in nested-set order, as rows of the nodes schema."""
     rows: list = []
-    stack = [(root, None, -1, 0, "", 0, [])]
+    stack = [(root, None, -1, 0, "", 0, [], [])]
     while stack:
-        n, parent, parent_nid, depth, slot, ord_, path = stack.pop()
+        n, parent, parent_nid, depth, slot, ord_, path, nids = stack.pop()
         if n is None:  # all below the node `parent` are out
             rows[parent][1] = len(rows) - 1
             continue
         nid = len(rows)
+        nids = [*nids, nid] if parent_nid >= 0 else []
         rows.append(
             [nid, nid, parent_nid, depth, slot, ord_, n["kind"], n["line"], n.get("end_line"), n.get("name"), n.get("callee"), n.get("class_name"), n.get("type_name"), n.get("op"), n.get("value"), n.get("label"),
-             n.get("modifiers") or [], n.get("annotations") or [], n.get("parameters") or [], path]
+             n.get("modifiers") or [], n.get("annotations") or [], n.get("parameters") or [], path, nids]
         )
-        stack.append((None, nid, 0, 0, "", 0, []))
+        stack.append((None, nid, 0, 0, "", 0, [], []))
         seen: dict[str, int] = {}
         kids = []
         for s, c in n["children"]:
-            kids.append((c, nid, nid, depth + 1, s, seen.setdefault(s, 0), [*path, f"{n['kind']}.{s}"]))
+            kids.append((c, nid, nid, depth + 1, s, seen.setdefault(s, 0), [*path, f"{n['kind']}.{s}"], nids))
             seen[s] += 1
         stack.extend(reversed(kids))
     return rows

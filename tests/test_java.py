@@ -4,12 +4,14 @@ import io
 import json
 import subprocess
 
+import pyarrow as pa
 import pytest
+from pyarrow import fs
 
 from sedge.operators import patterns, rules
 from sedge.operators.patterns import PatternRule
 from sedge.plans import scan
-from sedge.sources import config, files
+from sedge.sources import config, files, listing
 from sedge.sources.java import parse_source
 
 HERE = __file__.rpartition("/")[0]
@@ -62,7 +64,7 @@ def test_uses_and_controllers(spark):
 
 def test_function_rule(parsed):
     rule = rules.function_rule("X1", "info", lambda f: [{"line": len(f["imports"]), "message": f["file"]}])
-    assert [tuple(r) for r in rule(files.nodes_of(parsed), files.imports_of(parsed), {}).collect()] == [("X1", "info", "Loops.java", 3, None, "Loops.java")]
+    assert [tuple(r) for r in rule(files.nodes_of(parsed), files.imports_of(parsed), {}).collect()] == [("X1", "info", "Loops.java", 3, None, "Loops.java", [0])]
     bad = rules.function_rule("X2", "info", lambda f: 1 / 0)
     assert bad(files.nodes_of(parsed), files.imports_of(parsed), {}).count() == 0
 
@@ -100,6 +102,66 @@ def test_listing_and_cache(spark, tmp_path):
         assert spark.read.parquet(cache).count() == 2
 
 
+class Watched(fs.FileSystemHandler):
+    """A local file system that notes what is listed and opened."""
+
+    def __init__(self):
+        self.local, self.listed, self.read = fs.LocalFileSystem(), [], []
+
+    def get_type_name(self):
+        return "watched"
+
+    def get_file_info(self, paths):
+        return self.local.get_file_info(paths)
+
+    def get_file_info_selector(self, selector):
+        self.listed.append(selector.base_dir)
+        return self.local.get_file_info(selector)
+
+    def open_input_stream(self, path):
+        self.read.append(path)
+        return pa.PythonFile(open(path, "rb"))
+
+    def normalize_path(self, path):
+        return path
+
+    create_dir = delete_dir = delete_dir_contents = delete_root_dir_contents = delete_file = move = copy_file = open_input_file = open_output_stream = open_append_stream = None
+
+
+Watched.__abstractmethods__ = frozenset()
+
+
+def test_excluded_folders_are_never_opened(tmp_path):
+    for name in ("a/B.java", "target/deep/C.java", "a/.git/D.java", "a/b/E.java", "a/b/F.txt", "G.java"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("class X { }" * (len(name)))
+    watched = Watched()
+    options = {"path": str(tmp_path), "excludes": json.dumps(["target", ".git"]), "partitionBytes": "150000"}
+    reader = listing.FilesReader(options, (fs.PyFileSystem(watched), str(tmp_path)))
+    parts = reader.partitions()
+    assert sorted(watched.listed) == sorted(str(tmp_path / x) for x in ("", "a", "a/b")) and not watched.read
+    assert [len(p.names) for p in parts] == [1, 1, 1] and sorted(n for p in parts for n in p.names) == ["G.java", "a/B.java", "a/b/E.java"]
+    got = [n for p in parts for b in reader.read(p) for n in b.column("file").to_pylist()]
+    assert sorted(got) == ["G.java", "a/B.java", "a/b/E.java"] and len(watched.read) == 3
+    only = listing.FilesReader(options | {"only": json.dumps(["a/B.java", "a/.git/D.java", "no.java", "a/b/F.txt"])}, (fs.PyFileSystem(watched), str(tmp_path)))
+    assert [p.names for p in only.partitions()] == [["a/B.java"]] and len(watched.listed) == 3
+    assert listing.FilesReader(options, (fs.LocalFileSystem(), str(tmp_path / "target"))).partitions()[0].names == []
+    with pytest.raises(FileNotFoundError):
+        listing.FilesReader(options, (fs.LocalFileSystem(), str(tmp_path / "gone"))).partitions()
+
+
+def test_source_files_with_a_charset(spark, tmp_path):
+    for name, charset in (("A.java", "gbk"), ("B.java", "utf-8"), ("c/C.java", "gbk")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes("class 中文 { }".encode(charset))
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        rows = listing.source_files(spark, root, encoding="auto").collect()
+        assert sorted(r["file"] for r in rows) == ["A.java", "B.java", "c/C.java"] and {r["text"] for r in rows} == {"class 中文 { }"}
+    assert listing.source_files(spark, str(tmp_path), includes=("c/",)).count() == 1
+    with pytest.raises(Exception, match="gone"):
+        listing.source_files(spark, str(tmp_path / "gone")).count()
+
+
 def test_catalog(tmp_path):
     (tmp_path / "r.yml").write_text("id: Y1\nseverity: warning\npattern:\n  type: Import\n  match_fields:\n    package:\n      - \"a.b*\"   # one\n      - 'c'\nmessage: \"no {package}\"\n")
     (tmp_path / "bad.yml").write_text("id: Y2\npattern:\n  type: Import\n  match_fields:\n    color: red\n")

@@ -1,17 +1,20 @@
 """Diffs, line translation, baselines, order, counts, gates and reports, against plain loops."""
 
 import io
+import json
 import random
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sedge.functions import text as T
 from sedge.operators import violations as V
+from sedge.operators.matching import FreeEntries
 from sedge.plans import scan
 from sedge.schemas import VIOLATIONS, parse_severity
-from sedge.sources import diffs, reports
+from sedge.sources import diffs, documents, reports
 
 ROWS = [("A", "major", "x.java", 3, None, 'say "hi", now'), ("A", "major", "x.java", 9, 12, "m"), ("B", "info", "y.java", 1, None, "n"), ("C", "minor", "a.java", 7, 7, "line\nbreak")]
 
@@ -84,13 +87,55 @@ def test_real_diff(spark, tmp_path):
     got = {r["message"]: r["line"] for r in V.translated(lines.withColumn("message", F.col("line").cast("string")), table, strict=True).collect()}
     assert all(got[str(i + 1)] == (new.index(t) + 1 if t in new else 16 if i == 15 else None) for i, t in enumerate(old))
     assert diffs.old_ref(str(tmp_path), "HEAD~1..HEAD") == "HEAD~1"
-    old_rows = diffs.old_sources(spark, str(tmp_path), "HEAD~1", ["b.txt", "no such file", "a.txt"]).collect()
+    old_rows = diffs.old_sources(str(tmp_path), "HEAD~1", spark.createDataFrame([("b.txt",), ("no such file",), ("a.txt",), (None,)], "file string")).collect()
     assert [(r["file"], bytes(r["content"]).decode()) for r in old_rows] == [("a.txt", "\n".join(old) + "\n")]
     kept = V.semantic_difference(lines, lines.filter("line > 10"), table, strict=True).collect()
     moved = {got[str(i)] for i in range(11, 21)}
     assert {r["line"] for r in kept} == set(range(1, 21)) - moved
 
 
+def made_diff(n):
+    """About n lines of a diff, with heads of all kinds and added lines that look like heads."""
+    random.seed(n)
+    out, size = ["a line before all", "+++ b/none"], 0
+    for i in range(10**9):
+        if size > n:
+            return out
+        kind = random.choice(["change", "change", "new", "gone", "mode", "binary"])
+        out.append(f"diff --git a/f{i}.java b/f{i}.java")
+        out += {"new": ["new file mode 100644"], "gone": ["deleted file mode 100644"], "mode": ["old mode 100644", "new mode 100755"]}.get(kind, [])
+        out.append("index 1234567..89abcde 100644")
+        if kind == "binary":
+            out.append(f"Binary files a/f{i}.java and b/f{i}.java differ")
+        elif kind != "mode":
+            name = f'"b/f {i}.java"' if i % 7 == 0 else f"b/f{i}.java\t"
+            out += ["--- /dev/null" if kind == "new" else f"--- a/f{i}.java", "+++ /dev/null" if kind == "gone" else f"+++ {name}"]
+            for h in range(random.choice([1, 2, 40])):
+                gone, added = random.randint(0, 3), random.randint(0, 3)
+                out.append(f"@@ -{h * 10 + 1}{f',{gone}' if gone != 1 else ''} +{h * 11 + 1}{f',{added}' if added != 1 else ''} @@ class A {{")
+                out += ["--- removed", "-x", "-y"][:gone] + ["+++ added", "+@@ -1 +1 @@", "+z"][:added]
+        size = len(out)
+
+
+def test_diff_as_a_scan_over_blocks(spark, tmp_path):
+    for n, split in ((10, "1g"), (5_000, "4k"), (1_000_000, "2m")):
+        lines = made_diff(n)
+        path = tmp_path / f"d{n}.diff"
+        path.write_text("\n".join(lines) + "\n")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            rows = diffs.diff_files(diffs.diff_lines(spark, str(path)))
+            assert n < 100 or diffs.diff_lines(spark, str(path)).select("block").distinct().count() > 3
+            got = sorted((r["file"], r["kind"], r["is_new"], [tuple(x) for x in r["ranges"]], [tuple(x) for x in r["hunks"]]) for r in rows.collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == sorted(diffs.parse_diff("\n".join(lines)))
+    moved = diffs.rebased(spark.createDataFrame([("app/A.java",), ("application/B.java",)], "file string"), "/app/")
+    assert [r[0] for r in moved.collect()] == ["A.java"]
+
+
 def test_range_filter(spark, rows):
     table = spark.createDataFrame([("x.java", "Modified", False, [(10, 11)], []), ("a.java", "Modified", False, [], [])], "file string, kind string, is_new boolean, ranges array<struct<start:int,end:int>>, hunks array<struct<os:int,ol:int,ns:int,nl:int>>")
     pick = lambda p: sorted((r["file"], r["line"]) for r in V.filter_by_diff(rows, table, p).collect())
@@ -117,6 +162,28 @@ def test_tolerant_baseline(spark):
     assert sorted(map(tuple, V.baseline_tolerant(v, b, 2).collect())) == naive(rows, base, 2)
 
 
+def test_tolerant_baseline_against_a_rescan(spark):
+    for seed in range(30):
+        random.seed(seed)
+        rows = [(random.choice("ab"), "x", random.randint(1, 12), i) for i in range(40)]
+        base = [(random.choice("ab"), random.randint(1, 12), "x") for _ in range(30)]
+        for tolerance in (0, 1, 5, 100):
+            free = {f: FreeEntries(sorted((b[1], i) for i, b in enumerate(base) if b[0] == f)) for f in "ab"}
+            assert sorted(r for r in rows if not free[r[0]].take(r[2], tolerance)) == naive(rows, base, tolerance)
+
+
+def test_tolerant_baseline_of_one_long_cluster(spark):
+    n = 100_000
+    line = (F.pmod(F.xxhash64("id"), F.lit(n)) + 1).cast("int").alias("line")
+    v = spark.range(n).select(F.lit("A.java").alias("file"), F.lit("R").alias("rule_id"), line, F.struct(F.lit(1), F.array(F.col("id"))).alias("emit_ord"))
+    b = spark.range(n).select(F.lit("A.java").alias("file"), (F.col("id") + 3).cast("int").alias("line"), F.lit("R").alias("rule_id"), F.col("id").alias("ord"))
+    began = time.time()
+    left = V.baseline_tolerant(v, b, 5).count()
+    assert time.time() - began < 10
+    free = FreeEntries([(i + 3, i) for i in range(n)])
+    assert left == sum(not free.take(r["line"], 5) for r in v.orderBy("emit_ord").select("line").toLocalIterator())
+
+
 def test_gate_and_counts(rows):
     counts = V.count_by_severity(rows)
     assert tuple(counts.first()) == (0, 2, 1, 1, 4)
@@ -125,15 +192,50 @@ def test_gate_and_counts(rows):
     assert [r["file"] for r in V.console_order(rows).collect()] == ["x.java", "x.java", "a.java", "y.java"]
 
 
-def test_reports(rows):
-    stats, out = reports.stats_of(rows, 3, 1), io.StringIO()
-    reports.report("csv", rows, stats, out)
-    assert out.getvalue() == 'rule_id,severity,file,line,end_line,message\nC,minor,a.java,7,7,"line\nbreak"\nA,major,x.java,3,,"say ""hi"", now"\nA,major,x.java,9,12,m\nB,info,y.java,1,,n\n'
+def text_of(made):
     out = io.StringIO()
-    reports.console(rows, stats, out, color=False)
-    assert "[MAJOR] x.java:9-12 (rule: A)" in out.getvalue() and "2 major(s) 1 minor(s) 1 info(s) 1 parse error(s)" in out.getvalue()
+    made.stream(out)
+    return out.getvalue()
+
+
+def test_reports(rows):
+    stats = reports.stats_of(rows, 3, 1)
+    assert text_of(reports.report("csv", rows, stats)) == 'rule_id,severity,file,line,end_line,message\nC,minor,a.java,7,7,"line\nbreak"\nA,major,x.java,3,,"say ""hi"", now"\nA,major,x.java,9,12,m\nB,info,y.java,1,,n\n'
+    shown = text_of(reports.console(rows, stats, color=False))
+    assert "[MAJOR] x.java:9-12 (rule: A)" in shown and "2 major(s) 1 minor(s) 1 info(s) 1 parse error(s)" in shown
     with pytest.raises(ValueError):
-        reports.report("pdf", rows, stats, out)
+        reports.report("pdf", rows, stats)
+
+
+@pytest.mark.parametrize("format_", list(reports.FORMATS))
+def test_documents_that_tasks_write(spark, rows, tmp_path, format_):
+    many = rows.crossJoin(spark.range(50)).withColumn("line", (F.col("line") + F.col("id") * 3).cast("int")).drop("id")
+    for some in (many, rows.limit(0)):
+        made = reports.report(format_, some, reports.stats_of(some, 3, 1))
+        want = text_of(made)
+        one, parts = str(tmp_path / "one"), tmp_path / "parts"
+        for _ in range(2):  # a second run replaces the first
+            made.save(one)
+            made.save(str(parts), single=False)
+        same = (lambda t: {**json.loads(t), "scan_info": None}) if format_ == "json" else lambda t: t
+        assert same(open(one, encoding="utf-8").read()) == same(want)
+        assert same("".join(p.read_text(encoding="utf-8") for p in sorted(parts.iterdir()) if not p.name.startswith("."))) == same(want)
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["one", "parts"]
+    doc = text_of(reports.report("sarif", many, reports.stats_of(many, 3, 1)))
+    assert len(json.loads(doc)["runs"][0]["results"]) == 200
+
+
+def test_documents_of_failed_tasks_leave_nothing(spark, tmp_path):
+    bad = spark.range(8, numPartitions=4).select(F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise("x").alias("value"))
+    with pytest.raises(Exception):
+        documents.write_document(bad, str(tmp_path / "doc"))
+    assert not list(tmp_path.iterdir())
+
+
+def test_baseline_round_trip(spark, rows, tmp_path):
+    path = str(tmp_path / "base.json")
+    reports.write_baseline(rows, path)
+    assert sorted((r["file"], r["line"], r["rule_id"]) for r in diffs.read_baseline(spark, path).collect()) == sorted((r[2], r[3], r[0]) for r in ROWS)
 
 
 def test_empty_scan(spark):
