@@ -38,7 +38,7 @@ EDGES = [
     ("void a() { int v = mark(); go(mark(), 1 + mark(), !mark(), (T) mark(), (mark()), mark().f, new T(mark())); v = mark(); }", 9, 9, 9, 0),
     ("void a() { try (T t = mark()) { go(); } finally { } }", 0, 0, 0, 0),
     ("void a() { z[mark()] = q ? mark() : mark(); }", 3, 3, 0, 0),
-    ("void a() { x = new int[] { mark(), mark() }; }", 0, 2, 0, 0),
+    ("void a() { x = new int[] { mark(), mark(), }; y = new int[][] { { mark() } }; z = new int[mark()]; }", 0, 2, 0, 0),
     ("void a() { x = mark() instanceof T; }", 0, 1, 1, 0),
     ("void a() { x = () -> mark(); }", 0, 1, 0, 0),
     (f"void a() {{ x = () -> {{ {STATEMENTS} }}; }}", 0, 1, 0, 0),

@@ -17,7 +17,7 @@ from ..schemas import SEVERITIES
 from .structure import visit_key
 
 # Edges that walkers do not follow, and edges on the way to declarations.
-ALWAYS_BLOCKED = ("EnumDeclaration.constants", "SwitchStmt.labels", "TryStmt.resources")
+ALWAYS_BLOCKED = ("EnumDeclaration.constants", "SwitchStmt.labels", "TryStmt.resources", "ArrayCreationExpr.dimensions")
 CALL_BLOCKED = (
     *ALWAYS_BLOCKED, "FieldDeclaration.initializer", "InitializerDeclaration.body", "ForEachStmt.variable", "ArrayCreationExpr.initializer", "InstanceOfExpr.expression", "LambdaExpr.body",
     *(f"{k}Declaration.nested_{n}" for k in ("Class", "Interface", "Enum", "Annotation") for n in ("interface", "enum", "annotation")),
@@ -25,7 +25,7 @@ CALL_BLOCKED = (
 CATCH_BLOCKED = (*ALWAYS_BLOCKED, "FieldDeclaration.initializer", "InitializerDeclaration.body", "ForEachStmt.body", "SwitchCase.statements", "LambdaExpr.body")
 USE_BLOCKED = (
     *ALWAYS_BLOCKED, "ConditionalExpr.condition", "ConditionalExpr.then", "ConditionalExpr.else", "ArrayAccessExpr.array", "ArrayAccessExpr.index",
-    "ArrayCreationExpr.initializer", "ArrayCreationExpr.dimensions", "LambdaExpr.body",
+    "ArrayCreationExpr.initializer", "LambdaExpr.body",
 )
 LOOP_BLOCKED = (*ALWAYS_BLOCKED, "ForEachStmt.variable")
 NESTED_OTHER = tuple(f"{k}Declaration.nested_{n}" for k in ("Class", "Interface", "Enum", "Annotation") for n in ("interface", "enum", "annotation"))

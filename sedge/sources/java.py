@@ -733,8 +733,11 @@ class Parser:
                 if self.tok != "]":
                     add(out, "dimensions", self.expression())
                 self.expect("]")
-            if self.tok == "{":
-                add(out, "initializer", self.array_values())
+            if self.accept("{"):
+                while not self.accept("}"):
+                    add(out, "initializer", self.initializer())
+                    if self.tok != "}":
+                        self.expect(",")
             return out
         out = node("ObjectCreationExpr", line, class_name=name)
         for a in self.arguments():
