@@ -6,10 +6,11 @@ have the shingle). Documents with equal prefixes and sizes form a group; pairs o
 shingle are filtered by size, by the place of that shingle and by bitmaps of the sets, expanded to members,
 and verified on whole sets.
 
-Classes of near duplicates hold thousands of documents, so sets are first sorted by min-hashes, a few
-times with different ones, and verified against the next few in that order: most links of a class turn up there, at a cost in
-proportion to the sets. Then only groups of different components are paired, all of
-them, so no link that joins two components is lost.
+Classes of near duplicates hold thousands of documents, and one verified link joins two components, so
+the join is made in rounds. First each set meets its next neighbours in the lists of its prefix shingles. Then
+groups of different components are paired, all of them; of each pair of components a few members are
+verified first, more where those do not link, and in the last round all. No pair that could
+still join two components is left out.
 """
 
 from __future__ import annotations
@@ -181,48 +182,51 @@ def keys_in(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(memoryview(v.as_buffer()), "<u8") for v in column]
 
 
-def neighbours_in_order(sets: DataFrame, percent: int, seed: int, hashes: int = 12, width: int = 3) -> DataFrame:
-    """Linked pairs (a, b) among sets that stand next to each other, up to `width` places apart, when
-    sorted by their min-hashes. Ranges of the order are the tasks, so equal ones may be many."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = keys_in(batch.column("keys"))
-            signs = np.zeros((len(keys), hashes), ">u4")
-            if keys:
-                flat = np.concatenate(keys)
-                size = np.array([len(k) for k in keys])
-                for h in range(hashes):
-                    salt = mix(np.array([seed * 1000 + h + 1], U))[0]
-                    signs[:, h] = np.minimum.reduceat(mix(flat ^ salt), np.cumsum(size) - size) >> U(32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("keys"), pa.array([x.tobytes() for x in signs], pa.binary())], names=["node", "keys", "sign"])
+def first_pairs(sets: DataFrame, percent: int, width: int = 2, most: int = 3) -> DataFrame:
+    """Pairs (a, b) of sets next to each other, up to `width` places apart, in the list of a shingle
+    that both have in their prefix, if sizes and bitmaps let them link; for each a the `most` of them whose
+    bitmaps differ least. Lists are sorted by the rarest shingles, so that sets with more of these in
+    common are near. Ranges of the order are the tasks, so a list may be long."""
+    names = ("node", "token", "n", "bits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[tuple[int, np.ndarray]] = []
+        held = None
         for batch in batches:
-            found = []
-            for node, keys in zip(batch.column("node").to_pylist(), keys_in(batch.column("keys")), strict=True):
-                found += [(node, other) for other, theirs in before if same_enough(keys, theirs, percent)]
-                before = [*before[1 - width :], (node, keys)] if width > 1 else [(node, keys)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    signed = sets.select("node", "keys").mapInArrow(sign, "node long, keys binary, sign binary")
-    ordered = signed.repartitionByRange("sign", "node").sortWithinPartitions("sign", "node")
-    return ordered.select("node", "keys").mapInArrow(compare, "a long, b long")
+            now = [np.asarray(batch.column(c)) for c in names[:3]] + [np.asarray(batch.column("bits").flatten()).reshape(-1, 4).view(U)]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            node, token, n, bits = now
+            out = []
+            for k in range(1, width + 1):
+                # pairs of places before what was held came with the batch before
+                i = np.arange(max(0, (0 if held is None else len(held[0])) - k), max(0, len(node) - k))
+                x, y = n[i], n[i + k]
+                apart = np.bitwise_count(bits[i] ^ bits[i + k]).sum(axis=1, dtype=np.int64)
+                least = -(-percent * (x + y) // (100 + percent))
+                good = (token[i] == token[i + k]) & (node[i] != node[i + k]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (apart <= x + y - 2 * least)
+                out.append((node[i][good], node[i + k][good], apart[good]))
+            held = [x[-width:] for x in now]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "apart"])
+
+    first = [F.coalesce(F.get("prefix", F.lit(i)), F.lit(0)).alias(f"first{i}") for i in range(2)]
+    posts = sets.select("node", "n", "bits", F.xxhash64("n", "prefix").alias("g"), *first, F.explode("prefix").alias("token"))
+    order = ("token", "first0", "first1", "n", "g", "node")
+    near = posts.repartitionByRange(*order).sortWithinPartitions(*order).select(*names).mapInArrow(compare, "a long, b long, apart long")
+    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, most).alias("best"))
+    return best.select("a", F.explode("best.b").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def with_keys(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """`pairs` with the keys of their set on one side. A set that stands in very many pairs is spread: each
+    pair takes one of as many copies as needed."""
+    heavy = pairs.groupBy(side).agg(F.floor(F.count("*") / 256).cast("int").alias("copies"))
+    spread = sets.select(F.col("node").alias(side), F.col("keys").alias(f"k{side}")).join(heavy, side).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies"))))
+    salted = pairs.join(heavy, side).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("copies") + 1).cast("int")).drop("copies")
+    return salted.join(spread.select(side, "salt", f"k{side}"), [side, "salt"]).drop("salt")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link. One of the two sets of a pair is shuffled."""
-    # a set that stands in very many pairs is spread: each pair takes one of as many copies as needed
-    heavy = pairs.groupBy("b").agg(F.floor(F.count("*") / 256).cast("int").alias("copies"))
-    spread = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb")).join(heavy, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies"))))
-    rows = (
-        pairs.join(heavy, "b")
-        .withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies") + 1).cast("int"))
-        .select("a", "b", "salt")
-        .join(sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a")
-        .join(spread.select("b", "salt", "kb"), ["b", "salt"])
-    )
+    """The pairs (a, b) of nodes whose whole sets link."""
+    rows = with_keys(with_keys(pairs.select("a", "b"), sets, "a"), sets, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,36 +249,73 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
-def open_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a prefix shingle and may link.
+def part_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of parts (g1, c1, g2, c2, apart) of different components that share a prefix shingle and may link.
 
-    What the members of a group have in one component is a part; parts are paired first.
+    `members` are nodes with their group g and component c; what a group has in one component is a
+    part. `apart` tells how far the bitmaps of two of their members differ.
     """
-    members = staged(sets.select("node", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("g")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    parts = members.groupBy("g", "label").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    one = F.count("*") == 1
+    parts = members.groupBy("g", "c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.when(one, F.first("bits")).alias("bits"), F.min_by("bits", "node").alias("some"))
     # shingles that only one document has come first in a prefix and are not listed
     at = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - F.size("prefix")
-    posts = staged(parts.select("g", "label", "n", "bits", (F.col("n") - at).alias("rest"), F.posexplode("prefix").alias("i", "token")).withColumn("rest", F.col("rest") - F.col("i")).drop("i"))
+    posts = staged(parts.select("g", "c", "n", "bits", "some", (F.col("n") - at).alias("rest"), F.posexplode("prefix").alias("i", "token")).withColumn("rest", F.col("rest") - F.col("i")).drop("i"))
     # a shingle with one component only has nothing to find; the parts of one are paired block by block, so
     # that it meets many tasks
-    cut = posts.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / 1024).cast("int").alias("cuts")).filter("lo < hi").select("token", "cuts")
-    left = join_stats(posts, cut, "token", ["g", "label"]).filter("cuts is not null")
-    names = ("g", "label", "n", "bits", "rest")
-    mine, every = F.pmod(F.xxhash64("g", "label"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    cut = posts.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / 1024).cast("int").alias("cuts")).filter("lo < hi").select("token", "cuts")
+    left = join_stats(posts, cut, "token", ["g", "c"]).filter("cuts is not null")
+    names = ("g", "c", "n", "bits", "some", "rest")
+    mine, every = F.pmod(F.xxhash64("g", "c"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     x = left.select("token", mine.alias("p"), every.alias("q"), *[F.col(c).alias(f"{c}1") for c in names])
     y = left.select("token", every.alias("p"), mine.alias("q"), *[F.col(c).alias(f"{c}2") for c in names])
     # from the first shared shingle on, both sets must still hold the overlap
     enough = F.least("rest1", "rest2") >= overlap(F.col("n1"), F.col("n2"), percent)
-    found = x.join(y, ["token", "p", "q"]).filter((F.col("label1") < F.col("label2")) & enough & may_link("1", "2", percent)).select("g1", "label1", "g2", "label2").distinct()
-    a, b = (members.select(F.col("g").alias(f"g{k}"), F.col("label").alias(f"label{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"), F.col("node").alias(c)) for k, c in ((1, "a"), (2, "b")))
-    return found.join(a, ["g1", "label1"]).join(b, ["g2", "label2"]).filter(may_link("1", "2", percent)).select("a", "b")
+    apart = reduce(lambda s, c: s + c, [F.bit_count(F.col("some1")[i].bitwiseXOR(F.col("some2")[i])) for i in range(4)])
+    return x.join(y, ["token", "p", "q"]).filter((F.col("c1") < F.col("c2")) & enough & may_link("1", "2", percent)).select("g1", "c1", "g2", "c2", apart.alias("apart")).distinct()
+
 
+def expanded(found: DataFrame, members: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """(a, b, now1, now2): the pairs of members of pairs of parts that may link, of each part the first `most`."""
+    some = members if most is None else members.filter(F.col("place") <= most)
+    for k, c in ((1, "a"), (2, "b")):
+        found = found.join(some.select(F.col("g").alias(f"g{k}"), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"), F.col("node").alias(c)), [f"g{k}", f"c{k}"])
+    return found.filter(may_link("1", "2", percent)).select("a", "b", "now1", "now2")
 
-def links(sets: DataFrame, percent: int, orders: int = 3) -> DataFrame:
-    """Edges (a, b) between linked nodes that connect whatever the full join would connect."""
-    near = staged(reduce(DataFrame.unionByName, [staged(neighbours_in_order(sets, percent, r)) for r in range(orders)]).distinct())
-    pairs = staged(open_pairs(sets, components(near), percent))
-    return near.unionByName(verify(pairs, sets.select("node", "keys"), percent))
+
+def relabelled(found: DataFrame, joined: DataFrame) -> DataFrame:
+    """`found` with components now1 and now2 as the links between components in `joined` (a, b) leave them; pairs
+    that have come into one go."""
+    label = staged(components(joined))
+    for k in (1, 2):
+        found = join_stats(found, label.select(F.col("node").alias(f"now{k}"), F.col("label").alias("to")), f"now{k}", ["g1", "g2"]).withColumn(f"now{k}", F.coalesce("to", f"now{k}")).drop("to")
+    return found.filter("now1 <> now2")
+
+
+def links(sets: DataFrame, percent: int, rounds: tuple = ((2, 1), (32, 4), (None, None))) -> DataFrame:
+    """Edges (a, b) between linked nodes that connect whatever the full join would connect.
+
+    Each of `rounds` says how many pairs of parts of two components are verified, the nearest first, and how many
+    members of a part; None is all. Later rounds look only at what is still apart.
+    """
+    edges = staged(verify(first_pairs(sets, percent), sets, percent))
+    place = F.row_number().over(Window.partitionBy("g", "c").orderBy("node"))
+    members = sets.select("node", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("g")).join(components(edges).select("node", F.col("label").alias("c")), "node", "left")
+    members = staged(members.withColumn("c", F.coalesce("c", "node")).withColumn("place", place))
+    found = staged(part_pairs(members, percent).withColumns({"now1": F.col("c1"), "now2": F.col("c2")}))
+    members = members.drop("prefix")
+    for parts, most in rounds:
+        if found.isEmpty():
+            break
+        between = Window.partitionBy(F.least("now1", "now2"), F.greatest("now1", "now2")).orderBy("apart", "g1", "g2")
+        some = found if parts is None else found.withColumn("nth", F.row_number().over(between)).filter(F.col("nth") <= parts).drop("nth")
+        pairs = staged(expanded(some, members, percent, most))
+        new = staged(verify(pairs.select("a", "b").distinct(), sets, percent))
+        edges = edges.unionByName(new)
+        if parts is None:
+            break
+        met = pairs.join(new, ["a", "b"], "left_semi").select(F.col("now1").alias("a"), F.col("now2").alias("b"))
+        found = staged(relabelled(found, met))
+    return edges
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

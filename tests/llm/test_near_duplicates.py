@@ -75,6 +75,41 @@ def test_clusters(spark, monkeypatch):
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rounds_lose_no_link(spark, monkeypatch):
+    """Groups of many members, and components that only a late pair of members joins."""
+    random.seed(12)
+    voc = [f"w{i}" for i in range(40)]
+    rows = []
+    for _ in range(6):
+        w = random.choices(voc, k=60)
+        for _ in range(12):
+            x = list(w)
+            for _ in range(random.randrange(4)):
+                x[random.randrange(len(x))] = f"own{len(rows)}" if random.random() < 0.5 else random.choice(voc)
+            rows.append((len(rows), " ".join(x)))
+            if random.random() < 0.3:
+                w = x
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    make, first = near_duplicates.links, near_duplicates.first_pairs
+    for rounds in (((1, 1), (2, 1), (None, None)), ((None, None),), ((2, 1), (32, 4), (None, None))):
+        for start in (first, lambda sets, percent: first(sets, percent).limit(0)):
+            monkeypatch.setattr(near_duplicates, "first_pairs", start)
+            monkeypatch.setattr(near_duplicates, "links", lambda sets, percent, r=rounds: make(sets, percent, r))
+            assert sorted(map(tuple, near_duplicates.near_duplicates(df).drop("text_hash").collect()), key=str) == want
+
+
+def test_first_pairs_share_a_prefix_shingle(spark):
+    random.seed(13)
+    made = [(i, i, random.randrange(60, 90), sorted(random.sample(range(30), 3)), [random.getrandbits(8) for _ in range(4)], bytes(8)) for i in range(200)]
+    sets = spark.createDataFrame(made, "node long, check long, n long, prefix array<long>, bits array<long>, keys binary")
+    pairs = [tuple(r) for r in near_duplicates.first_pairs(sets, 75).collect()]
+    assert pairs and len(set(pairs)) == len(pairs)
+    for a, b in pairs:
+        apart = sum((x ^ y).bit_count() for x, y in zip(made[a][4], made[b][4], strict=True))
+        assert a > b and set(made[a][3]) & set(made[b][3]) and apart <= made[a][2] + made[b][2] - 2 * -(-75 * (made[a][2] + made[b][2]) // 175)
+
+
 def test_unlinked_rows_of_one_id_all_stay(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
     rows = [(None, a), (None, b), (1, c), (1, d), (1, d + " more"), (2, c), (3, d), (None, c), (4, None), (4, " ")]
