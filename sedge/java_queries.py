@@ -3,15 +3,16 @@ rule finds in it follows from the part's key."""
 
 from __future__ import annotations
 
-import tempfile
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .operators import patterns, rules
 from .operators.shipped import SHIPPED
 from .operators.violations import select_rules
 from .sources import files
+from .sources.scratch import scratch_folder
 
 def key() -> Column:
     return F.col("p_partkey")
@@ -85,11 +86,26 @@ def java_scan(spark: SparkSession, d: str) -> DataFrame:
     return run_all(parsed(spark, d).cache(), SHIPPED, list(rules.REGISTRY)).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
+@F.pandas_udf(BinaryType())
+def encoded(text: pd.Series, charset: pd.Series) -> pd.Series:
+    """Bytes of texts; what a charset does not have is left as GB18030, which has everything."""
+    def one(t: str, c: str) -> bytes:
+        try:
+            return t.encode(c)
+        except UnicodeEncodeError:
+            return t.encode("gb18030")
+
+    return pd.Series([one(t, c) for t, c in zip(text, charset, strict=True)], dtype=object)
+
+
 def decoded(spark: SparkSession, d: str) -> DataFrame:
-    """Texts as UTF-8, with a byte order mark and as GBK, decoded without being told which."""
+    """Texts as UTF-8 and with a byte order mark, decoded without being told which; as GBK, Shift-JIS and
+    Windows-1252 by name, or as GBK where these lack a letter."""
     docs = spark.read.parquet(f"{d}/documents.parquet").filter("text is not null")
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "utf-8")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "utf-8")))
-    return docs.select("doc_id", F.md5(files.decode_udf(raw, F.lit("auto")).cast("binary")).alias("digest"))
+    charset = F.element_at(F.array(*map(F.lit, ("utf-8", "utf-8-sig", "gb18030", "cp932", "cp1252"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    known = docs.select("doc_id", "text", charset.alias("charset")).withColumn("raw", encoded("text", "charset"))
+    told = F.when(F.startswith("charset", F.lit("utf")), "auto").when(F.col("raw") == encoded("text", F.lit("gb18030")), "gbk").when(F.col("charset") == "cp932", "shift-jis").otherwise("latin1")
+    return known.select("doc_id", F.md5(files.decode_udf("raw", told).cast("binary")).alias("digest"))
 
 
 def listed(spark: SparkSession, d: str) -> DataFrame:
@@ -105,8 +121,7 @@ def included(spark: SparkSession, d: str) -> DataFrame:
 
 def cached(spark: SparkSession, d: str) -> DataFrame:
     """Files whose text occurs several times are parsed once, and found in the cache the second time."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="cache-") if not shared else f"{shared.rstrip('/')}/cache-{abs(hash((d, id(spark))))}"
+    folder = scratch_folder(spark, "cache")
     found = java_sources(spark, d).select("file", F.encode(F.regexp_replace("text", "p[0-2];", "p;"), "utf-8").alias("content"))
     files.parse_cached(found, folder)
     again = files.parse_cached(found, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sarif_level
@@ -78,6 +78,15 @@ def ordered(violations: DataFrame) -> DataFrame:
 def console_order(violations: DataFrame) -> DataFrame:
     return violations.orderBy(sev_rank(F.col("severity")).desc(), "file", "line")
 
+def places(rows: DataFrame) -> DataFrame:
+    """Sorted `rows` with place: 1, 2, 3 and so on in their order. Each range of the order counts its own
+    rows; the counts of the ranges before it are added up."""
+    held = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    held = held.persist()  # ranges may fall otherwise when sorted again
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = held.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(sizes), "_part").select(*rows.columns, (F.col("_before") + F.col("_at") + 1).alias("place"))
+
 def count_by_severity(violations: DataFrame) -> DataFrame:
     """One row: critical, major, minor, info and total."""
     return violations.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in reversed(SEVERITIES)], F.count("*").alias("total"))

@@ -7,37 +7,50 @@ import os
 import sys
 import time
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import patterns, rules, violations
+from ..operators import patterns, rules, scripts, violations
 from ..operators.patterns import PatternRule
+from ..operators.scripts import Script
 from ..operators.shipped import SHIPPED
 from ..schemas import SEVERITIES, VISITED, parse_severity
 from ..sources import config, diffs, files, reports
 
 
-def run_all(parsed: DataFrame, pattern_rules: list[PatternRule], functions: list[str], params: dict[str, dict] | None = None) -> DataFrame:
+def run_all(parsed: DataFrame, pattern_rules: list[PatternRule], functions: list[str], params: dict[str, dict] | None = None, scripted: DataFrame | None = None, script_ids: tuple[str, ...] = ()) -> DataFrame:
     """Violations of all rules over parsed files, with emit_ord: in a file, rules come in their order, and
-    what one rule finds in the order in which its walker visits."""
+    what one rule finds in the order in which its walker visits. `scripted` is what scripts have found."""
     nodes, imports = files.nodes_of(parsed), files.imports_of(parsed)
-    both = patterns.union([x for x in (patterns.match_patterns(nodes, imports, pattern_rules), rules.run_rules(nodes, imports, functions, params)) if x is not None])
+    made = (patterns.match_patterns(nodes, imports, pattern_rules), rules.run_rules(nodes, imports, functions, params), None if scripted is None else scripts.violations_of(scripted))
+    both = patterns.union([x for x in made if x is not None])
     if both is None:
         both = parsed.sparkSession.createDataFrame([], VISITED)
-    order = F.array_position(F.array(*[F.lit(x) for x in [*(r.id for r in pattern_rules), *functions]] or [F.lit("")]), F.col("rule_id"))
+    order = F.array_position(F.array(*[F.lit(x) for x in [*(r.id for r in pattern_rules), *functions, *script_ids]] or [F.lit("")]), F.col("rule_id"))
     return both.withColumn("emit_ord", F.struct(order.alias("rule"), "visit")).drop("visit")
 
 
-def scan(spark: SparkSession, root: str, pattern_rules: list[PatternRule], functions: list[str], *, params: dict | None = None, excludes: tuple[str, ...] = files.DEFAULT_EXCLUDES, includes: tuple[str, ...] = (), encoding: str = "auto", cache: str | None = None, diff: DataFrame | None = None, by_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(parsed files, violations). With a diff only changed files are read and, `by_line`, changed lines kept."""
+class Scan(NamedTuple):
+    """Parsed files, violations, and where scripts failed (file, rule_id, error)."""
+
+    parsed: DataFrame
+    rows: DataFrame
+    errors: DataFrame
+
+
+def scan(spark: SparkSession, root: str, pattern_rules: list[PatternRule], functions: list[str], *, rule_scripts: list[Script] = (), params: dict | None = None, excludes: tuple[str, ...] = files.DEFAULT_EXCLUDES, includes: tuple[str, ...] = (), encoding: str = "auto", cache: str | None = None, diff: DataFrame | None = None, by_line: bool = True) -> Scan:
+    """With a diff only changed files are read and, `by_line`, changed lines kept."""
     found = files.java_files(spark, root, excludes, includes, names_in(diff) if diff is not None else None)
     parsed = (files.parse_cached(found, cache, encoding) if cache else files.parse_files(found, encoding)).cache()
-    rows = run_all(parsed, pattern_rules, functions, params)
+    scripted = scripts.run_scripts(parsed, list(rule_scripts)).cache() if rule_scripts else None
+    rows = run_all(parsed, pattern_rules, functions, params, scripted, tuple(s.id for s in rule_scripts))
     if diff is not None and by_line:
-        policies = {r.id: r.span_policy for r in pattern_rules if r.span_policy != "anchor"} | rules.SPAN_POLICIES
+        policies = {r.id: r.span_policy for r in [*pattern_rules, *rule_scripts] if r.span_policy != "anchor"} | rules.SPAN_POLICIES
         rows = violations.filter_by_diff(rows, diff, policies)
-    return parsed, rows
+    errors = spark.createDataFrame([], "file string, rule_id string, error string") if scripted is None else scripts.errors_of(scripted)
+    return Scan(parsed, rows, errors)
 
 
 def names_in(diff: DataFrame) -> list[str]:
@@ -72,19 +85,19 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
-def rules_of(a: argparse.Namespace, project: config.Project) -> tuple[list[PatternRule], list[config.Entry]]:
+def rules_of(a: argparse.Namespace, project: config.Project) -> tuple[list[PatternRule], list[Script], list[config.Entry]]:
     """The rules of the catalog named on the command line or in the settings; else the shipped ones and
     those of a folder."""
     path = getattr(a, "rules_file", None) or project.rules.get("rules_file")
     if path:
-        found, entries = config.loaded(config.rule_catalog(path), str(Path(path).parent))
+        found, made, entries = config.loaded(config.rule_catalog(path), str(Path(path).parent))
         # the catalog's severity is laid over functions that have no fixed one
         for e in entries:
             e.params = {"severity": e.severity if e.severity in SEVERITIES else "minor"} | e.params
-        return found, entries
-    found = config.rule_directory(a.rules_dir) if getattr(a, "rules_dir", None) else []
-    own = {r.id for r in found}
-    return [*(r for r in SHIPPED if r.id not in own), *found], [config.Entry(i, script_path=f"builtin:{i}", severity=rules.SEVERITY.get(i, "major")) for i in rules.REGISTRY if i not in own]
+        return found, made, entries
+    found, made = config.rule_directory(a.rules_dir) if getattr(a, "rules_dir", None) else ([], [])
+    own = {r.id for r in [*found, *made]}
+    return [*(r for r in SHIPPED if r.id not in own), *found], made, [config.Entry(i, script_path=f"builtin:{i}", severity=rules.SEVERITY.get(i, "major")) for i in rules.REGISTRY if i not in own]
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
@@ -97,26 +110,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     try:
         spark = spark or SparkSession.builder.appName(reports.NAME).getOrCreate()
         project = config.Project.read(a.config) if getattr(a, "config", None) else config.Project()
-        found, entries = rules_of(a, project)
-        table = config.rules_table(spark, found, entries)
+        found, made, entries = rules_of(a, project)
+        table = config.rules_table(spark, found, made, entries)
         if a.command == "rules":
             for r in table.orderBy("id").collect():
                 out.write(f"{r['id']}\t{r['severity']}\t{'on' if r['enabled'] else 'off'}\t{r['name'] or ''}\n")
             return 0
-        return run_scan(a, spark, project, found, entries, table, out)
+        return run_scan(a, spark, project, found, made, entries, table, out)
     except (ValueError, OSError) as e:
         sys.stderr.write(f"error: {e}\n")
         return 2
 
 
-def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project, found: list[PatternRule], entries: list[config.Entry], table: DataFrame, out) -> int:
+def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project, found: list[PatternRule], made: list[Script], entries: list[config.Entry], table: DataFrame, out) -> int:
     began = time.monotonic()
     if a.semantic_diff and not a.diff:
         raise ValueError("--semantic-diff needs --diff")
     settings = project.rules
     least = parse_severity(a.min_severity or settings.get("min_severity", "info"))
     kept = {r["id"] for r in violations.select_rules(table, (*a.disable, *settings.get("disable", [])), tuple(a.enable or settings.get("enable", [])), least).collect()}
-    found, functions = [r for r in found if r.id in kept], [e.id for e in entries if e.id in kept]
+    found, made, functions = [r for r in found if r.id in kept], [r for r in made if r.id in kept], [e.id for e in entries if e.id in kept]
     params = {e.id: e.params for e in entries}
     root = a.path if "://" in a.path else os.path.realpath(a.path)
     excludes = tuple(a.exclude or files.DEFAULT_EXCLUDES) + tuple(project.scan.get("exclude", []))
@@ -128,11 +141,12 @@ def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project
         top = diffs.git(root, "rev-parse", "--show-toplevel").strip()
         diff = diffs.diff_table(spark, diffs.get_diff(root, a.diff), top, root)
     if a.semantic_diff:
-        parsed, rows = scan(spark, root, found, functions, **options, diff=diff, by_line=False)
+        parsed, rows, errors = scan(spark, root, found, functions, rule_scripts=made, **options, diff=diff, by_line=False)
         old = files.parse_files(diffs.old_sources(root, diffs.old_ref(root, a.diff), diff.filter(F.endswith("file", F.lit(".java"))).select("file").distinct()), options["encoding"])
-        rows = violations.semantic_difference(rows, run_all(old, found, functions, params), diff)
+        before = scripts.run_scripts(old, made) if made else None
+        rows = violations.semantic_difference(rows, run_all(old, found, functions, params, before, tuple(s.id for s in made)), diff)
     else:
-        parsed, rows = scan(spark, root, found, functions, **options, diff=diff)
+        parsed, rows, errors = scan(spark, root, found, functions, rule_scripts=made, **options, diff=diff)
     if a.baseline:
         base = diffs.read_baseline(spark, a.baseline)
         rows = violations.baseline_mapped(rows, base, diff) if diff is not None else violations.baseline_tolerant(rows, base, a.tolerance)
@@ -143,6 +157,8 @@ def run_scan(a: argparse.Namespace, spark: SparkSession, project: config.Project
     if n["parse_errors"]:
         for r in parsed.filter("parse_error is not null").select("file", "parse_error").toLocalIterator():
             sys.stderr.write(f"warning: {r['file']}: {r['parse_error']}\n")
+    for r in errors.toLocalIterator() if made else ():
+        sys.stderr.write(f"warning: rule {r['rule_id']} failed on {r['file']}: {r['error']}\n")
     stats = reports.stats_of(rows, n["files_scanned"], n["parse_errors"])
     stats["duration_ms"] = int((time.monotonic() - began) * 1000)
     made = reports.report(a.format, rows, stats)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import java_cases, java_queries
+from . import flow_queries, java_cases, java_queries
 from .functions import text as T
 from .operators import violations as V
 from .operators.patterns import PatternRule, condition, fused, union
@@ -114,8 +114,8 @@ QUERIES = {
     "baseline_exact": lambda s, d: V.baseline_exact(found(s, d), baseline(s, d)).select("file", "line", "rule_id", "l_partkey"),
     "baseline_mapped": lambda s, d: V.baseline_mapped(found(s, d), baseline(s, d), diffs(s, d)).select("file", "line", "rule_id", "l_partkey"),
     "baseline_tolerant": lambda s, d: V.baseline_tolerant(found(s, d).withColumn("emit_ord", F.col("l_partkey") * 10 + F.col("line")).select("file", "line", "rule_id", "emit_ord"), baseline(s, d).withColumn("ord", F.col("line")), 1).select("file", "line", "rule_id"),
-    "order_violations": lambda s, d: V.ordered(found(s, d).select("file", "line", "rule_id")),
-    "order_console": lambda s, d: V.console_order(found(s, d).select("file", "line", "rule_id", "severity")),
+    "order_violations": lambda s, d: V.places(V.ordered(found(s, d).select("file", "line", "rule_id"))),
+    "order_console": lambda s, d: V.places(V.console_order(found(s, d).select("file", "line", "rule_id", "severity"))),
     "stats_by_severity": lambda s, d: V.count_by_severity(events(s, d)),
     "stats_by_rule": lambda s, d: V.count_by_rule(events(s, d)),
     "first_per_rule": lambda s, d: V.first_per_rule(found(s, d).withColumn("message", F.col("l_partkey").cast("string"))),
@@ -145,8 +145,8 @@ ORACLES = {
     "semantic_difference": f"SELECT n.file, n.line, n.rule_id, n.l_partkey FROM ({VIOLATIONS_SQL}) n WHERE NOT EXISTS (SELECT 1 FROM (SELECT v.file, v.rule_id, {MAPPED} AS line FROM ({VIOLATIONS_SQL}) v LEFT JOIN ({DIFFS_SQL}) d ON v.file = d.file WHERE v.l_partkey % 2 = 0) o WHERE o.file = n.file AND o.rule_id = n.rule_id AND o.line = n.line)",
     "baseline_exact": f"SELECT n.file, n.line, n.rule_id, n.l_partkey FROM ({VIOLATIONS_SQL}) n WHERE NOT EXISTS (SELECT 1 FROM ({VIOLATIONS_SQL}) v WHERE v.l_partkey % 4 = 0 AND v.file = n.file AND v.rule_id = n.rule_id AND v.line + 1 = n.line)",
     "baseline_mapped": f"SELECT n.file, n.line, n.rule_id, n.l_partkey FROM ({VIOLATIONS_SQL}) n WHERE NOT EXISTS (SELECT 1 FROM (SELECT v.file, v.rule_id, {MAPPED} AS line FROM (SELECT file, line + 1 AS line, rule_id FROM ({VIOLATIONS_SQL}) WHERE l_partkey % 4 = 0) v LEFT JOIN ({DIFFS_SQL}) d ON v.file = d.file) o WHERE o.file = n.file AND o.rule_id = n.rule_id AND o.line = n.line)",
-    "order_violations": f"SELECT file, line, rule_id FROM ({VIOLATIONS_SQL}) ORDER BY file, line, rule_id",
-    "order_console": f"SELECT file, line, rule_id, severity FROM ({VIOLATIONS_SQL})",
+    "order_violations": f"SELECT file, line, rule_id, row_number() OVER (ORDER BY file, line, rule_id) AS place FROM ({VIOLATIONS_SQL})",
+    "order_console": f"SELECT file, line, rule_id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'major' THEN 2 ELSE 3 END, file, line) AS place FROM ({VIOLATIONS_SQL})",
     "stats_by_severity": f"SELECT {COUNTS} FROM (SELECT {SEVERITY} AS severity FROM events)",
     "stats_by_rule": "SELECT event_type AS rule_id, count(*) AS n FROM events GROUP BY event_type",
     "first_per_rule": f"SELECT DISTINCT rule_id, CASE severity WHEN 'minor' THEN 'warning' ELSE 'error' END AS level FROM ({VIOLATIONS_SQL})",
@@ -156,5 +156,5 @@ ORACLES = {
     "location_text": f"SELECT file, ':' || line || CASE WHEN span > 0 THEN '-' || (line + span) ELSE '' END AS place, l_partkey FROM ({VIOLATIONS_SQL})",
 }
 
-QUERIES |= java_queries.QUERIES | java_cases.QUERIES
-ORACLES |= java_queries.ORACLES | java_cases.ORACLES
+QUERIES |= java_queries.QUERIES | java_cases.QUERIES | flow_queries.QUERIES
+ORACLES |= java_queries.ORACLES | java_cases.ORACLES | flow_queries.ORACLES

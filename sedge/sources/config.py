@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import param_value, parse_flag
 from ..operators.patterns import PatternRule
+from ..operators.scripts import MARK, Script
 from ..schemas import SEVERITIES
 
 
@@ -61,15 +62,15 @@ def plain_yaml(text: str) -> dict:
     return block(0, lines[0][0])[0] if lines else {}
 
 
-def script_header(text: str) -> dict:
-    """Metadata of a rule script: `//! key: value` lines on top. `rule` or `id` is required; an unknown severity reads as minor."""
+def script_header(text: str, mark: str = "//!") -> dict:
+    """Metadata of a rule script: lines of `mark` and `key: value` on top. `rule` or `id` is required; an unknown severity reads as minor."""
     found: dict = {"severity": "minor", "enabled": True, "params": {}, "span_policy": "anchor"}
     for line in text.removeprefix("\ufeff").splitlines():
-        if not line.startswith("//!"):
+        if not line.startswith(mark):
             if line.strip():
                 break
             continue
-        key, _, value = line[3:].strip().partition(":")
+        key, _, value = line[len(mark) :].strip().partition(":")
         key, value = key.strip(), value.strip()
         if key in ("rule", "id"):
             found["id"] = value
@@ -88,11 +89,18 @@ def script_header(text: str) -> dict:
     return found
 
 
-def rule_directory(path: str) -> list[PatternRule]:
-    """The valid .yml and .yaml rules of a folder; others, and rule scripts, are warned of and left out."""
-    out = []
+def read_script(text: str) -> Script:
+    """A rule script in Python, its metadata in `#!` lines on top."""
+    head = script_header(text, MARK)
+    return Script(head["id"], text, head["severity"], head["enabled"], head.get("title", ""), head["span_policy"], head["params"])
+
+
+def rule_directory(path: str) -> tuple[list[PatternRule], list[Script]]:
+    """The valid rules of a folder: patterns of .yml and .yaml files, and scripts of .py files that have a head. What is
+    not valid, and scripts in other languages, is warned of and left out; so is a script whose id is taken."""
+    out, scripts = [], []
     for f in sorted(Path(path).glob("*.rhai")):
-        warnings.warn(f"{f}: rule scripts are not run", stacklevel=2)
+        warnings.warn(f"{f}: scripts of this language are not run", stacklevel=2)
     for f in sorted(Path(path).glob("*.y*ml")):
         try:
             doc = read_yaml(f.read_text(encoding="utf-8"))
@@ -104,7 +112,18 @@ def rule_directory(path: str) -> list[PatternRule]:
             warnings.warn(f"{f}: {'; '.join(problems)}", stacklevel=2)
         else:
             out.append(rule)
-    return out
+    for f in sorted(Path(path).glob("*.py")):
+        text = f.read_text(encoding="utf-8")
+        if text.removeprefix("\ufeff").startswith(MARK):
+            try:
+                script = read_script(text)
+                script.compiled()
+                if script.id in {r.id for r in [*out, *scripts]}:
+                    raise ValueError(f"the id {script.id} is taken")
+                scripts.append(script)
+            except Exception as e:
+                warnings.warn(f"{f}: {e!r}", stacklevel=2)
+    return out, scripts
 
 
 @dataclass
@@ -133,23 +152,31 @@ def rule_catalog(path: str) -> list[Entry]:
     return rows
 
 
-def loaded(entries: list[Entry], folder: str) -> tuple[list[PatternRule], list[Entry]]:
-    """Pattern rules with the catalog's id, severity, enabled flag and params laid over them, and the entries of registered rules."""
-    patterns, functions = [], []
+def loaded(entries: list[Entry], folder: str) -> tuple[list[PatternRule], list[Script], list[Entry]]:
+    """Pattern rules and scripts with the catalog's id, severity, enabled flag and params laid over them, and the
+    entries of registered rules. Paths count from `folder`, where the catalog is."""
+    patterns, scripts, functions = [], [], []
     for e in entries:
+        severity = e.severity.strip().lower()
+        severity = severity if severity in SEVERITIES else "minor"
         if e.script_path.endswith((".yml", ".yaml")):
             rule = PatternRule.from_yaml(read_yaml((Path(folder) / e.script_path).read_text(encoding="utf-8")))
-            severity = e.severity.strip().lower()
-            rule.id, rule.enabled, rule.severity = e.id, e.enabled, severity if severity in SEVERITIES else "minor"
+            rule.id, rule.enabled, rule.severity = e.id, e.enabled, severity
             rule.params = rule.params | e.params
             patterns.append(rule)
+        elif e.script_path.endswith(".py"):
+            text = (Path(folder) / e.script_path).read_text(encoding="utf-8")
+            script = read_script(text) if text.startswith(MARK) else Script(e.id, text)
+            script.id, script.enabled, script.severity, script.title = e.id, e.enabled, severity, e.name or script.title
+            script.params = script.params | e.params
+            scripts.append(script)
         else:
             functions.append(e)
-    return patterns, functions
+    return patterns, scripts, functions
 
 
-def rules_table(spark: SparkSession, patterns: list[PatternRule], functions: list[Entry]) -> DataFrame:
-    rows = [(r.id, r.title, r.severity, r.enabled) for r in patterns]
+def rules_table(spark: SparkSession, patterns: list[PatternRule], scripts: list[Script], functions: list[Entry]) -> DataFrame:
+    rows = [(r.id, r.title, r.severity, r.enabled) for r in [*patterns, *scripts]]
     rows += [(e.id, e.name, e.severity if e.severity in SEVERITIES else "major" if e.script_path.startswith("builtin:") else "minor", e.enabled) for e in functions]
     return spark.createDataFrame(rows, "id string, name string, severity string, enabled boolean")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +21,13 @@ from .listing import source_files
 
 # Directories never scanned unless other ones are given.
 DEFAULT_EXCLUDES = ("target", "build", ".git", "node_modules")
-PARSER_VERSION = "1"
+
+
+def parser_fingerprint() -> str:
+    """Names what decides the parsed form of a text: the parser's own source and the schema."""
+    from . import java
+
+    return hashlib.sha256(Path(java.__file__).read_bytes() + PARSED.encode()).hexdigest()[:16]
 
 
 @F.pandas_udf(StringType())
@@ -76,18 +85,30 @@ def parse_files(files: DataFrame, encoding: str = "auto", partitions: int | None
 
 
 def parse_cached(files: DataFrame, cache: str, encoding: str = "auto") -> DataFrame:
-    """As parse_files, but equal contents are parsed once and kept in the Parquet table `cache`,
-    keyed by content and parser version; contents that are not there yet are parsed and appended."""
+    """As parse_files, but equal contents are parsed once and kept in Parquet files below `cache`, keyed by
+    content and charset, in a folder for each form of the parser.
+
+    Contents that are not there yet are parsed and added; so are those in files that cannot be
+    read. Folders of other forms of the parser are renamed, which takes them out at once, and removed.
+    """
     spark = files.sparkSession
-    keyed = files.withColumn("key", F.concat_ws("-", F.sha2("content", 256), F.lit(PARSER_VERSION), F.lit(encoding)))
-    # other failures to read than a missing table are errors
-    there = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    known = spark.read.parquet(cache) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else None
-    fresh = keyed.dropDuplicates(["key"]).select(F.col("key").alias("file"), "content")
-    missing = fresh.join(known.select(F.col("key").alias("file")), "file", "left_anti") if known is not None else fresh
-    parse_files(missing, encoding).withColumnRenamed("file", "key").write.mode("append").parquet(cache)
-    # two scans may both have appended a content
-    return keyed.select("file", "key").join(spark.read.parquet(cache).dropDuplicates(["key"]), "key").drop("key")
+    here = f"{cache.rstrip('/')}/parser={parser_fingerprint()}"
+    # other failures to read than a missing folder or a broken file are errors
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(here).getFileSystem(spark._jsc.hadoopConfiguration())
+    schema = StructType.fromDDL(PARSED.replace("file string", "key string", 1))
+    entries = lambda: spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(here)
+    keyed = files.withColumn("key", F.concat_ws("-", F.sha2("content", 256), F.lit(encoding)))
+    missing = keyed.dropDuplicates(["key"]).select(F.col("key").alias("file"), "content")
+    if store.exists(path(here)):
+        missing = missing.join(entries().select(F.col("key").alias("file")), "file", "left_anti")
+    parse_files(missing, encoding).withColumnRenamed("file", "key").write.mode("append").parquet(here)
+    for old in [x.getPath() for x in store.listStatus(path(cache)) if x.getPath().getName().startswith("parser=") and x.getPath().getName() != path(here).getName()]:
+        gone = path(old.getParent(), f".dropped-{uuid.uuid4().hex}")
+        if store.rename(old, gone):
+            store.delete(gone, True)
+    # two scans may both have added a content
+    return keyed.select("file", "key").join(entries().dropDuplicates(["key"]), "key").drop("key")
 
 
 def nodes_of(parsed: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def opened(root: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     if "://" in root:
         return fs.FileSystem.from_uri(root)
-    return fs.LocalFileSystem(), posixpath.normpath(root)
+    return fs.LocalFileSystem(), posixpath.normpath(root.removeprefix("file:"))
 
 
 @dataclass

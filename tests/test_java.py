@@ -3,15 +3,16 @@
 import io
 import json
 import subprocess
+import sys
 
 import pyarrow as pa
 import pytest
 from pyarrow import fs
 
-from sedge.operators import patterns, rules
+from sedge.operators import patterns, rules, scripts
 from sedge.operators.patterns import PatternRule
 from sedge.plans import scan
-from sedge.sources import config, files, listing
+from sedge.sources import config, files, listing, trees
 from sedge.sources.java import parse_source
 
 HERE = __file__.rpartition("/")[0]
@@ -102,6 +103,29 @@ def test_listing_and_cache(spark, tmp_path):
         assert spark.read.parquet(cache).count() == 2
 
 
+def test_cache_goes_with_the_parser_and_mends_itself(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    cache = tmp_path / "cache"
+    rows = spark.createDataFrame([(f"F{i}.java", f"class C{i} {{ }}".encode()) for i in range(6)], "file string, content binary").repartition(3)
+    names = lambda: sorted(r["nodes"][1]["name"] for r in files.parse_cached(rows, str(cache)).collect())
+    want = [f"C{i}" for i in range(6)]
+    assert names() == want
+    (own,) = cache.iterdir()
+    parts = sorted(own.glob("*.parquet"))
+    parts[0].write_bytes(b"no parquet")
+    for crc in own.glob(".*.crc"):
+        crc.unlink()
+    assert names() == want and len(list(own.glob("*.parquet"))) > len(parts)  # what was in the broken file is parsed again
+    count = len(list(own.glob("*.parquet")))
+    assert names() == want
+    read = Path.read_bytes
+    monkeypatch.setattr(Path, "read_bytes", lambda self: read(self) + (b"# changed" if self.name == "java.py" else b""))
+    assert names() == want
+    (new,) = (p for p in cache.iterdir())
+    assert new.name != own.name and not own.exists() and count
+
+
 class Watched(fs.FileSystemHandler):
     """A local file system that notes what is listed and opened."""
 
@@ -169,8 +193,8 @@ def test_catalog(tmp_path):
     text = (tmp_path / "r.yml").read_text()
     assert config.plain_yaml(text) == config.read_yaml(text)
     with pytest.warns(UserWarning):
-        assert config.rule_directory(str(tmp_path)) == []  # warning is no severity, color no key
-    found, entries = config.loaded(config.rule_catalog(str(tmp_path / "c.toml")), str(tmp_path))
+        assert config.rule_directory(str(tmp_path)) == ([], [])  # warning is no severity, color no key
+    found, _, entries = config.loaded(config.rule_catalog(str(tmp_path / "c.toml")), str(tmp_path))
     assert (found[0].id, found[0].severity, found[0].fields) == ("Z1", "major", {"package": ["a.b*", "c"]}) and entries[0].id == "J008"
     (tmp_path / "d.toml").write_text('[[rules]]\nid = "A"\n[[rules]]\nid = "A"\n')
     with pytest.raises(ValueError):
@@ -179,6 +203,91 @@ def test_catalog(tmp_path):
     assert head["id"] == "S1" and head["severity"] == "minor" and not head["enabled"] and head["params"] == {"a": 1, "b": 2.5, "c": True, "d": "x"}
 
 
+SCRIPT = """#! rule: S1
+#! title: no short methods
+#! severity: major
+#! params: least=2
+
+def walk(members, config):
+    out = []
+    for m in members:
+        if m["kind"] == "ClassDeclaration":
+            out += walk(m["members"], config)
+        elif m["kind"] == "MethodDeclaration" and m["body"] and len(m["body"]["statements"]) < config["least"]:
+            out.append({"line": m["line"], "message": "short: " + m["name"], "end_line": m["end_line"]})
+    return out
+
+def check(ast, config):
+    return [x for t in ast["types"] for x in walk(t["members"], config)]
+"""
+BAD = {
+    "S2": "def check(ast, config):\n    return [{}, {'line': '7'}]",
+    "S3": "def check(ast, config):\n    while 'B' == ast['types'][0]['name']:\n        pass\n    return []",
+    "S4": "def f(n):\n    return f(n + 1)\n\ndef check(ast, config):\n    try:\n        f(0)\n    except Exception:\n        return []",
+    "S5": "def check(ast, config):\n    x = 'x'\n    while True:\n        x = x + x\n",
+    "S6": "def check(ast, config):\n    return [{}] * 10_001",
+    "S7": "def check(ast, config):\n    return 1 / 0",
+    "S8": "def check(ast, config):\n    return None",
+    "S9": "import no_such_module\n\ndef check(ast, config):\n    return []",
+    "S10": "x = 1",
+}
+
+
+def test_scripts_have_budgets_and_their_errors_are_rows(spark):
+    p = files.parse_files(spark.createDataFrame([("A.java", "class A { void m() { } }"), ("B.java", "class B { }"), ("C.java", "class {")], "file string, text string"))
+    some = [config.read_script(SCRIPT), *(scripts.Script(k, v) for k, v in BAD.items())]
+    found = scripts.run_scripts(p, some, scripts.Limits(steps=20_000)).cache()
+    good = sorted((r["rule_id"], r["severity"], r["file"], r["line"], r["end_line"], r["message"], r["visit"]) for r in scripts.violations_of(found).collect())
+    assert good == sorted([("S1", "major", "A.java", 1, 1, "short: m", [0])] + [("S2", "minor", f, line, None, "violation", [i]) for f in ("A.java", "B.java") for i, line in enumerate((0, 7))])
+    errors = {(r["rule_id"], r["file"]): r["error"] for r in scripts.errors_of(found).collect()}
+    assert set(errors) == {("S3", "B.java")} | {(f"S{i}", f) for i in range(4, 11) for f in ("A.java", "B.java")}
+    starts = {"S3": "OverBudget: more than 20000 steps", "S4": "OverBudget: more than 512 calls", "S5": "OverBudget: a text", "S6": "OverBudget: a list", "S7": "ZeroDivisionError", "S8": "TypeError", "S9": "ModuleNotFoundError", "S10": "ValueError"}
+    assert all(e.startswith(starts[rule]) for (rule, _), e in errors.items())
+    assert "no_such_module" not in {k for k in sys.modules}
+
+
+def test_trees(spark):
+    text = "package p; import a.B; class A { int f = 1; class N { } void m(int q) { if (q > 1) { go(q); } else return; for (;;) { } try { } catch (E e) { } finally { go(); } } }"
+    p = files.parse_files(spark.createDataFrame([("A.java", text), ("B.java", "class {"), ("C.java", "")], "file string, text string"))
+    got = {r["file"]: json.loads(r["tree"]) for r in trees.trees(p).collect()}
+    assert set(got) == {"A.java", "C.java"} and got["C.java"]["types"] == []
+    a = got["A.java"]
+    assert a["package"] == "p" and a["imports"][0]["package"] == "a.B" and a["source_file"] == "A.java" and "kind" not in a
+    f, n, m = a["types"][0]["members"]
+    assert f["initializer"] == {"kind": "LiteralExpr", "value": "1", "line": 1} and n["kind"] == "ClassDeclaration" and m["parameters"] == [{"param_type": "int", "name": "q"}]
+    if_, for_, try_ = m["body"]["statements"]
+    assert if_["then_stmt"]["statements"][0]["expr"]["arguments"][0]["name"] == "q" and if_["else_stmt"]["expr"] is None and for_["condition"] is None and for_["update"] == []
+    assert try_["catch_clauses"][0]["exception_name"] == "e" and try_["finally_body"]["statements"][0]["expr"]["method_name"] == "go"
+
+
+def test_a_scan_with_scripts_of_a_folder(spark, tmp_path, capsys):
+    folder = tmp_path / "rules"
+    folder.mkdir()
+    (folder / "short.py").write_text(SCRIPT)
+    (folder / "bad.py").write_text("#! rule: S7\n" + BAD["S7"])
+    (folder / "helper.py").write_text("x = 1")  # no head: no rule
+    (folder / "twice.py").write_text(SCRIPT)
+    (folder / "broken.py").write_text("#! rule: S8\ndef check(:")
+    (tmp_path / "A.java").write_text("class A {\n  void m() { }\n}")
+    out = io.StringIO()
+    with pytest.warns(UserWarning, match="taken|SyntaxError"):
+        assert scan.main(["scan", str(tmp_path), "--rules-dir", str(folder), "--enable", "S1", "--enable", "S7", "--format", "json"], spark, out) == 0
+    doc = json.loads(out.getvalue())
+    assert [(v["rule_id"], v["line"], v["end_line"], v["message"]) for v in doc["violations"]] == [("S1", 2, 2, "short: m")] and doc["scan_info"]["duration_ms"] > 0
+    assert "warning: rule S7 failed on A.java: ZeroDivisionError" in capsys.readouterr().err
+    (tmp_path / "catalog.toml").write_text('[[rules]]\nid = "Z"\nname = "mine"\nscript_path = "rules/short.py"\nseverity = "info"\nparams = { least = 0 }\n')
+    out = io.StringIO()
+    assert scan.main(["scan", str(tmp_path), "--rules-file", str(tmp_path / "catalog.toml"), "--format", "csv"], spark, out) == 0
+    assert out.getvalue().count("\n") == 1  # no method has fewer than no statements
+    (tmp_path / "c.diff").write_text("diff --git a/src/A.java b/src/A.java\n--- a/src/A.java\n+++ b/src/A.java\n@@ -1,0 +2,1 @@\n+x\n")
+    for diff_root, n in (("src", 1), ("other", 0)):
+        out = io.StringIO()
+        args = ["scan", str(tmp_path), "--rules-dir", str(folder), "--enable", "S1", "--format", "csv", "--diff-file", str(tmp_path / "c.diff"), "--diff-root", diff_root]
+        with pytest.warns(UserWarning):
+            assert scan.main(args, spark, out) == 0
+        assert out.getvalue().count("\n") == n + 1
+
+
 def test_command_line(spark, tmp_path):
     out = io.StringIO()
     assert scan.main(["scan", f"{HERE}/java", "--format", "json", "--enable", "J008", "--enable", "J009"], spark, out) == 0
