@@ -7,8 +7,8 @@ shingle are filtered by size, by the place of that shingle and by bitmaps of the
 and verified on whole sets.
 
 Classes of near duplicates hold thousands of documents, and one verified link joins two components, so
-the join is made in rounds. First each set meets its next neighbours in the lists of its prefix shingles. Then
-groups of different components are paired, all of them; of each pair of components a few members are
+the join is made in rounds. First each set meets its next neighbours in the lists of its prefix shingles, and
+the nearest ones there of other components. Then groups of different components are paired, all of them; of each pair of components a few members are
 verified first, more where those do not link, and in the last round all. No pair that could
 still join two components is left out.
 """
@@ -182,35 +182,59 @@ def keys_in(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(memoryview(v.as_buffer()), "<u8") for v in column]
 
 
-def first_pairs(sets: DataFrame, percent: int, width: int = 2, most: int = 3) -> DataFrame:
-    """Pairs (a, b) of sets next to each other, up to `width` places apart, in the list of a shingle
-    that both have in their prefix, if sizes and bitmaps let them link; for each a the `most` of them whose
-    bitmaps differ least. Lists are sorted by the rarest shingles, so that sets with more of these in
-    common are near. Ranges of the order are the tasks, so a list may be long."""
-    names = ("node", "token", "n", "bits")
+def beside(token: np.ndarray, c: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in sorted lists: each with the next `width` ones of its list, or, with components c, with
+    the nearest ones before and after that are of another component."""
+    n = len(token)
+    if c is None:
+        for k in range(1, width + 1):
+            i = np.arange(max(0, n - k))
+            yield i, i + k
+        return
+    new = np.ones(n, bool)
+    new[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
+    starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+    i = np.arange(n)
+    after = np.append(starts, n)[run + 1] if n else i
+    yield i[after < n], after[after < n]
+    first = starts[run] if n else i
+    yield first[first > 0] - 1, i[first > 0]
+
+
+def list_pairs(sets: DataFrame, percent: int, c: str | None = None, width: int = 2, most: int = 3, piece: int = 50_000) -> DataFrame:
+    """Pairs (a, b) of sets near each other in the list of a shingle that both have in their prefix, if sizes and
+    bitmaps let them link; for each a the `most` of them whose bitmaps differ least. With a column c of
+    components, only pairs of different ones.
+
+    Each list is sorted by the least hashes of prefixes under a hash of its own, so that prefixes with much in common are
+    near in some of their lists. Ranges of the order are the tasks, so a list may be long; it is looked at in pieces."""
+    names = ["node", "token", "n", *([c] if c else [])]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            now = [np.asarray(batch.column(c)) for c in names[:3]] + [np.asarray(batch.column("bits").flatten()).reshape(-1, 4).view(U)]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            node, token, n, bits = now
-            out = []
-            for k in range(1, width + 1):
-                # pairs of places before what was held came with the batch before
-                i = np.arange(max(0, (0 if held is None else len(held[0])) - k), max(0, len(node) - k))
-                x, y = n[i], n[i + k]
-                apart = np.bitwise_count(bits[i] ^ bits[i + k]).sum(axis=1, dtype=np.int64)
-                least = -(-percent * (x + y) // (100 + percent))
-                good = (token[i] == token[i + k]) & (node[i] != node[i + k]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (apart <= x + y - 2 * least)
-                out.append((node[i][good], node[i + k][good], apart[good]))
-            held = [x[-width:] for x in now]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "apart"])
-
-    first = [F.coalesce(F.get("prefix", F.lit(i)), F.lit(0)).alias(f"first{i}") for i in range(2)]
-    posts = sets.select("node", "n", "bits", F.xxhash64("n", "prefix").alias("g"), *first, F.explode("prefix").alias("token"))
-    order = ("token", "first0", "first1", "n", "g", "node")
-    near = posts.repartitionByRange(*order).sortWithinPartitions(*order).select(*names).mapInArrow(compare, "a long, b long, apart long")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, piece):
+                batch = whole.slice(lo, piece)
+                now = [np.asarray(batch.column(x)) for x in names] + [np.asarray(batch.column("bits").flatten()).reshape(-1, 4).view(U)]
+                now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+                node, token, n, bits = now[0], now[1], now[2], now[-1]
+                out = []
+                for i, j in beside(token, now[3] if c else None, width):
+                    x, y = n[i], n[j]
+                    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                    least = -(-percent * (x + y) // (100 + percent))
+                    good = (token[i] == token[j]) & (node[i] != node[j]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (apart <= x + y - 2 * least)
+                    if c:
+                        good &= now[3][i] != now[3][j]
+                    out.append((node[i][good], node[j][good], apart[good]))
+                held = [x[-width:] for x in now]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "apart"])
+
+    posts = sets.select(*([c] if c else []), "node", "n", "bits", F.xxhash64("n", "prefix").alias("g"), "prefix", F.explode("prefix").alias("token"))
+    least = F.slice(F.array_sort(F.transform("prefix", lambda p: F.xxhash64(p, F.col("token")))), 1, 3)
+    posts = posts.withColumn("sign", least).drop("prefix")
+    order = ("token", "sign", "n", "g", "node")
+    near = posts.repartitionByRange(*order).sortWithinPartitions(*order).select(*names, "bits").mapInArrow(compare, "a long, b long, apart long")
     best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, most).alias("best"))
     return best.select("a", F.explode("best.b").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -291,16 +315,25 @@ def relabelled(found: DataFrame, joined: DataFrame) -> DataFrame:
     return found.filter("now1 <> now2")
 
 
-def links(sets: DataFrame, percent: int, rounds: tuple = ((2, 1), (32, 4), (None, None))) -> DataFrame:
+def in_components(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """`sets` with their component c, which is the node itself where no edge meets it."""
+    label = components(edges).select("node", F.col("label").alias("c"))
+    return sets.join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
+
+
+def links(sets: DataFrame, percent: int, rounds: tuple = ((4, 2), (None, None))) -> DataFrame:
     """Edges (a, b) between linked nodes that connect whatever the full join would connect.
 
-    Each of `rounds` says how many pairs of parts of two components are verified, the nearest first, and how many
+    Sets meet their neighbours in the lists of their prefix shingles first, then the nearest ones of other
+    components. Each of `rounds` says how many pairs of parts of two components are verified, the nearest first, and how many
     members of a part; None is all. Later rounds look only at what is still apart.
     """
-    edges = staged(verify(first_pairs(sets, percent), sets, percent))
+    slim = sets.select("node", "n", "prefix", "bits")
+    edges = staged(verify(list_pairs(slim, percent), sets, percent))
+    across = list_pairs(staged(in_components(slim, edges)), percent, "c")
+    edges = staged(edges.unionByName(staged(verify(across, sets, percent))))
     place = F.row_number().over(Window.partitionBy("g", "c").orderBy("node"))
-    members = sets.select("node", "n", "prefix", "bits", F.xxhash64("n", "prefix").alias("g")).join(components(edges).select("node", F.col("label").alias("c")), "node", "left")
-    members = staged(members.withColumn("c", F.coalesce("c", "node")).withColumn("place", place))
+    members = staged(in_components(slim.withColumn("g", F.xxhash64("n", "prefix")), edges).withColumn("place", place))
     found = staged(part_pairs(members, percent).withColumns({"now1": F.col("c1"), "now2": F.col("c2")}))
     members = members.drop("prefix")
     for parts, most in rounds:

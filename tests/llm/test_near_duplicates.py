@@ -91,23 +91,25 @@ def test_rounds_lose_no_link(spark, monkeypatch):
                 w = x
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    make, first = near_duplicates.links, near_duplicates.first_pairs
+    make, first = near_duplicates.links, near_duplicates.list_pairs
     for rounds in (((1, 1), (2, 1), (None, None)), ((None, None),), ((2, 1), (32, 4), (None, None))):
-        for start in (first, lambda sets, percent: first(sets, percent).limit(0)):
-            monkeypatch.setattr(near_duplicates, "first_pairs", start)
+        for start in (first, lambda sets, percent, *c: first(sets, percent).limit(0)):
+            monkeypatch.setattr(near_duplicates, "list_pairs", start)
             monkeypatch.setattr(near_duplicates, "links", lambda sets, percent, r=rounds: make(sets, percent, r))
             assert sorted(map(tuple, near_duplicates.near_duplicates(df).drop("text_hash").collect()), key=str) == want
 
 
-def test_first_pairs_share_a_prefix_shingle(spark):
+def test_pairs_of_lists_share_a_prefix_shingle(spark):
     random.seed(13)
-    made = [(i, i, random.randrange(60, 90), sorted(random.sample(range(30), 3)), [random.getrandbits(8) for _ in range(4)], bytes(8)) for i in range(200)]
-    sets = spark.createDataFrame(made, "node long, check long, n long, prefix array<long>, bits array<long>, keys binary")
-    pairs = [tuple(r) for r in near_duplicates.first_pairs(sets, 75).collect()]
-    assert pairs and len(set(pairs)) == len(pairs)
-    for a, b in pairs:
-        apart = sum((x ^ y).bit_count() for x, y in zip(made[a][4], made[b][4], strict=True))
-        assert a > b and set(made[a][3]) & set(made[b][3]) and apart <= made[a][2] + made[b][2] - 2 * -(-75 * (made[a][2] + made[b][2]) // 175)
+    made = [(i, i, random.randrange(60, 90), sorted(random.sample(range(30), 3)), [random.getrandbits(8) for _ in range(4)], i % 7) for i in range(200)]
+    sets = spark.createDataFrame(made, "node long, check long, n long, prefix array<long>, bits array<long>, c long")
+    for c, piece in ((None, 50_000), ("c", 50_000), ("c", 9)):
+        pairs = [tuple(r) for r in near_duplicates.list_pairs(sets, 75, c, piece=piece).collect()]
+        assert pairs and len(set(pairs)) == len(pairs)
+        for a, b in pairs:
+            apart = sum((x ^ y).bit_count() for x, y in zip(made[a][4], made[b][4], strict=True))
+            assert a > b and set(made[a][3]) & set(made[b][3]) and apart <= made[a][2] + made[b][2] - 2 * -(-75 * (made[a][2] + made[b][2]) // 175)
+            assert c is None or made[a][5] != made[b][5]
 
 
 def test_unlinked_rows_of_one_id_all_stay(spark):
