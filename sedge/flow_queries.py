@@ -3,13 +3,17 @@ rule scripts, trees and counts of failures; each over the driver's tables or tex
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .java_cases import DEEP, FILE, key, nested_text, parsed
+from .java_queries import encoded
 from .operators import scripts, violations
 from .operators.catalog import overridden, problems
-from .sources import diffs, reports, trees
+from .sources import diffs, listing, reports, trees
 from .sources.scratch import scratch_folder
 
 
@@ -49,6 +53,44 @@ def baseline_export(spark: SparkSession, d: str) -> DataFrame:
     return diffs.read_baseline(spark, folder).select("file", "line", "rule_id")
 
 
+def csv_report(spark: SparkSession, d: str) -> DataFrame:
+    return items_of(spark, reports.as_csv(found(spark, d), {"total_violations": 1}), "csv")
+
+
+def console_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each violation on the console is two lines: where, and what."""
+    return reports.console_items(found(spark, d), color=False).select(F.split("value", "\n").alias("lines")).select(F.col("lines")[0].alias("place"), F.col("lines")[1].alias("message"))
+
+
+#: Folders that files are written to, and those that a scan leaves out.
+FOLDERS = ("src/a", "src/target/x", "src/b", ".git", "target", "src/targets")
+LEFT_OUT = ("target", ".git")
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes each row (file, content) below `folder`, in tasks; returns how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = listing.opened(folder)
+        for batch in batches:
+            for name, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                system.create_dir(f"{root}/{name.rpartition('/')[0]}", recursive=True)
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("file")], names=["file"])
+
+    return rows.select("file", "content").mapInArrow(run, "file string").count()
+
+
+def file_listing(spark: SparkSession, d: str) -> DataFrame:
+    """A file for every part, in UTF-8 or GBK, some in folders that are left out; what a scan lists and decodes."""
+    name = F.concat(F.element_at(F.array(*map(F.lit, FOLDERS)), (key() % len(FOLDERS) + 1).cast("int")), F.lit("/P"), key().cast("string"), F.when(key() % 11 == 0, ".txt").otherwise(".java"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select(name.alias("file"), encoded(F.concat(F.lit("class P { /* 注释 "), "p_name", F.lit(" */ }")), F.when(key() % 2 == 0, "utf-8").otherwise("gb18030")).alias("content"))
+    folder = scratch_folder(spark, "files")
+    write_files(rows, folder)
+    return listing.source_files(spark, folder, LEFT_OUT, ("/src/",), encoding="auto").select("file", F.md5("text").alias("digest"))
+
+
 def diff_text(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a diff: a head for each order, a hunk for each of its line items, added lines that look like
     heads. Blocks end anywhere, also between a head and its hunks."""
@@ -173,7 +215,10 @@ NUMBER = "CAST(l_quantity AS INTEGER)"
 QUERIES = {
     "json_report": json_report,
     "sarif_report": sarif_report,
+    "csv_report": csv_report,
+    "console_report": console_report,
     "baseline_export": baseline_export,
+    "file_listing": file_listing,
     "diff_rows": diff_rows,
     "diff_rebase": diff_rebase,
     "rule_problems": rule_problems,
@@ -186,6 +231,9 @@ QUERIES = {
 ORACLES = {
     "json_report": f"SELECT l_returnflag AS rule_id, {SEVERITY} AS severity, {PATH} AS file, {LINE} AS line, {END} AS end_line, {MESSAGE} AS message FROM lineitem",
     "sarif_report": f"SELECT l_returnflag AS rule, CASE l_returnflag WHEN 'N' THEN 'warning' ELSE 'error' END AS level, {MESSAGE} AS text, {PATH} AS uri, {LINE} AS first_line, coalesce({END}, {LINE}) AS last_line FROM lineitem",
+    "csv_report": f"SELECT concat_ws(',', l_returnflag, {SEVERITY}, {PATH}, l_linenumber, coalesce(CAST({END} AS VARCHAR), ''), '\"' || replace({MESSAGE}, '\"', '\"\"') || '\"') AS value FROM lineitem",
+    "console_report": f"SELECT '  [' || upper({SEVERITY}) || '] ' || {PATH} || ':' || l_linenumber || coalesce('-' || {END}, '') || ' (rule: ' || l_returnflag || ')' AS place, '        ' || {MESSAGE} AS message FROM lineitem",
+    "file_listing": f"SELECT folder || '/P' || p_partkey || '.java' AS file, md5('class P {{ /* 注释 ' || p_name || ' */ }}') AS digest FROM (SELECT *, {list(FOLDERS)}[p_partkey % {len(FOLDERS)} + 1] AS folder FROM part) WHERE p_partkey % 11 > 0 AND folder IN ('src/a', 'src/b', 'src/targets')",
     "baseline_export": f"SELECT {PATH} AS file, {LINE} AS line, l_returnflag AS rule_id FROM lineitem",
     "diff_rows": f"""
 WITH hunks AS (
