@@ -201,13 +201,23 @@ def beside(token: np.ndarray, c: np.ndarray, width: int) -> Iterator[tuple[np.nd
     yield first[first > 0] - 1, i[first > 0]
 
 
+#: Seeds of the orders in which prefix lists are sorted.
+ORDERS = mix(np.arange(1, 17, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
+def least_hashes(prefix: np.ndarray) -> np.ndarray:
+    """For each order, the three least hashes of a prefix (the greatest number where it has fewer), as signed numbers."""
+    hashes = np.sort(mix(prefix[None, :] ^ ORDERS[:, None]), axis=1)[:, :3]
+    return np.pad(hashes, ((0, 0), (0, 3 - hashes.shape[1])), constant_values=2**64 - 1).view(np.int64)
+
+
 def list_pairs(sets: DataFrame, percent: int, c: str | None = None, width: int = 2, most: int = 3, piece: int = 50_000) -> DataFrame:
     """Pairs (a, b) of sets near each other in the list of a shingle that both have in their prefix, if sizes and
     bitmaps let them link; for each a the `most` of them whose bitmaps differ least. With a column c of
     components, only pairs of different ones.
 
-    Each list is sorted by the least hashes of prefixes under a hash of its own, so that prefixes with much in common are
-    near in some of their lists. Ranges of the order are the tasks, so a list may be long; it is looked at in pieces."""
+    Each list is sorted by the least hashes of prefixes, in one of several orders of hashes, so that prefixes with much in
+    common are near in some of their lists. Ranges of the order are the tasks, so a list may be long; it is looked at in pieces."""
     names = ["node", "token", "n", *([c] if c else [])]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +240,22 @@ def list_pairs(sets: DataFrame, percent: int, c: str | None = None, width: int =
                 held = [x[-width:] for x in now]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "apart"])
 
-    posts = sets.select(*([c] if c else []), "node", "n", "bits", F.xxhash64("n", "prefix").alias("g"), "prefix", F.explode("prefix").alias("token"))
-    least = F.slice(F.array_sort(F.transform("prefix", lambda p: F.xxhash64(p, F.col("token")))), 1, 3)
-    posts = posts.withColumn("sign", least).drop("prefix")
-    order = ("token", "sign", "n", "g", "node")
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(lo, 2_000)
+                prefix = [np.asarray(p.values).view(U) for p in batch.column("prefix")]
+                token = np.concatenate([np.zeros(0, U), *prefix])
+                row = np.repeat(np.arange(batch.num_rows), [len(p) for p in prefix])
+                signs = np.stack([least_hashes(p) for p in prefix])[row, (token % U(len(ORDERS))).astype(np.int64)] if len(row) else np.zeros((0, 3), np.int64)
+                columns = [batch.column(x).take(pa.array(row)) for x in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(token.view(np.int64)), *(pa.array(np.ascontiguousarray(signs[:, i])) for i in range(3))], names=[*kept, "token", "s0", "s1", "s2"])
+
+    kept = ["node", "n", "bits", "g", *([c] if c else [])]
+    kinds = "".join(f", {x} {'array<long>' if x == 'bits' else 'long'}" for x in kept)[2:]
+    slim = sets.filter(F.size("prefix") > 0).withColumn("g", F.xxhash64("n", "prefix")).select(*kept, "prefix")
+    posts = slim.mapInArrow(post, f"{kinds}, token long, s0 long, s1 long, s2 long")
+    order = ("token", "s0", "s1", "s2", "n", "g", "node")
     near = posts.repartitionByRange(*order).sortWithinPartitions(*order).select(*names, "bits").mapInArrow(compare, "a long, b long, apart long")
     best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, most).alias("best"))
     return best.select("a", F.explode("best.b").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
