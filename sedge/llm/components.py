@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -21,12 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of a node, and the node, go to its least neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = now.select(F.col("b").alias("n"), F.col("a").alias("larger")).join(least.withColumnRenamed("a", "n"), "n")
-        large = large.select(F.col("larger").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small star: the smaller neighbours of a node, and the node, go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).withColumn("m", F.least("n", "m"))
+        large = now.select(F.col("b").alias("n"), F.col("a").alias("larger")).join(least, "n").select(F.col("larger").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        # small star: the smaller neighbours of a node, which are few now, and the node go to the least of them
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a"))).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = staged(small.select("e.*").filter("a <> b").distinct())
         # two independent sums over the distinct edges tell whether they are those of the round before
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()

@@ -331,9 +331,9 @@ def expanded(found: DataFrame, members: DataFrame, percent: int, most: int | Non
 def relabelled(found: DataFrame, joined: DataFrame) -> DataFrame:
     """`found` with components now1 and now2 as the links between components in `joined` (a, b) leave them; pairs
     that have come into one go."""
-    label = staged(components(joined))
+    label = components(joined)
     for k in (1, 2):
-        found = join_stats(found, label.select(F.col("node").alias(f"now{k}"), F.col("label").alias("to")), f"now{k}", ["g1", "g2"]).withColumn(f"now{k}", F.coalesce("to", f"now{k}")).drop("to")
+        found = found.join(label.select(F.col("node").alias(f"now{k}"), F.col("label").alias("to")), f"now{k}", "left").withColumn(f"now{k}", F.coalesce("to", f"now{k}")).drop("to")
     return found.filter("now1 <> now2")
 
 
@@ -353,7 +353,7 @@ def links(sets: DataFrame, percent: int, rounds: tuple = ((4, 2), (None, None)))
     slim = sets.select("node", "n", "prefix", "bits")
     edges = staged(verify(list_pairs(slim, percent), sets, percent))
     across = list_pairs(staged(in_components(slim, edges)), percent, "c")
-    edges = staged(edges.unionByName(staged(verify(across, sets, percent))))
+    edges = edges.unionByName(staged(verify(across, sets, percent)))
     place = F.row_number().over(Window.partitionBy("g", "c").orderBy("node"))
     members = staged(in_components(slim.withColumn("g", F.xxhash64("n", "prefix")), edges).withColumn("place", place))
     found = staged(part_pairs(members, percent).withColumns({"now1": F.col("c1"), "now2": F.col("c2")}))
