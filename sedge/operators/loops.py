@@ -29,6 +29,7 @@ COMPARE = {"<": int.__lt__, ">": int.__gt__, "<=": int.__le__, ">=": int.__ge__,
 LOOPS = ("ForStmt", "WhileStmt", "DoStmt", "ForEachStmt")
 HEADS = ("ForStmt.init", "ForStmt.condition", "ForStmt.update", "WhileStmt.condition", "DoStmt.condition")
 METHODS = ("MethodDeclaration", "ConstructorDeclaration", "InitializerDeclaration")
+LEAVING = ("ThrowStmt", "ReturnStmt", "BreakStmt")
 TYPES = ("ClassDeclaration", "InterfaceDeclaration", "EnumDeclaration", "AnnotationDeclaration")
 
 
@@ -226,7 +227,7 @@ def changes(n: DataFrame) -> DataFrame:
 def exits(n: DataFrame, loops: DataFrame) -> DataFrame:
     """(file, nid) of the loops whose body can be left: by a throw or a labelled break, by a return that no lambda of
     the body holds, or by a break that no inner loop takes."""
-    leaving = n.filter(F.col("kind").isin("ThrowStmt", "ReturnStmt", "BreakStmt"))
+    leaving = n.filter(F.col("kind").isin(*LEAVING))
     # what an event can leave: everything around it, what stands in the same lambda, or the innermost loop
     lambda_, loop_ = F.concat(F.lit("lambda "), F.coalesce(around("LambdaExpr").cast("string"), F.lit(""))), F.concat(F.lit("loop "), around(*LOOPS).cast("string"))
     reach = F.when(F.col("kind") == "ReturnStmt", lambda_).when((F.col("kind") == "BreakStmt") & F.col("label").isNull(), loop_).otherwise("all")
@@ -249,7 +250,9 @@ def constants(n: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def loop_facts(nodes: DataFrame, reachable: Column) -> DataFrame:
     """One row per loop that walkers reach, as `judge` takes it, with its place."""
-    n = nodes.filter(reachable)
+    # read by a dozen small steps: what is kept is a few columns of the nodes that any of them looks at
+    looked_at = F.col("kind").isin(*LOOPS, *METHODS, *LEAVING, "NameExpr", "FieldAccessExpr", "UnaryExpr", "Variable", "FieldDeclaration") | F.exists("edge_path", lambda e: e.isin(*HEADS)) | F.col("slot").isin("body", "update", "initializer")
+    n = nodes.filter(reachable & looked_at).select("file", "nid", "end_nid", "parent_nid", "slot", "kind", "line", "end_line", "name", "op", "value", "label", "modifiers", "edge_path", "nid_path").persist()
     found = n.filter(F.col("kind").isin(*LOOPS[:3])).select("file", "nid", "kind", "line", visit_key(LOOP_WALK).alias("visit"), around("LambdaExpr").alias("lambda"), around(*METHODS).alias("method"), around(*TYPES).alias("owner"))
     # a method counts if it stands inside the innermost type
     found = found.withColumn("method", F.when(F.col("method") > F.coalesce("owner", F.lit(-1)), F.col("method")))
@@ -259,14 +262,14 @@ def loop_facts(nodes: DataFrame, reachable: Column) -> DataFrame:
     parts = n.filter(F.col("slot").isin("body", "update") & F.substring_index(F.element_at("edge_path", -1), ".", 1).isin(*LOOPS[:3])).groupBy("file", F.col("parent_nid").alias("nid"))
     parts = parts.agg(part("nid").alias("body"), part("end_nid").alias("body_end"), F.max(F.when(is_body & (F.col("kind") == "BlockStmt"), F.col("end_line"))).alias("end_line"), F.min("nid").alias("lo"))
     methods = n.filter(F.col("kind").isin(*METHODS)).select("file", F.col("nid").alias("method"), F.col("end_nid").alias("method_end"))
-    loops = found.join(parts, ["file", "nid"]).join(methods, ["file", "method"], "left")
+    loops = found.join(parts, ["file", "nid"]).join(methods, ["file", "method"], "left").persist()
     # the heads: a node may stand in those of several loops
     heads = F.explode(F.array_compact(F.transform("edge_path", lambda e, i: F.when(e.isin(*HEADS), F.struct(e.alias("edge"), parent_at(i).alias("loop")))))).alias("h")
-    held = n.filter(F.exists("edge_path", lambda e: e.isin(*HEADS))).select("file", "nid", "end_nid", "parent_nid", "slot", "kind", "name", "op", "value", heads)
+    held = n.filter(F.exists("edge_path", lambda e: e.isin(*HEADS))).select("file", "nid", "end_nid", "parent_nid", "slot", "kind", "name", "op", "value", heads).persist()
     columns = ("nid", "end_nid", "parent_nid", "slot", "kind", "name", "op", "value")
     head = held.groupBy("file", F.col("h.loop").alias("nid")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("head"))
     used = held.filter(F.endswith("h.edge", F.lit(".condition")) & F.col("kind").isin("NameExpr", "FieldAccessExpr") & F.col("name").isNotNull()).select("file", F.col("h.loop").alias("nid"), "name").distinct()
-    names = loops.select("file", "nid", "lo", "body_end", "method", "method_end", "owner", "in_lambda").join(used, ["file", "nid"])
+    names = loops.select("file", "nid", "lo", "body_end", "method", "method_end", "owner", "in_lambda").join(used, ["file", "nid"]).persist()
     # changes of a name in body and updates, and in the whole method, in one pass
     changed = changes(n)
     asked = names.select("file", "name", F.col("nid").alias("loop"), F.explode(F.array(F.struct(F.lit(True).alias("inner"), F.col("lo"), F.col("body_end").alias("hi")), F.struct(F.lit(False).alias("inner"), F.col("method").alias("lo"), F.col("method_end").alias("hi")))).alias("q"))

@@ -8,6 +8,7 @@ gets an array of the rules it meets.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,8 @@ def fused(rows: DataFrame, rules: list[tuple[PatternRule, Column, dict[str, Colu
         F.when(test, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), message(r.message, {**captured, "line": line}).alias("message")))
         for r, test, captured in rules
     ]
+    # few rows are hit; only for these the order of visits is worked out
+    rows = rows.filter(reduce(lambda a, b: a | b, [test for _, test, _ in rules]))
     found = rows.select("file", line.alias("line"), (F.array(line) if visit is None else visit).alias("visit"), F.explode(F.array_compact(F.array(*hits))).alias("v"))
     return found.select("v.rule_id", "v.severity", "file", "line", F.lit(None).cast("int").alias("end_line"), "v.message", "visit")
 

@@ -69,10 +69,10 @@ def uses_of(nodes: DataFrame, imports: DataFrame, prefixes: tuple[str, ...], bar
     typed = ("CastExpr", "InstanceOfExpr", "MethodReferenceExpr")
     kinds = nodes.filter(F.col("kind").isin(*named, *typed) & reachable(USE_BLOCKED))
     target = F.when(F.col("kind") == "MethodCallExpr", F.col("callee")).when(F.col("kind") == "ObjectCreationExpr", F.col("class_name")).otherwise(F.col("type_name"))
-    places = kinds.select("file", "line", "kind", target.alias("used"), visit_key(USE_WALK).alias("visit")).filter("used is not null")
-    path = rows(places.filter(has(F.col("used"))), rule_id, severity, F.concat(F.lit(by_path[0]), "used", F.lit(by_path[1])), F.col("visit"))
+    places = kinds.select("file", "line", "kind", "edge_path", "nid_path", target.alias("used")).filter("used is not null")
+    path = rows(places.filter(has(F.col("used"))), rule_id, severity, F.concat(F.lit(by_path[0]), "used", F.lit(by_path[1])), visit_key(USE_WALK))
     name = places.filter(F.col("kind").isin(*named) & ~has(F.col("used"))).join(known, ["file", "used"], "left_semi")
-    return path.unionByName(rows(name, rule_id, severity, F.concat(F.lit(by_name[0]), "used", F.lit(by_name[1])), F.col("visit")))
+    return path.unionByName(rows(name, rule_id, severity, F.concat(F.lit(by_name[0]), "used", F.lit(by_name[1])), visit_key(USE_WALK)))
 
 
 def sum_or(tests: list[Column]) -> Column:

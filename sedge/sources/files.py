@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,18 +63,26 @@ def parse_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Itera
     from .java import parse_source
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
-    fields = [f.name for f in schema.field("nodes").type.value_type]
+    kind = schema.field("nodes").type.value_type
+    fields = [kind.field(i) for i in range(kind.num_fields)]
     for batch in batches:
-        known: dict[str, dict] = {}
-        out = []
-        for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        known: dict[str, int] = {}
+        units, places = [], []
+        for text in batch.column("text").to_pylist():
             text = text or ""
             if text not in known:
-                p = parse_source(text)
-                nodes = [dict(zip(fields, n, strict=True)) for n in p["nodes"]]
-                known[text] = {"package": p["package"], "parse_error": p["parse_error"], "n_lines": text.count("\n") + bool(text and not text.endswith("\n")), "imports": p["imports"], "nodes": nodes}
-            out.append({"file": file, **known[text]})
-        yield pa.RecordBatch.from_pylist(out, schema)
+                known[text] = len(units)
+                unit = parse_source(text)
+                units.append(unit | {"n_lines": text.count("\n") + bool(text and not text.endswith("\n"))})
+            places.append(known[text])
+        # nodes are built column by column, which is several times faster than row by row
+        ends = np.cumsum([0, *(len(u["nodes"]) for u in units)]).astype(np.int32)
+        columns = list(zip(*(n for u in units for n in u["nodes"]), strict=True)) or [()] * len(fields)
+        nodes = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+        made = {"nodes": pa.ListArray.from_arrays(pa.array(ends), nodes).cast(schema.field("nodes").type)}
+        made |= {c: pa.array([u[c] for u in units], schema.field(c).type) for c in ("package", "parse_error", "n_lines", "imports")}
+        taken = pa.array(places, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("file") if f.name == "file" else made[f.name].take(taken) for f in schema], schema=schema)
 
 
 def parse_files(files: DataFrame, encoding: str = "auto", partitions: int | None = None) -> DataFrame:
