@@ -162,6 +162,21 @@ def old_sources(repo: str, ref: str, names: DataFrame) -> DataFrame:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """A baseline, a JSON array of entries; absent keys are "" and 0. `ord` numbers the entries as listed."""
-    raw = spark.read.schema(BASELINE).option("multiLine", "true").json(path)
+    """A baseline, a JSON array of entries; absent keys are "" and 0. `ord` numbers the entries as listed.
+
+    A document whose lines are whole entries between two brackets, as `write_baseline` makes it, is read in parts by
+    many tasks. Any other form, also one with a fault, is read whole by one task.
+    """
+    text = spark.read.text(path).select(F.btrim("value", F.lit(" \t\r\n")).alias("value"), F.monotonically_increasing_id().alias("at")).filter("value <> ''")
+    bracket, open_ = F.col("value").isin("[", "]"), ~F.endswith("value", F.lit(","))
+    # what stands on a line, without the comma that leads to the next one, as an array
+    entries = F.from_json(F.concat(F.lit("["), F.regexp_replace("value", ",$", ""), F.lit("]")), f"array<struct<{BASELINE.replace(' ', ':').replace(',:', ',')}>>")
+    body = lambda c: F.max(F.when(~bracket, c))
+    seen = text.agg(
+        F.min_by("value", "at").alias("first"), F.max_by("value", "at").alias("last"), F.count_if(bracket).alias("brackets"),
+        F.count_if(~bracket & ~F.coalesce(F.startswith("value", F.lit("{")) & (F.size(entries) > 0), F.lit(False))).alias("odd"),
+        F.count_if(~bracket & open_).alias("open"), body(F.col("at")).alias("end"), body(F.when(open_, F.col("at"))).alias("open_at"),
+    ).first()
+    in_lines = (seen["first"], seen["last"], seen["brackets"], seen["odd"]) == ("[", "]", 2, 0) and seen["open"] <= 1 and seen["open_at"] == seen["end"]
+    raw = text.filter(~bracket).select(F.inline(entries)) if in_lines else spark.read.schema(BASELINE).option("multiLine", "true").json(path)
     return raw.select(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("rule_id", F.lit("")).alias("rule_id"), F.monotonically_increasing_id().alias("ord"))

@@ -243,3 +243,26 @@ def test_empty_scan(spark):
 
     none = files.parse_files(spark.createDataFrame([], "file string, text string"))
     assert scan.run_all(none, [], []).count() == 0
+
+
+def test_baseline_in_lines_is_read_in_parts(spark, tmp_path):
+    """A document of one entry per line is split; others give the same entries in the same order."""
+    entries = [{"file": f"a{i % 7} ]}},[{{ \"ü\".java", "line": i, "rule_id": "R"} for i in range(3_000)] + [{"line": 7}, {"file": None, "more": {"x": [1]}}]
+    forms = {
+        "lines": "[\n" + ",\n".join(json.dumps(e) for e in entries) + "\n]\n", "pairs": "[\n" + ",\n".join(json.dumps(entries[i : i + 2])[1:-1] for i in range(0, len(entries), 2)) + "\n]",
+        "one line": json.dumps(entries), "indented": json.dumps(entries, indent=2), "brackets inside": json.dumps(entries).replace("}, {", "},\n{"),
+    }
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for name, text in forms.items():
+            (tmp_path / name).write_text(text)
+            read = diffs.read_baseline(spark, str(tmp_path / name))
+            assert [(r["file"], r["line"], r["rule_id"]) for r in read.orderBy("ord").collect()] == [(e.get("file") or "", e.get("line", 0), e.get("rule_id", "")) for e in entries], name
+            if name == "lines":
+                assert read.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, text in (("none", "[\n\n]\n"), ("none in a line", "[]")):
+        (tmp_path / name).write_text(text)
+        assert diffs.read_baseline(spark, str(tmp_path / name)).count() == 0
