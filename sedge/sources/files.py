@@ -6,22 +6,29 @@ import hashlib
 import sys
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructType
 
 from ..schemas import PARSED
+from .batches import slices
 from .charsets import decode_source, effective_encoding  # noqa: F401
 from .listing import source_files
 
 # Directories never scanned unless other ones are given.
 DEFAULT_EXCLUDES = ("target", "build", ".git", "node_modules")
+#: What is parsed at once: bytes of text (or one file) and files.
+SLICE_BYTES, SLICE_FILES = 256_000, 256
+#: Parsed forms kept of texts of up to so many characters.
+KEPT_TEXTS, SHORT = 1_024, 1_000
 
 
 def parser_fingerprint() -> str:
@@ -59,20 +66,22 @@ def contains_any(path: Column, parts: tuple[str, ...]) -> Column:
 
 
 def parse_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Parsed files; equal texts of a batch are parsed once."""
+    """Parsed files, some at a time, as nodes take many times the room of their text. Equal texts among
+    these are parsed once; so are short ones that came a little before."""
     from .java import parse_source
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
     kind = schema.field("nodes").type.value_type
     fields = [kind.field(i) for i in range(kind.num_fields)]
-    for batch in batches:
+    parse_short = lru_cache(KEPT_TEXTS)(parse_source)
+    for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(pc.binary_length(b.column("text")), SLICE_BYTES, SLICE_FILES)):
         known: dict[str, int] = {}
         units, places = [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
             if text not in known:
                 known[text] = len(units)
-                unit = parse_source(text)
+                unit = parse_short(text) if len(text) <= SHORT else parse_source(text)
                 units.append(unit | {"n_lines": text.count("\n") + bool(text and not text.endswith("\n"))})
             places.append(known[text])
         # nodes are built column by column, which is several times faster than row by row

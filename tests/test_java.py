@@ -334,3 +334,23 @@ def test_changed_files_of_a_subfolder(spark, tmp_path, capsys):
         assert doc["scan_info"]["files_scanned"] == 3 and doc["scan_info"]["parse_errors"] == 1  # Same.java is not read
         assert "warning: New.java: " in capsys.readouterr().err
     assert files.java_files(spark, str(folder), only=["Gone.java", "A.txt"]).count() == 0
+
+
+def arrow_schema(spark):
+    return files.to_arrow_schema(files.StructType.fromDDL(files.PARSED))
+
+
+def test_parsing_holds_a_part_of_a_batch(spark):
+    """Rows of one batch are parsed and handed on in parts, long files by themselves."""
+    texts = [f"class C{i % 5} {{ void m() {{ {'run(); ' * (i % 3)}}} }}" for i in range(700)] + [f"class D {{ {'int f = 1; ' * 30_000}}}", None, "class {"]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.java" for i in range(len(texts))]), pa.array(texts)], names=["file", "text"])
+    parts = list(files.parse_batches(iter([batch]), arrow_schema(spark)))
+    assert len(parts) >= 4 and max(p.num_rows for p in parts) <= files.SLICE_FILES
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["file"] for r in rows] == batch.column("file").to_pylist()
+    for r, text in zip(rows, texts, strict=True):
+        unit = parse_source(text or "")
+        assert [tuple(n.values())[:3] for n in r["nodes"]] == [tuple(n[:3]) for n in unit["nodes"]] and r["parse_error"] == unit["parse_error"]
+    assert not list(files.parse_batches(iter([batch.slice(0, 0)]), arrow_schema(spark)))
+
+
