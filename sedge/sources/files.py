@@ -29,6 +29,8 @@ DEFAULT_EXCLUDES = ("target", "build", ".git", "node_modules")
 SLICE_BYTES, SLICE_FILES = 256_000, 256
 #: Parsed forms kept of texts of up to so many characters.
 KEPT_TEXTS, SHORT = 1_024, 1_000
+#: Bytes of text that a task parses where files are dealt out.
+TASK_BYTES = 1_000_000
 
 
 def parser_fingerprint() -> str:
@@ -95,9 +97,13 @@ def parse_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Itera
 
 
 def parse_files(files: DataFrame, encoding: str = "auto", partitions: int | None = None) -> DataFrame:
-    """One row per file: package, parse_error, n_lines, imports and nodes. Files are dealt out by name, as sizes vary."""
+    """One row per file: package, parse_error, n_lines, imports and nodes. With `partitions` files are dealt out by
+    name, as sizes vary, to so many tasks or more: tasks grow in number with the text, not in what they read."""
     schema = to_arrow_schema(StructType.fromDDL(PARSED))
-    spread = files.repartition(partitions, "file") if partitions else files
+    spread = files
+    if partitions:
+        size = files.agg(F.sum(F.octet_length("content" if "content" in files.columns else "text"))).first()[0] or 0
+        spread = files.repartition(max(partitions, -(-size // TASK_BYTES)), "file")
     text = decode_udf(F.col("content"), F.lit(encoding)) if "content" in files.columns else F.col("text")
     return spread.select("file", text.alias("text")).mapInArrow(lambda batches: parse_batches(batches, schema), PARSED)
 

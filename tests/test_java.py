@@ -354,3 +354,11 @@ def test_parsing_holds_a_part_of_a_batch(spark):
     assert not list(files.parse_batches(iter([batch.slice(0, 0)]), arrow_schema(spark)))
 
 
+def test_tasks_that_parse_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(files, "TASK_BYTES", 1_000)
+    rows = spark.range(300).selectExpr("concat('P', id, '.java') as file", "concat('class C { int f', id, '; }') as text")
+    for frame in (rows, rows.selectExpr("file", "encode(text, 'utf-8') as content")):
+        p = files.parse_files(frame, partitions=2)
+        assert p.rdd.getNumPartitions() == 7 and p.filter("size(nodes) = 3 and parse_error is null").count() == 300
+    assert files.parse_files(rows.limit(0), partitions=2).count() == 0
+
