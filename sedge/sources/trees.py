@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .batches import slices
 
 # The keys of each kind of node. A star marks a list; a column of the node, or a slot below it,
 # stands before the key where they differ.
@@ -65,6 +70,10 @@ KEYS = {
 #: Nodes that are parts of others and carry no kind.
 NAMELESS = ("CompilationUnit", "EnumConstant", "CatchClause", "SwitchCase", "Variable")
 COLUMNS = ("name", "callee", "class_name", "type_name", "op", "label", "line", "end_line", "modifiers", "annotations", "parameters")
+#: What is read of a node.
+READ = ("nid", "parent_nid", "slot", "kind", "value", *COLUMNS)
+#: Nodes whose trees are made at once, at least those of one file.
+SLICE_NODES = 10_000
 
 
 def parts_of(keys: str) -> list[tuple[str, str, bool]]:
@@ -106,12 +115,25 @@ def tree_of(file: str, package: str | None, imports: list[dict], nodes: list[dic
 def trees(parsed: DataFrame) -> DataFrame:
     """(file, tree): the tree of each parsed file as JSON text; `parse_json` makes a VARIANT of it.
     Files that did not parse have none."""
+    # the paths from the root make up most of a node and are not read here
+    nodes = F.transform("nodes", lambda n: F.struct(*[n[c].alias(c) for c in READ]))
+    return parsed.filter("parse_error is null").select("file", "package", "imports", nodes.alias("nodes")).mapInArrow(tree_batches, "file string, tree string")
+
+
+def tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in slices(pc.list_value_length(batch.column("nodes")), SLICE_NODES):
+            yield trees_of(batch.slice(lo, hi - lo))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                tree = tree_of(**row)
-                if tree is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["file"]], pa.string()), pa.array([json.dumps(tree, ensure_ascii=False)], pa.string())], names=["file", "tree"])
 
-    return parsed.filter("parse_error is null").select("file", "package", "imports", "nodes").mapInArrow(run, "file string, tree string")
+def trees_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(file, tree) of the files of a batch that have nodes."""
+    nodes = batch.column("nodes")
+    flat = nodes.flatten()
+    rows = zip(*(flat.field(c).to_pylist() for c in READ), strict=True)
+    made = []
+    for file, package, imports, n in zip(*(batch.column(c).to_pylist() for c in ("file", "package", "imports")), pc.fill_null(pc.list_value_length(nodes), 0).to_pylist(), strict=True):
+        tree = tree_of(file, package, imports, [dict(zip(READ, r, strict=True)) for r in islice(rows, n)])
+        if tree is not None:
+            made.append((file, json.dumps(tree, ensure_ascii=False)))
+    return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.string()) for i in (0, 1)], names=["file", "tree"])

@@ -362,3 +362,14 @@ def test_tasks_that_parse_grow_with_the_text(spark, monkeypatch):
         assert p.rdd.getNumPartitions() == 7 and p.filter("size(nodes) = 3 and parse_error is null").count() == 300
     assert files.parse_files(rows.limit(0), partitions=2).count() == 0
 
+
+def test_trees_come_in_parts(spark, monkeypatch):
+    """Several files a batch, and no more nodes at once than asked."""
+    monkeypatch.setattr(trees, "SLICE_NODES", 10)
+    seen = []
+    monkeypatch.setattr(trees, "trees_of", lambda b, real=trees.trees_of: seen.append(b.num_rows) or real(b))
+    texts = [f"class C{i} {{ int f = {i}; String s; }}" for i in range(9)] + [f"class D {{ {'int f; ' * 30}}}", ""]
+    batch = next(files.parse_batches(iter([pa.RecordBatch.from_arrays([pa.array([f"{i}.java" for i in range(11)]), pa.array(texts)], names=["file", "text"])]), arrow_schema(spark)))
+    made = [r for b in trees.tree_batches(iter([batch])) for r in b.to_pylist()]
+    assert seen == [2, 2, 2, 2, 1, 1, 1]
+    assert made == [{"file": r["file"], "tree": json.dumps(trees.tree_of(r["file"], r["package"], r["imports"], r["nodes"]), ensure_ascii=False)} for r in batch.to_pylist()]
