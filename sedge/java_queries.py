@@ -3,7 +3,7 @@ rule finds in it follows from the part's key."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -12,6 +12,7 @@ from .operators import patterns, rules
 from .operators.shipped import SHIPPED
 from .operators.violations import select_rules
 from .sources import files
+from .sources.batches import by_slices
 from .sources.scratch import scratch_folder
 
 def key() -> Column:
@@ -86,8 +87,8 @@ def java_scan(spark: SparkSession, d: str) -> DataFrame:
     return run_all(parsed(spark, d).cache(), SHIPPED, list(rules.REGISTRY)).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
-@F.pandas_udf(BinaryType())
-def encoded(text: pd.Series, charset: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def encoded(text: pa.Array, charset: pa.Array) -> pa.Array:
     """Bytes of texts; what a charset does not have is left as GB18030, which has everything."""
     def one(t: str, c: str) -> bytes:
         try:
@@ -95,7 +96,7 @@ def encoded(text: pd.Series, charset: pd.Series) -> pd.Series:
         except UnicodeEncodeError:
             return t.encode("gb18030")
 
-    return pd.Series([one(t, c) for t, c in zip(text, charset, strict=True)], dtype=object)
+    return by_slices(one, pa.binary(), text, charset)
 
 
 def decoded(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,3 +18,10 @@ def slices(sizes: pa.Array, most: int, rows: int = 10_000) -> Iterator[tuple[int
         hi = min(max(hi, lo + 1), lo + rows, len(sizes))
         yield lo, hi
         lo = hi
+
+
+def by_slices(one: Callable, made: pa.DataType, texts: pa.Array, *more: pa.Array, most: int = 1_000_000) -> pa.Array:
+    """`one` of each row of `texts` (strings or bytes) and of the columns beside it; about `most` bytes at a time become Python objects."""
+    columns = (texts, *more)
+    parts = [pa.array([one(*r) for r in zip(*(c.slice(lo, hi - lo).to_pylist() for c in columns), strict=True)], made) for lo, hi in slices(pc.binary_length(texts), most)]
+    return pa.concat_arrays(parts) if parts else pa.array([], made)

@@ -10,7 +10,6 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructType
 
 from ..schemas import PARSED
-from .batches import slices
+from .batches import by_slices, slices
 from .charsets import decode_source, effective_encoding  # noqa: F401
 from .listing import source_files
 
@@ -40,9 +39,9 @@ def parser_fingerprint() -> str:
     return hashlib.sha256(Path(java.__file__).read_bytes() + PARSED.encode()).hexdigest()[:16]
 
 
-@F.pandas_udf(StringType())
-def decode_udf(raw: pd.Series, encoding: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else decode_source(bytes(r), e) for r, e in zip(raw, encoding, strict=True)], dtype=object)
+@F.arrow_udf(StringType())
+def decode_udf(raw: pa.Array, encoding: pa.Array) -> pa.Array:
+    return by_slices(lambda r, e: None if r is None else decode_source(r, e), pa.string(), raw, encoding)
 
 
 def java_files(spark: SparkSession, root: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, includes: tuple[str, ...] = (), only: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from sedge.operators import patterns, rules, scripts
 from sedge.operators.patterns import PatternRule
 from sedge.plans import scan
 from sedge.sources import config, files, listing, trees
+from sedge.sources.batches import by_slices, slices
 from sedge.sources.java import parse_source
 
 HERE = __file__.rpartition("/")[0]
@@ -373,3 +374,16 @@ def test_trees_come_in_parts(spark, monkeypatch):
     made = [r for b in trees.tree_batches(iter([batch])) for r in b.to_pylist()]
     assert seen == [2, 2, 2, 2, 1, 1, 1]
     assert made == [{"file": r["file"], "tree": json.dumps(trees.tree_of(r["file"], r["package"], r["imports"], r["nodes"]), ensure_ascii=False)} for r in batch.to_pylist()]
+
+
+def test_by_slices():
+    held = []
+
+    def one(t, n):
+        held.append(t)
+        return None if t is None else t.decode() * n
+
+    made = by_slices(one, pa.string(), pa.array([b"ab", None, b"", b"abcdef", b"c"]), pa.array([1, 2, 3, 1, 2]), most=3)
+    assert made.to_pylist() == ["ab", None, "", "abcdef", "cc"] and len(held) == 5
+    assert by_slices(one, pa.string(), pa.array([], pa.binary()), pa.array([], pa.int32())).to_pylist() == []
+    assert list(slices(pa.array([2, None, 0, 6, 1]), 3)) == [(0, 3), (3, 4), (4, 5)] and list(slices(pa.array([0] * 5), 3, 2)) == [(0, 2), (2, 4), (4, 5)]
