@@ -28,9 +28,9 @@ from .sharding import ranked
 
 CAPACITY = 2048
 #: Parts of words kept per Python worker; beyond that the memory starts anew.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 400_000
 #: Texts are handled in slices of about so many bytes (or one text, if it is longer).
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _state: dict = {}

@@ -216,3 +216,12 @@ def test_words_as_the_tokenizer_gives_them():
     ids, at = packing.encode_texts(pa.array(texts), PATH)
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+
+
+def test_packing_holds_a_part_of_a_batch():
+    """Texts of a batch are encoded in parts of about a million bytes: what is held does not follow the batch."""
+    texts = [f"word{i % 50} and more of text {i}. " * 200 for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(packing.piece_batches(iter([batch]), public_tokenizers.path("word_bpe_49k.json"), 2048))
+    assert len(parts) > sum(map(len, texts)) // 1_100_000 > 1
+    assert sorted({d for p in parts for d in p.column("doc_id").to_pylist()}) == list(range(400))
