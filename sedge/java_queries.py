@@ -81,10 +81,10 @@ def function_rule(rule_id: str):
 
 def java_scan(spark: SparkSession, d: str) -> DataFrame:
     """All shipped rules in one scan, with messages."""
-    from .plans.scan import run_all
+    from .plans.scan import run_texts
 
-    # kept while the rules read it several times, as a scan does
-    return run_all(parsed(spark, d).cache(), SHIPPED, list(rules.REGISTRY)).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+    found = run_texts(java_sources(spark, d), SHIPPED, list(rules.REGISTRY), partitions=spark.sparkContext.defaultParallelism)
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
 @F.arrow_udf(BinaryType())

@@ -32,6 +32,18 @@ def run_all(parsed: DataFrame, pattern_rules: list[PatternRule], functions: list
     return both.withColumn("emit_ord", F.struct(order.alias("rule"), "visit")).drop("visit")
 
 
+def run_texts(sources: DataFrame, pattern_rules: list[PatternRule], functions: list[str], params: dict[str, dict] | None = None, partitions: int | None = None) -> DataFrame:
+    """As run_all, over (file, text): each different text is parsed and looked at once, and what is found there goes
+    to all files that hold it. This is for rules to which a file's name means nothing, as to those of this library."""
+    named, texts = files.by_content(sources)
+    # kept while the rules read it several times, as a scan does
+    parsed = files.parse_files(texts.withColumnRenamed("key", "file"), partitions=partitions).cache()
+    found = run_all(parsed, pattern_rules, functions, params).withColumnRenamed("file", "key")
+    columns = [F.col("file") if c == "key" else F.col(c) for c in found.columns]
+    # many files in few bytes are not to be broadcast, and files that hold one text are split over tasks where both sides are sorted
+    return found.join(named.hint("merge"), "key").select(columns)
+
+
 class Scan(NamedTuple):
     """Parsed files, violations, and where scripts failed (file, rule_id, error)."""
 

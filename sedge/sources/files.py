@@ -107,6 +107,14 @@ def parse_files(files: DataFrame, encoding: str = "auto", partitions: int | None
     return spread.select("file", text.alias("text")).mapInArrow(lambda batches: parse_batches(batches, schema), PARSED)
 
 
+def by_content(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, key) of `files` (file, text), and (key, text) of each different text once; a missing text is an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = files.select("file", F.sha2(text, 256).alias("key"), text.alias("text"))
+    # the text belongs to what is grouped by, so equal ones already fall together where they are read
+    return keyed.select("file", "key"), keyed.select("key", "text").distinct()
+
+
 def parse_cached(files: DataFrame, cache: str, encoding: str = "auto") -> DataFrame:
     """As parse_files, but equal contents are parsed once and kept in Parquet files below `cache`, keyed by
     content and charset, in a folder for each form of the parser.

@@ -8,6 +8,7 @@ import sys
 import pyarrow as pa
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from sedge.operators import patterns, rules, scripts
 from sedge.operators.patterns import PatternRule
@@ -387,3 +388,34 @@ def test_by_slices():
     assert made.to_pylist() == ["ab", None, "", "abcdef", "cc"] and len(held) == 5
     assert by_slices(one, pa.string(), pa.array([], pa.binary()), pa.array([], pa.int32())).to_pylist() == []
     assert list(slices(pa.array([2, None, 0, 6, 1]), 3)) == [(0, 3), (3, 4), (4, 5)] and list(slices(pa.array([0] * 5), 3, 2)) == [(0, 2), (2, 4), (4, 5)]
+
+
+def test_equal_texts_are_looked_at_once(spark):
+    """What is found in a text goes to every file that holds it, as if each had been parsed by itself."""
+    bad = "import a.b.*;\nclass a { void M() { System.out.println(); while (true) { } }\nvoid n() { try { } catch (E e) { } } }"
+    texts = [bad, "class B { void m() { while (true) { run(); } } }", bad + "\n", "class {", "", None]
+    rows = spark.createDataFrame([(f"P{i}.java", texts[i % 6]) for i in range(60)] + [("P0.java", bad)], "file string, text string")
+    named, once = files.by_content(rows)
+    assert named.count() == 61 and sorted(r["text"] for r in once.collect()) == sorted({t or "" for t in texts})
+    ids = list(rules.REGISTRY)
+    each = scan.run_all(files.parse_files(rows.dropDuplicates()), RULES, ids)
+    both = scan.run_texts(rows, RULES, ids, partitions=2)
+    assert both.schema == each.schema
+    found = [str(r) for r in each.collect()]
+    assert len(found) == 130 and sorted(found) == sorted(str(r) for r in scan.run_texts(rows.dropDuplicates(), RULES, ids).collect())
+    # a file that is listed twice counts twice
+    assert both.count() == len(found) + sum("file='P0.java'" in r for r in found)
+
+
+def test_java_scan_parses_each_text_once(spark, monkeypatch):
+    from sedge import java_queries
+
+    sizes = []
+    monkeypatch.setattr(files, "parse_files", lambda f, *a, real=files.parse_files, **k: sizes.append(f.count()) or real(f, *a, **k))
+    part = spark.range(0, 3_000).select((F.col("id") * 38_798_760 + F.col("id") % 3).alias("p_partkey"))
+    monkeypatch.setattr(java_queries, "java_sources", lambda s, d: part.select(F.concat(F.lit("P"), "p_partkey").alias("file"), java_queries.java_text().alias("text")))
+    found = java_queries.java_scan(spark, "")
+    counts = {r["rule_id"]: r["n"] for r in found.collect()}
+    assert sizes == [3] and counts["J010"] == 1_000 and counts["J013"] == 1_000
+    # files, which may be many, meet what was found in tasks
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin", 1)[0]
