@@ -40,8 +40,8 @@ def run_texts(sources: DataFrame, pattern_rules: list[PatternRule], functions: l
     parsed = files.parse_files(texts.withColumnRenamed("key", "file"), partitions=partitions).cache()
     found = run_all(parsed, pattern_rules, functions, params).withColumnRenamed("file", "key")
     columns = [F.col("file") if c == "key" else F.col(c) for c in found.columns]
-    # many files in few bytes are not to be broadcast, and files that hold one text are split over tasks where both sides are sorted
-    return found.join(named.hint("merge"), "key").select(columns)
+    # many files in few bytes are not to be broadcast; of one text, tasks hold what was found there, while its files pass by
+    return named.hint("merge").join(found, "key").select(columns)
 
 
 class Scan(NamedTuple):
