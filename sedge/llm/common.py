@@ -69,11 +69,18 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def bounded(rows: DataFrame, count: int, most: int = 100_000) -> DataFrame:
+    """`rows` (so many at most) for one side of a join: beyond `most` of them neither side is broadcast. Spark sizes
+    a table by its files, and numbers that repeat take few bytes there but many in the driver."""
+    return rows.hint("merge") if count > most else rows
+
+
 def join_stats(rows: DataFrame, stats: DataFrame, key: str | list[str], salt_by: str | list[str], most: int = 100_000, salts: int = 64) -> DataFrame:
     """Left join of `rows` to `stats` (one row per key; null keys find nothing).
 
     `stats` is broadcast only when it is counted and has at most `most` rows; otherwise each key
-    is spread over `salts` copies, so that a key with a third of all rows meets many tasks.
+    is spread over `salts` copies, so that a key with a third of all rows meets many tasks. The copies are
+    merged, as Spark sizes them by the files of `stats` and would broadcast `salts` times as many rows.
     """
     stats = staged(stats)
     if stats.count() <= most:
@@ -81,4 +88,4 @@ def join_stats(rows: DataFrame, stats: DataFrame, key: str | list[str], salt_by:
     salted = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.xxhash64(*([salt_by] if isinstance(salt_by, str) else salt_by))
     rows = rows.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
-    return rows.join(salted, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
+    return rows.join(salted.hint("merge"), [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")

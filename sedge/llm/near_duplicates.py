@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from .common import boxed, join_stats, quoted, staged
+from .common import bounded, boxed, join_stats, quoted, staged
 from .components import components
 from .windows import SENT, U, in_chunks, mix, read_words, runs_of, scale_of
 
@@ -359,16 +359,17 @@ def links(sets: DataFrame, percent: int, rounds: tuple = ((4, 2), (None, None)))
     found = staged(part_pairs(members, percent).withColumns({"now1": F.col("c1"), "now2": F.col("c2")}))
     members = members.drop("prefix")
     for parts, most in rounds:
-        if found.isEmpty():
+        n_found = found.count()
+        if not n_found:
             break
         between = Window.partitionBy(F.least("now1", "now2"), F.greatest("now1", "now2")).orderBy("apart", "g1", "g2")
         some = found if parts is None else found.withColumn("nth", F.row_number().over(between)).filter(F.col("nth") <= parts).drop("nth")
-        pairs = staged(expanded(some, members, percent, most))
+        pairs = staged(expanded(bounded(some, n_found), members, percent, most))
         new = staged(verify(pairs.select("a", "b").distinct(), sets, percent))
         edges = edges.unionByName(new)
         if parts is None:
             break
-        met = pairs.join(new, ["a", "b"], "left_semi").select(F.col("now1").alias("a"), F.col("now2").alias("b"))
+        met = pairs.join(bounded(new, new.count()), ["a", "b"], "left_semi").select(F.col("now1").alias("a"), F.col("now2").alias("b"))
         found = staged(relabelled(found, met))
     return edges
 

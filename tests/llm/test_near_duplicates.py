@@ -6,7 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from sedge.llm import components, near_duplicates, queries, windows
+from sedge.llm import common, components, near_duplicates, queries, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -144,3 +144,20 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 50, 50: 50, 60: 50, 200: 200, 201: 200}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_of_stats_are_not_broadcast(spark):
+    """Of a staged table Spark knows the bytes of its files, not how many rows its copies make."""
+    rows = spark.range(3000).select((F.col("id") % 700).alias("k"), "id")
+    out = common.join_stats(rows, spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v")), "k", "id", most=100)
+    assert sorted(map(tuple, out.collect())) == sorted((i % 700, i, i % 700 * 3 if i % 700 < 500 else None) for i in range(3000))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_edges_are_not_broadcast(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 60), (7, 7), (200, 201)]
+    monkeypatch.setattr(components, "bounded", lambda rows, count: common.bounded(rows, count, most=10))
+    label = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["label"] for r in label.collect()} == {**{i: 0 for i in range(41)}, 100: 50, 50: 50, 60: 50, 200: 200, 201: 200}
+    joined = spark.range(300).withColumnRenamed("id", "node").join(label, "node")
+    assert joined.count() == 46 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
