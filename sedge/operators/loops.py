@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import VISITED
-from .structure import LOOP_WALK, around, counts_between, parent_at, visit_key
+from .structure import LOOP_WALK, around, counts_between, merged, parent_at, visit_key
 
 # The messages, and how comparisons turn when their sides change places.
 DEFINITE = "循环条件在编译期即可确定为 true（字面量或常量传播），且条件所用变量在循环体内不被修改，且无 break/return/throw 退出：该循环将永不终止（死循环）"
@@ -220,7 +220,7 @@ def changes(n: DataFrame) -> DataFrame:
     places = places.select("file", "name", "nid", "edge", parent_at(F.col("at")).alias("by"))
     counting = n.filter((F.col("kind") == "UnaryExpr") & F.col("op").isin("++", "--")).select("file", F.col("nid").alias("by"))
     assigned = places.filter(F.col("edge") == "AssignExpr.target")
-    counted = places.filter(F.col("edge") == "UnaryExpr.expression").join(counting, ["file", "by"], "left_semi")
+    counted = places.filter(F.col("edge") == "UnaryExpr.expression").join(merged(counting), ["file", "by"], "left_semi")
     return assigned.unionByName(counted.select(assigned.columns)).select("file", "name", "nid")
 
 
@@ -243,9 +243,9 @@ def constants(n: DataFrame) -> tuple[DataFrame, DataFrame]:
     literal = n.filter((F.col("kind") == "LiteralExpr") & F.col("value").isin("true", "false") & (F.col("slot") == "initializer")).select("file", F.col("parent_nid").alias("nid"), (F.col("value") == "true").alias("value"))
     fields = n.filter((F.col("kind") == "FieldDeclaration") & (F.col("slot") == "members") & F.array_contains("modifiers", "final")).select("file", "nid", F.col("parent_nid").alias("owner"), "name")
     held = F.array_compact(F.transform("edge_path", lambda e, i: F.when(F.substring_index(e, ".", 1).isin(*METHODS), parent_at(i))))
-    variables = n.filter(F.col("kind") == "Variable").select("file", "nid", "name", held.alias("held")).join(literal, ["file", "nid"])
+    variables = n.filter(F.col("kind") == "Variable").select("file", "nid", "name", held.alias("held")).join(merged(literal), ["file", "nid"])
     variables = variables.select("file", "name", "nid", "value", F.explode("held").alias("method")).groupBy("file", "method", "name").agg(F.max_by("value", "nid").alias("value"))
-    return fields.join(literal, ["file", "nid"]).select("file", "owner", "name", "value"), variables
+    return fields.join(merged(literal), ["file", "nid"]).select("file", "owner", "name", "value"), variables
 
 
 def loop_facts(nodes: DataFrame, reachable: Column) -> DataFrame:
@@ -262,25 +262,25 @@ def loop_facts(nodes: DataFrame, reachable: Column) -> DataFrame:
     parts = n.filter(F.col("slot").isin("body", "update") & F.substring_index(F.element_at("edge_path", -1), ".", 1).isin(*LOOPS[:3])).groupBy("file", F.col("parent_nid").alias("nid"))
     parts = parts.agg(part("nid").alias("body"), part("end_nid").alias("body_end"), F.max(F.when(is_body & (F.col("kind") == "BlockStmt"), F.col("end_line"))).alias("end_line"), F.min("nid").alias("lo"))
     methods = n.filter(F.col("kind").isin(*METHODS)).select("file", F.col("nid").alias("method"), F.col("end_nid").alias("method_end"))
-    loops = found.join(parts, ["file", "nid"]).join(methods, ["file", "method"], "left").persist()
+    loops = found.join(merged(parts), ["file", "nid"]).join(merged(methods), ["file", "method"], "left").persist()
     # the heads: a node may stand in those of several loops
     heads = F.explode(F.array_compact(F.transform("edge_path", lambda e, i: F.when(e.isin(*HEADS), F.struct(e.alias("edge"), parent_at(i).alias("loop")))))).alias("h")
     held = n.filter(F.exists("edge_path", lambda e: e.isin(*HEADS))).select("file", "nid", "end_nid", "parent_nid", "slot", "kind", "name", "op", "value", heads).persist()
     columns = ("nid", "end_nid", "parent_nid", "slot", "kind", "name", "op", "value")
     head = held.groupBy("file", F.col("h.loop").alias("nid")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("head"))
     used = held.filter(F.endswith("h.edge", F.lit(".condition")) & F.col("kind").isin("NameExpr", "FieldAccessExpr") & F.col("name").isNotNull()).select("file", F.col("h.loop").alias("nid"), "name").distinct()
-    names = loops.select("file", "nid", "lo", "body_end", "method", "method_end", "owner", "in_lambda").join(used, ["file", "nid"]).persist()
+    names = loops.select("file", "nid", "lo", "body_end", "method", "method_end", "owner", "in_lambda").join(merged(used), ["file", "nid"]).persist()
     # changes of a name in body and updates, and in the whole method, in one pass
     changed = changes(n)
     asked = names.select("file", "name", F.col("nid").alias("loop"), F.explode(F.array(F.struct(F.lit(True).alias("inner"), F.col("lo"), F.col("body_end").alias("hi")), F.struct(F.lit(False).alias("inner"), F.col("method").alias("lo"), F.col("method_end").alias("hi")))).alias("q"))
     counts = counts_between(asked.select("file", "name", "loop", "q.*").filter("lo is not null"), changed, ["file", "name"])
     counts = counts.groupBy("file", "name", F.col("loop").alias("nid")).agg(F.max(F.col("inner") & (F.col("n") > 0)).alias("mutated"), F.max(~F.col("inner") & (F.col("n") > 0)).alias("assigned"))
     fields, locals_ = constants(n)
-    facts = names.join(counts, ["file", "name", "nid"], "left").join(fields.withColumnRenamed("value", "field"), ["file", "owner", "name"], "left").join(locals_.withColumnRenamed("value", "local"), ["file", "method", "name"], "left")
+    facts = names.join(merged(counts), ["file", "name", "nid"], "left").join(merged(fields.withColumnRenamed("value", "field")), ["file", "owner", "name"], "left").join(merged(locals_.withColumnRenamed("value", "local")), ["file", "method", "name"], "left")
     value = F.when(F.col("in_lambda"), F.lit(None)).otherwise(F.coalesce(F.when(F.col("assigned"), F.lit(None)).otherwise(F.col("local")), "field"))
     facts = facts.groupBy("file", "nid").agg(F.collect_list(F.struct("name", F.coalesce("mutated", F.lit(False)).alias("mutated"), F.coalesce("assigned", F.lit(False)).alias("assigned"), value.alias("value"))).alias("names"))
     left = exits(n, loops).withColumn("leaves", F.lit(True))
-    rows = loops.join(head, ["file", "nid"], "left").join(facts, ["file", "nid"], "left").join(left, ["file", "nid"], "left")
+    rows = loops.join(merged(head), ["file", "nid"], "left").join(merged(facts), ["file", "nid"], "left").join(merged(left), ["file", "nid"], "left")
     return rows.select("file", "nid", "kind", "line", "end_line", "visit", F.coalesce("leaves", F.lit(False)).alias("leaves"), "head", "names")
 
 

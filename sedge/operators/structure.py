@@ -14,6 +14,12 @@ LOOP_WALK = {"ForStmt": ("body", "init", "condition", "update"), "WhileStmt": ("
 USE_WALK = {"TryStmt": ("body", "finally", "catch_clauses")}
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that is not to be broadcast. Spark sizes what comes from nodes by the table that the
+    texts came from, before parsing and unfolding, so that many rows of every file seem few."""
+    return side.hint("merge")
+
+
 def visit_key(walk: dict[str, tuple[str, ...]] | None = None, *more: Column) -> Column:
     """When a walker comes to a node, as an array that sorts in order of visits: the slot's rank and
     the node on each step from the root. A node comes before what is below it. `more` tells apart
