@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import rules
 from .operators.matching import baseline_tolerant
 from .operators.patterns import CALL_BLOCKED, CATCH_BLOCKED, LOOP_BLOCKED, USE_BLOCKED, PatternRule, match_patterns, reachable
-from .operators.structure import contained, subtree_counts
+from .operators.structure import contained, merged, subtree_counts
 from .plans.scan import run_all
 from .sources import files
 
@@ -127,7 +127,7 @@ def nested_counts(spark: SparkSession, d: str) -> DataFrame:
     nodes = files.nodes_of(parsed(spark, d, nested_text()))
     classes = nodes.filter("kind = 'ClassDeclaration'")
     counts = subtree_counts(classes, nodes.filter("kind = 'MethodCallExpr'"))
-    return counts.join(classes.select("file", "nid", "depth"), ["file", "nid"]).select("file", "depth", "n_below")
+    return counts.join(merged(classes.select("file", "nid", "depth")), ["file", "nid"]).select("file", "depth", "n_below")
 
 
 def nested_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.text import has_annotation, is_loose_map
 from ..schemas import VISITED
 from .loops import loop_violations
 from .patterns import CATCH_BLOCKED, LOOP_BLOCKED, USE_BLOCKED, reachable, union
-from .structure import USE_WALK, contained, visit_key
+from .structure import USE_WALK, contained, merged, visit_key
 
 Rule = Callable[[DataFrame, DataFrame, dict], DataFrame]
 
@@ -71,7 +71,7 @@ def uses_of(nodes: DataFrame, imports: DataFrame, prefixes: tuple[str, ...], bar
     target = F.when(F.col("kind") == "MethodCallExpr", F.col("callee")).when(F.col("kind") == "ObjectCreationExpr", F.col("class_name")).otherwise(F.col("type_name"))
     places = kinds.select("file", "line", "kind", "edge_path", "nid_path", target.alias("used")).filter("used is not null")
     path = rows(places.filter(has(F.col("used"))), rule_id, severity, F.concat(F.lit(by_path[0]), "used", F.lit(by_path[1])), visit_key(USE_WALK))
-    name = places.filter(F.col("kind").isin(*named) & ~has(F.col("used"))).join(known, ["file", "used"], "left_semi")
+    name = places.filter(F.col("kind").isin(*named) & ~has(F.col("used"))).join(merged(known), ["file", "used"], "left_semi")
     return path.unionByName(rows(name, rule_id, severity, F.concat(F.lit(by_name[0]), "used", F.lit(by_name[1])), visit_key(USE_WALK)))
 
 

@@ -425,7 +425,7 @@ def test_what_comes_of_nodes_is_not_broadcast(spark):
     """Spark sizes nodes by the texts' table; many rows of every file would go through the driver."""
     text = "import com.alibaba.fastjson.JSON;\nimport org.json.JSONObject;\nclass A { static final boolean ON = true; boolean done; void m() { boolean go = true;\nwhile (go) { x = new JSON(); }\nwhile (ON) { y = new JSONObject(); }\nfor (int i = 0; i < 3; i--) { }\nwhile (done) { } } }"
     p = files.parse_files(spark.createDataFrame([(f"P{i}.java", text) for i in range(5)], "file string, text string"))
-    for rule, lines in (("J009", (4, 5, 6, 7)),):
+    for rule, lines in (("J009", (4, 5, 6, 7)), ("J012", (4,)), ("J015", (5,))):
         found = rules.run_rules(files.nodes_of(p), files.imports_of(p), [rule])
         assert sorted((r["file"], r["line"]) for r in found.collect()) == [(f"P{i}.java", n) for i in range(5) for n in lines], rule
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString(), rule
