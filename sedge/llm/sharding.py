@@ -19,7 +19,8 @@ from .common import boxed
 def ranked(rows: DataFrame, group: str, bucket: str, order: list[str], rank: str, total: str) -> DataFrame:
     """Adds the 0-based `rank` of each row by (bucket, order) inside `group`, and the group's `total`.
 
-    Only counts per (group, bucket) are summed along a group; rows are numbered per bucket.
+    Only counts per (group, bucket) are summed along a group; rows are numbered per bucket. The counts, which may
+    be nearly as many as the rows, are merged: by the bytes of the rows' files Spark would broadcast them.
     """
     along = Window.partitionBy(group).orderBy(bucket)
     counts = (
@@ -32,7 +33,7 @@ def ranked(rows: DataFrame, group: str, bucket: str, order: list[str], rank: str
     inside = F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order))
     return (
         rows.withColumn("_inside", inside)
-        .join(counts, [group, bucket])
+        .join(counts.hint("merge"), [group, bucket])
         .withColumn(rank, F.col("_before") + F.col("_inside") - 1)
         .drop("_before", "_inside")
     )

@@ -170,3 +170,11 @@ def test_cutoffs_limit_false_rejection(spark):
     bad = df.limit(200).withColumns({"quality": F.lit(0), "symbol_share": F.lit(0.6)})
     cut = quality.certified_cutoffs(df.unionByName(bad)).collect()[0]
     assert cut["cut_symbol_share"] == 0.05 and cut["cut_word_length"] is None
+
+
+def test_counts_of_ranks_are_not_broadcast(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("b"))
+    out = sharding.ranked(rows, "g", "b", ["id"], "rank", "total")
+    want = {g: sorted((i % 50, i) for i in range(500) if i % 3 == g) for g in range(3)}
+    assert {r["id"]: (r["rank"], r["total"]) for r in out.collect()} == {i: (n, len(x)) for x in want.values() for n, (_, i) in enumerate(x)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
